@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_store
+from . import exact_dedup, packing, simhash, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,15 @@ def op5_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(documents(spark, sf_dir))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_bit_plane_tokens": op5_bit_plane_tokens,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
