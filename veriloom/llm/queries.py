@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, simhash, token_store
+from . import exact_dedup, mixing, packing, simhash, substring_dedup, token_store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,16 +25,27 @@ def op5_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(documents(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(documents(spark, sf_dir))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_bit_plane_tokens": op5_bit_plane_tokens,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
 }
