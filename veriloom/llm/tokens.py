@@ -13,14 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces that a Python worker keeps of late, and as many of earlier use; ids don't depend on it.
-CACHE_PIECES = 250_000
+#: Pieces that a Python worker keeps of late, and as many of earlier use (some 200 bytes each); ids don't depend on it.
+CACHE_PIECES = 500_000
 #: Id that ends each document.
 END_ID = 0
 _INNER_SPACE = re.compile(r"\s \s")
 #: A word of letters (no contraction can begin in it), then marks, then a line feed and another word: each a unit of its own.
 _UNITS = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]*)(\n?)([^\W\d_]*)")
-_MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
 
 
 def default_tokenizer() -> str:
@@ -52,6 +51,7 @@ class TextEncoder:
                     self.shown.update(zip(text.encode(), units, strict=True))
         self.fresh: dict[str, bytes] = {}
         self.aged: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
@@ -68,24 +68,36 @@ class TextEncoder:
                 return self._whole(word)
         return array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
 
-    def _get(self, piece: str) -> bytes:
-        ids = self.fresh.get(piece)
+    def _unit(self, unit: str) -> bytes:
+        ids = self.units.get(unit)
         if ids is None:
-            ids = self.aged.get(piece)
+            if len(self.units) >= CACHE_PIECES // 8:
+                self.units.clear()
+            ids = self.units[unit] = self._whole(unit) if unit == "\n" else self._word(unit)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece that is not known yet."""
+        if not self.direct or not piece:
+            return self._whole(piece)
+        if piece[piece[0] == " " :].isalpha():
+            return self._word(piece)
+        m = _UNITS.fullmatch(piece)
+        if m is None or not (m[1] + m[4]).lstrip(" ").isalpha():
+            return self._whole(piece)
+        word = m[1][1:] if m[1][0] == " " else None
+        return (self._unit(m[1]) if word is None else self._after_space(word)) + b"".join(self._unit(x) for x in m.groups()[1:] if x)
+
+    def _after_space(self, word: str) -> bytes:
+        """Ids of a space and a word, from what is known or anew."""
+        ids = self.fresh.get(word)
+        if ids is None:
+            ids = self.aged.get(word)
             if ids is None:
-                if not self.direct:
-                    ids = self._whole(piece)
-                elif piece.isalpha() or piece[:1] == " " and piece[1:].isalpha():
-                    ids = self._word(piece)
-                elif (m := _UNITS.fullmatch(piece)) is not None and (m[1] + m[4]).lstrip(" ").isalpha() and m[0] != m[1]:
-                    ids = b"".join(self._get(unit) for unit in m.groups() if unit)
-                elif _MARKS.fullmatch(piece) is not None:
-                    ids = self._word(piece)
-                else:
-                    ids = self._whole(piece)
+                ids = self._piece(" " + word)
             if len(self.fresh) >= CACHE_PIECES:
                 self.fresh, self.aged = {}, self.fresh
-            self.fresh[piece] = ids
+            self.fresh[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -93,9 +105,8 @@ class TextEncoder:
         if _INNER_SPACE.search(text):
             return self._whole(text)
         head, *rest = text.split(" ")
-        parts = [head, *map(" ".__add__, rest)]
-        known, get = self.fresh.get, self._get
-        return b"".join([known(p) or get(p) for p in parts])
+        known, learn = self.fresh.get, self._after_space
+        return self._piece(head) + b"".join([known(w) or learn(w) for w in rest])
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
