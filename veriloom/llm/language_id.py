@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bound_batches
+
 TRAIN_DOCS = 2000
 BUCKETS = 1 << 16
 PENALTY = 12.0
@@ -171,6 +173,7 @@ def held_out():
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of documents that are not held out."""
+    bound_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not totals:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import bound_batches, written
 from .tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -258,6 +258,7 @@ class Slots:
 def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids, part, nth``: ids as little-endian unsigned 32-bit bytes; ``nth`` counts the pieces of
     one length within the task ``part``."""
+    bound_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import fresh_path, shuffle_partitions, written
+from .storage import bound_batches, fresh_path, shuffle_partitions, written
 
 RADIUS = 3
 BANDS = 4
@@ -57,6 +57,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` with the fingerprint as a signed long."""
 
+    bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).astype(np.int64)

@@ -41,5 +41,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that Spark hands to a Python worker at once.  By default only rows are counted, and a batch of long texts has no bound.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to ``BATCH_BYTES``; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("bB") or -1)
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import bound_batches, written
 
 WINDOW = 50
 #: Words of an anchor.
@@ -147,6 +147,7 @@ def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id, spans``: the words, as merged [first, end) pairs, that a smaller document has in a window; only documents with any."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), "text")
     anchors = written(index_blocks(docs, window, gram), "anchors")
     # distinct blocks with their smallest document; only anchors of two documents or more matter

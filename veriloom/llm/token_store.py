@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import fresh_path, shuffle_partitions
+from .storage import bound_batches, fresh_path, shuffle_partitions
 from .tokens import END_ID, default_tokenizer, encoder
 
 BLOCK_IDS = 16_384
@@ -89,6 +89,7 @@ def write_tokens(
     wide = 2 if _vocabulary(tokenizer) <= 1 << 16 else 4
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bound_batches(docs.sparkSession)
         part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
         end = END_ID.to_bytes(4, "little")
         state = {"chunk": 0, "start": 0}
@@ -138,6 +139,7 @@ def _vocabulary(tokenizer: str) -> int:
 
 def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` (and ``ids``) of every stored document, decoded from the files."""
+    bound_batches(spark)
     stored = spark.read.schema(CHUNK_SCHEMA).parquet(path)
     sizes = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per part: as many as the writer had tasks
     before = sizes.select(
