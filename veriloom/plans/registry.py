@@ -331,7 +331,8 @@ def alignment_faults(spark, d):
   WHEN improved > 0 AND regressed = 0 THEN 'better' WHEN regressed > 0 AND improved = 0 THEN 'worse' WHEN improved > 0 AND regressed > 0 THEN 'mixed' ELSE 'unchanged' END AS conclusion FROM c""")
 def interpretation(spark, d):
     rows = compare.transitions(_pairs(spark, d), whole=False).filter("partition <> 'train'")
-    counts = compare.paired_counts(rows).crossJoin(rows.agg(F.count_if(F.col("partition") == "test").alias("eligible_test")))  # one row each
+    rows = rows.withColumn("all", F.lit(1))
+    counts = compare.paired_counts(rows, ["all"]).join(rows.groupBy("all").agg(F.count_if(F.col("partition") == "test").alias("eligible_test")), "all")
     return compare.interpretation(counts, F.lit(True), 5, 3, F.lit(False)).select("improved", "regressed", "differed", "conclusion")
 
 
