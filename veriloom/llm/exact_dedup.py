@@ -90,12 +90,18 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     )
 
 
+#: Stands for a null doc_id.
+NO_ID = (1 << 63) - 1
+
+
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The documents that exact_dedup keeps, with all their columns; a row repeated under one doc_id stays once."""
-    kept = exact_dedup(docs).filter("kept").select("doc_id").withColumnRenamed("doc_id", "__id").distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy("doc_id")
-    return joined.withColumn("__copy", F.row_number().over(one)).filter("__copy = 1").drop("__copy")
+    id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    kept = exact_dedup(docs).filter("kept").select(id_.alias("__id")).distinct()
+    # join and window have one key, so texts are shuffled once
+    joined = docs.withColumn("__id", id_).join(kept, "__id", "left_semi")
+    one = Window.partitionBy("__id").orderBy("__id")
+    return joined.withColumn("__copy", F.row_number().over(one)).filter("__copy = 1").select(*docs.columns)
 
 
 ORACLE_SQL = r"""
