@@ -315,7 +315,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     carried = ["doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *(["ids"] if with_ids else [])]
-    ranked = pieces.select(*carried, "part", "nth").join(before, ["part", "length"])
+    # the counts grow with the number of tasks, so they are never broadcast
+    ranked = pieces.select(*carried, "part", "nth").join(before.hint("merge"), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "part", "nth", "before")
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
     return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
