@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import let
 from .dataset import ABSTENTION, example_id, group_id
 
 COLUMNS = ("code", "severity", "group_id", "subject", "detail")
@@ -136,8 +137,7 @@ def passages_inside(texts: DataFrame, id_: str, text: str, passages: DataFrame,
     split = F.split(F.col(passage), r"\s+")
     inner = F.filter(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(split) - words)), lambda i: F.when(i + words - 1 < F.size(split), F.array_join(F.slice(split, i, words), " "))), lambda x: x.isNotNull())
     keyed = passages.select(item, F.col(passage).alias("__passage"), F.try_element_at(inner, F.lit(1)).alias("gram"))
-    body = F.split(F.col(text), r"\s+")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(body) - words + 1)), lambda i: F.array_join(F.slice(body, i, words), " "))
+    grams = let(F.split(F.col(text), r"\s+"), lambda body: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(body) - words + 1)), lambda i: F.array_join(F.slice(body, i, words), " ")))
     long, short = keyed.filter("gram is not null"), keyed.filter("gram is null")
     hits = texts.select(id_, F.explode(F.array_distinct(grams)).alias("gram")).join(long, "gram").select(id_, item, "__passage")
     checked = hits.join(texts.select(id_, F.col(text).alias("__text")), id_).filter(F.contains("__text", F.col("__passage"))).select(id_, item)
