@@ -200,7 +200,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("__copy", F.row_number().over(copies)).join(uses, "__id")
     rows = rows.withColumn("__use", F.explode("__uses")).filter("__use.copy = __copy")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("__use.ranges", lambda r: F.slice(words, (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
+    # bound by a lambda, so a text is cut into words once and not for each range
+    part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("__use.ranges", lambda r: F.slice(w, (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")), 1)
     total = F.aggregate("__use.ranges", F.lit(0).cast("bigint"), lambda n, r: n + r["n"])
     rows = rows.withColumn("text", F.when(total == F.col("__use.size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
