@@ -58,3 +58,9 @@ def test_all_ids_null(spark):
     rows = E.exact_dedup(docs).collect()
     assert len(rows) == 3 and all(r["kept"] and r["keep_id"] is None for r in rows)
     assert E.keep_first_copies(docs).count() >= 1
+
+
+def test_ids_null_or_repeated_keep_each_text(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (5, "A"), (5, "C"), (3, "C")], "doc_id bigint, text string")
+    kept = sorted((tuple(r) for r in E.keep_first_copies(docs).collect()), key=str)
+    assert kept == sorted([(None, "a"), (None, "b"), (5, "A"), (3, "C")], key=str)

@@ -100,3 +100,13 @@ def test_null_ids_and_empty(spark):
     assert [(r["doc_id"], r["component_id"]) for r in rows if r["component_id"] == 4] == [(4, 4), (4, 4), (None, 4)]
     assert simhash.simhash_report(docs.limit(0)).count() == 0
     assert simhash.keep_one_of_each(docs.filter("doc_id = 4")).count() == 2
+
+
+def test_null_ids_join_nothing(spark):
+    far = ["a b c d e f", "q w e r t y", "z x v n m k", "one two three four five six"]
+    near = [" ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(402))]
+    assert 0 < (brute_print(near[0]) ^ brute_print(near[1])).bit_count() <= 3
+    docs = spark.createDataFrame([(None, far[0]), (None, far[1]), (None, near[0]), (7, near[1]), (8, far[2]), (9, far[3])], "doc_id bigint, text string")
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(docs).collect()) == [
+        ("7", "7"), ("8", "8"), ("9", "9"), ("None", "7"), ("None", "None"), ("None", "None"),
+    ]

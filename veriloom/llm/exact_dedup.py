@@ -95,12 +95,12 @@ NO_ID = (1 << 63) - 1
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns; a row repeated under one doc_id stays once."""
+    """The documents that exact_dedup keeps, with all their columns; a text repeated under one doc_id, or under none, stays once."""
     id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    kept = exact_dedup(docs).filter("kept").select(id_.alias("__id")).distinct()
+    kept = exact_dedup(docs).filter("kept").select(id_.alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
     # join and window have one key, so texts are shuffled once
-    joined = docs.withColumn("__id", id_).join(kept, "__id", "left_semi")
-    one = Window.partitionBy("__id").orderBy("__id")
+    joined = docs.withColumns({"__id": id_, "__digest": digest(F.col("text"))}).join(kept, ["__id", "__digest"], "left_semi")
+    one = Window.partitionBy("__id", "__digest").orderBy("__id")
     return joined.withColumn("__copy", F.row_number().over(one)).filter("__copy = 1").select(*docs.columns)
 
 
