@@ -110,3 +110,51 @@ def test_null_ids_join_nothing(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(docs).collect()) == [
         ("7", "7"), ("8", "8"), ("9", "9"), ("None", "7"), ("None", "None"), ("None", "None"),
     ]
+
+
+def five(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_stage_links_all_of_four_fifths(spark):
+    r = random.Random(11)
+    texts = ["", "one two", "ONE  two", "one two three"]
+    for size in (5, 6, 9, 30, 120, 700):
+        for _ in range(4):
+            base = [f"w{r.randrange(500)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for edits in (1, 1, 2, 3, size // 50, size // 45, size // 40, size // 35):
+                words = list(base)
+                for _ in range(edits):
+                    words[r.randrange(size)] = "changed"
+                texts.append(" ".join(words))
+            texts.append(" ".join([*base, *(f"v{r.randrange(500)}" for _ in range(size // 5))]))
+    texts = list(dict.fromkeys(texts))
+    r.shuffle(texts)
+    sets, parent = [five(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    wide = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                wide += (brute_print(texts[i]) ^ brute_print(texts[j])).bit_count() > 3
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert wide > 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()} == {root(i) for i in range(len(texts))}
+
+
+def test_stage_keeps_texts_without_id(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(None, "a b c d e f"), (None, "q w e r t y"), (None, long), (7, long + " more"), (5, "A one"), (5, "C one"), (3, "c ONE")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(None, "a b c d e f"), (None, "q w e r t y"), (7, long + " more"), (5, "A one"), (3, "c ONE")]
+    assert sorted((tuple(r) for r in simhash.keep_one_of_each(docs).collect()), key=str) == sorted(want, key=str)
+    assert simhash.keep_one_of_each(docs.limit(0)).count() == 0

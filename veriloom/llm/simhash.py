@@ -7,6 +7,9 @@ differ by more than the radius are skipped.  A group of more than ``UNIT_ROWS``
 tasks.  A unit reports the links as a spanning forest, at most one link per node, so hot groups give no quadratic output; the
 forest connects exactly what the links connect.  Components come from alternating large-star and small-star steps.
 
+The pipeline's stage (``keep_one_of_each``) links texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+No radius finds these without comparing nearly all pairs, so a prefix join, which is exact, adds candidates to the SimHash links.
+
 Defined results: null, empty and blank text have fingerprint zero; of one or two words the whole sequence is the shingle; rows
 that repeat a doc_id are one document if their texts agree; a null doc_id counts as larger than any; an empty table gives no rows.
 """
@@ -31,22 +34,32 @@ SEED = 42
 UNIT_ROWS = 32_768
 #: Rows of a tile within a unit.
 TILE = 1024
+#: Words of a shingle in the pipeline's stage, which links texts that have four fifths of their shingles in common.
+STAGE_SHINGLE = 5
+#: About as many documents are sampled for shingles that several texts have, that many make one common, and that many are known.
+SAMPLE, OFTEN, COMMON = 20_000, 2, 200_000
+#: Bits of a set's sketch.
+SKETCH = 1024
 #: Stands for a null doc_id.
 NO_ID = (1 << 63) - 1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's runs of ``shingle`` words, in order; a shorter text is one run, a blank one has none."""
     data = (text or "").encode().lower()  # bytes: A-Z only, and split at ASCII white space only
     words = data.split()
-    if not words:
-        return 0
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
     stops = (ends - 1).tolist()
     h = xxhash.xxh64_intdigest
-    k = min(shingle, len(words))
-    hashes = np.array([h(line[a:b], SEED) for a, b in zip(starts, stops[k - 1 :])], dtype="<u8")  # noqa: B905
+    k = max(1, min(shingle, len(words)))
+    return np.array([h(line[a:b], SEED) for a, b in zip(starts, stops[k - 1 :])], dtype="<u8")  # noqa: B905
+
+
+def majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 16_384):
         some = hashes[at : at + 16_384].view(np.uint8).reshape(-1, 8)
@@ -54,6 +67,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` with the fingerprint as a signed long."""
 
@@ -233,7 +250,137 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles, sorted; a blank text has the one shingle 0."""
+    found = np.unique(shingles(text, STAGE_SHINGLE)).astype(np.uint64)
+    return found if len(found) else np.zeros(1, np.uint64)
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles of several texts of a sample, at most ``COMMON``; they only order the prefixes, any choice gives the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["h"])
+
+    parts = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text").mapInArrow(run, "h bigint")
+    often = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON)
+    return np.sort(np.array([r["h"] for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
+def prefixes(docs: DataFrame) -> DataFrame:
+    """``doc_id, body, node, fp, n, prefix, sketch``: the shingle set's digest and size, the SimHash of the shingles, the prefix.
+
+    In one order of all shingles, common ones last, two sets of which at least four fifths are shared have a shingle in common
+    among the first ``n - ceil(4 n / 5) + 1`` of each.  The sketch has the parity of the shingles that fall on each bit: two sketches
+    differ in no more bits than the sets differ in shingles.
+    """
+    bound_batches(docs.sparkSession)
+    common = common_shingles(docs)
+
+    def mark(text: str | None) -> tuple[int, int, int, np.ndarray, bytes]:
+        found = shingles(text, STAGE_SHINGLE)
+        some = np.unique(found).astype(np.uint64) if len(found) else np.zeros(1, np.uint64)
+        bits = np.bincount((some >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+        node, n = xxhash.xxh64_intdigest(some.tobytes(), SEED), len(some)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, some), len(common) - 1)
+            last = common[at] == some
+            some = np.concatenate([some[~last], some[last]])
+        return node, majority(found), n, some[: n - (4 * n + 4) // 5 + 1].view(np.int64), np.packbits(bits.astype(np.uint8)).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [mark(t.as_py()) for t in batch.column(2)]
+            node, fp = (pa.array(np.array([m[k] for m in marks], np.uint64).view(np.int64), pa.int64()) for k in (0, 1))
+            lists = pa.array([m[3] for m in marks], pa.list_(pa.int64()))
+            columns = [batch.column(0), batch.column(1), node, fp, pa.array([m[2] for m in marks], pa.int32()), lists, pa.array([m[4] for m in marks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "body", "node", "fp", "n", "prefix", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, body bigint, node bigint, fp bigint, n int, prefix array<bigint>, sketch binary")
+
+
+def prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes with a shingle ``h`` whose sizes and places (``h, n, place, node``, sorted) leave four fifths possible."""
+    rest: list[np.ndarray] | None = None
+
+    def compare(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, n, place, node = columns
+        new = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(node) != 0)])  # copies of a set follow one another
+        h, n, place, node = h[new], n[new], place[new], node[new]
+        first, shift = np.arange(len(h)), 0
+        while len(first):
+            shift += 1
+            first = first[first + shift < len(h)]
+            # sizes ascend within a shingle: a row that is done stays done
+            first = first[(h[first] == h[first + shift]) & (5 * n[first] >= 4 * n[first + shift])]
+            other = first + shift
+            most = np.minimum(n[first] - place[first], n[other] - place[other])
+            hit = (9 * most >= 4 * (n[first] + n[other])) & (node[first] != node[other])
+            if hit.any():
+                a, b = node[first[hit]], node[other[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        if rest is not None:
+            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        rest = [c[cut:] for c in columns]
+        if cut:
+            yield from compare([c[:cut] for c in columns])
+    if rest is not None and len(rest[0]):
+        yield from compare(rest)
+
+
+def near_links(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """``u, v`` (u > v): all pairs of different shingle sets with a Jaccard similarity of at least 0.8.
+
+    Candidates are the pairs that share a shingle of their prefixes, which misses none, and the links of the SimHash bands.
+    Those whose sketches leave four fifths possible are confirmed on the sets themselves.
+    """
+    spark = docs.sparkSession
+    rows = marks.select("node", "n", F.posexplode("prefix").alias("place", "h")).select("h", "n", "place", "node")
+    rows = rows.repartition(shuffle_partitions(spark), "h").sortWithinPartitions("h", "n", "node")
+    shared = rows.mapInArrow(prefix_pairs, "u bigint, v bigint")
+    prints = marks.groupBy("fp").agg(F.min("node").alias("least"))
+    same = marks.select("fp", "node").join(prints, "fp").filter("node <> least").select(F.greatest("node", "least").alias("u"), F.least("node", "least").alias("v"))
+    banded = links(prints.select("fp", F.col("least").alias("node")))
+    pairs = written(shared.unionByName(same).unionByName(banded).distinct(), "near-candidates")
+    nodes = written(marks.groupBy("node").agg(F.min("body").alias("body"), F.max("n").cast("int").alias("n"), F.max("sketch").alias("sketch")), "shingle-nodes")
+    first, second = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for k in (2, 3))
+            yield batch.select(["u", "v"]).filter(pa.array(9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= batch.column(4).to_numpy()))
+
+    joined = pairs.join(first, "u").join(second, "v").select("u", "v", "sketch_u", "sketch_v", (F.col("n_u") + F.col("n_v")).cast("bigint").alias("n"))
+    pairs = written(joined.mapInArrow(alike, "u bigint, v bigint"), "near-pairs")
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = written(wanted.join(nodes.select("node", "body"), "node"), "near-wanted")
+    texts = docs.select("text", F.xxhash64("text").alias("body")).join(wanted, "body").select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["node", "set"])
+
+    sets = written(texts.mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"]), "near-sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    return both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """Of documents that links of ``near_links`` connect the smallest doc_id, with all columns; its rows stay as often as they come."""
+    marks = written(prefixes(docs), "shingle-marks")
+    found = components(docs.sparkSession, near_links(docs, marks))
+    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("body").alias("__body"))
+    kept = marks.select("node", key.alias("key")).join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("key").alias("key"))
+    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__body": F.xxhash64("text")})
+    return rows.join(kept.select("key.*").distinct(), ["__id", "__body"], "left_semi").select(*docs.columns)
