@@ -141,3 +141,38 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert mixing.mix_report(docs.limit(0)).count() == 0
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
     assert {r["taken"] for r in mixing.mix_report(docs.filter("text is null")).collect()} == {0}
+
+
+def test_slots_are_spread_where_one_source_has_nearly_all(spark):
+    sizes = [(0, 25_600_000), (1, 1_400_000), (2, 1_400_000)]
+    sources = spark.createDataFrame([(s, n, 1.4 * n) for s, n in sizes], "s bigint, source_size bigint, target double")
+    slots = mixing.draw(mixing.quotas(sources))
+    kept = slots.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    tasks, total = 8, sum(r["n"] for r in kept)
+    assert total == sum(r["slots"] for r in mixing.quotas(sources).collect())
+    assert max(r["n"] for r in kept) <= 2 * total / tasks
+    assert slots.select("s", "j").distinct().count() == total
+
+
+def test_ids_null_or_repeated_and_clashing_names(spark):
+    names = "doc_id bigint, text string, source string, id string, `_id` string, hash string, copy int, uses int, `__id` string, epoch int, s int"
+    rows = [(i, t, s, "i", "j", "h", 4, 5, "k", 6, k) for k, (i, t, s) in enumerate([(None, "a b c d", "s"), (None, "e f g", "s"), (None, "e f g", None), (3, "p q r", "s"), (3, "x y", "s"), (3, "x y", ""), (3, "x y", "s")])]
+    docs = spark.createDataFrame(rows, names)
+    out = mixing.mixed_documents(docs).collect()
+    assert all((r["id"], r["_id"], r["hash"], r["copy"], r["uses"], r["__id"], r["epoch"]) == ("i", "j", "h", 4, 5, "k", 6) for r in out)
+    words = Counter()
+    for r in out:
+        whole = rows[r["s"]]
+        assert (r["doc_id"], r["source"]) == (whole[0], whole[2]) and set(r["text"].split()) <= set(whole[1].split())
+        words[r["doc_id"], r["source"]] += len(r["text"].split())
+    taken = Counter()
+    for r in mixing.Mix(docs).rows.join(mixing.targets(mixing.sized(docs)).select("s", "source"), ["s"]).collect():
+        taken[r["doc_id"]] += r["size"]
+    reported = Counter()
+    for r in mixing.mix_report(docs).collect():
+        assert r["taken"] <= 2 * r["size"]
+        reported[r["doc_id"]] += r["taken"]
+    got = Counter()
+    for (i, _), n in words.items():
+        got[i] += n
+    assert got == reported

@@ -7,14 +7,21 @@ drew too few), so each source gives exactly its target.  The j-th slot of a sour
 pseudorandom permutation of block indices is a swap-or-not network, which is a bijection for any number of blocks, with other
 keys in each pass over the source.  Slots and blocks meet in an equi-join on (source, block index).
 
+Slots are made where they are needed: the counts by shard and source are cut into ranges of at most ``RANGE_SLOTS`` slots, the
+ranges are dealt over all tasks, and only then is a range expanded, so a source with nine tenths of the mix is spread like any other.
+
 Streams are summed up in two steps (4096 hash ranges of a source, then rows within one), so a source with a third of all rows
 is spread over as many tasks as any other; the order doesn't depend on the number of partitions.
 
 Targets: weights 3, 1, 2 repeat over the sources by code point, null last; they share 150 % of all words, a target stops at twice
 its source, and what is above is shared again by weight.
 
+Bounds: the tables with one row per source (targets, quotas, spans) are sorted in one task, so sources are to be few (up to some
+millions); a source has one row per shard in one task, a 65,536th of its slots at most.
+
 Defined results: null and empty text have size 0 and give nothing; null is a source of its own; repeated rows are documents of
-their own; a null doc_id comes after any; an empty table gives no rows.
+their own (those equal in id, text and source meet in one task, which spills); a null doc_id takes its place by its text; a very
+long text is split over as many blocks as it needs; columns of any name are kept as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import WORD, written
+from .storage import WORD, shuffle_partitions, spare_names, written
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 65_536
+#: Slots that one row is expanded into, and that a task holds on average at most.
+RANGE_SLOTS, TASK_SLOTS = 256, 2_000_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -106,16 +115,20 @@ def draw(quota: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     drawn = drawn.withColumn("cell", F.expr(f"u div {width}")).join(cells, "cell").filter("u >= low and u < high")
     counts = written(drawn.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("k")), "mix-counts")
     before = F.coalesce(F.sum("k").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slots = counts.withColumn("before", before).select("shard", "s", F.explode(F.expr("sequence(before, before + k - 1)")).alias("j"))
+    counts = counts.withColumn("before", before)
     # totals: what a source drew beyond its slots goes to sources that drew too few
     drew = spans.join(counts.groupBy("s").agg(F.sum("k").alias("drew")), "s", "left").na.fill(0, ["drew"])
     over, under = F.greatest(F.lit(0), F.col("drew") - F.col("slots")), F.greatest(F.lit(0), F.col("slots") - F.col("drew"))
     ordered = Window.orderBy("s")
     drew = drew.withColumn("over_before", F.sum(over).over(ordered) - over).withColumn("under_before", F.sum(under).over(ordered) - under)
     drew = written(drew.select("s", "slots", "drew", "over_before", "under_before"), "mix-drew")
-    slots = slots.join(drew.select("s", "slots", "over_before"), "s")
-    kept = slots.filter("j < slots").select("shard", "s", "j")
-    moved = slots.filter("j >= slots").select("shard", (F.col("over_before") + F.col("j") - F.col("slots")).alias("e"))
+    # short ranges, dealt over the tasks before they are expanded
+    ranges = counts.join(drew.select("s", "slots", "over_before"), "s").withColumn("first", F.explode(F.expr(f"sequence(before, before + k - 1, {RANGE_SLOTS})")))
+    ranges = ranges.withColumn("last", F.expr(f"least(first + {RANGE_SLOTS}, before + k) - 1"))
+    ranges = ranges.repartition(max(shuffle_partitions(spark), total // TASK_SLOTS + 1), "shard", "s", "first")
+    kept = ranges.filter("first < slots").select("shard", "s", F.explode(F.expr("sequence(first, least(last, slots - 1))")).alias("j"))
+    moved = ranges.filter("last >= slots").select("shard", "slots", "over_before", F.explode(F.expr("sequence(greatest(first, slots), last)")).alias("j"))
+    moved = moved.select("shard", (F.col("over_before") + F.col("j") - F.col("slots")).alias("e"))
     gaps = drew.filter("drew < slots").select("s", "drew", "under_before", F.explode(F.expr("sequence(drew, slots - 1)")).alias("j"))
     gaps = gaps.select("s", "j", (F.col("under_before") + F.col("j") - F.col("drew")).alias("e"))
     return kept.unionByName(moved.join(gaps, "e").select("shard", "s", "j"))
@@ -137,7 +150,7 @@ def streams(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """``sizes`` with ``s, source_size, target`` and ``start``, the words of its source before the document."""
     named = sources.select("s", F.col("source").alias("__source"), "source_size", "target")
     rows = sizes.join(named, sizes["source"].eqNullSafe(named["__source"])).drop("__source")
-    rows = rows.withColumn("h", F.xxhash64(F.lit(SEED + 2).cast("bigint"), F.coalesce("doc_id", F.lit(NO_ID))))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(SEED + 2).cast("bigint"), F.coalesce("doc_id", "text_hash")))
     rows = written(rows.withColumn("range", F.shiftrightunsigned("h", 64 - RANGES_BITS).cast("int")), "mix-rows")
     sums = rows.groupBy("s", "range").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -188,22 +201,24 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     The text is unchanged where a pass takes all its words, else the words taken, joined by one space; ``n_chars`` follows it.
     """
     mix = Mix(docs)
-    id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    copies = Window.partitionBy("__id").orderBy("__hash", "__name")
-    numbered = mix.rows.select("s", "start", "size", id_.alias("__id"), F.col("text_hash").alias("__hash"), F.coalesce("source", F.lit("")).alias("__name"))
-    numbered = numbered.withColumn("copy", F.row_number().over(copies)).filter("size > 0").select("s", "start", "__id", "copy")
-    uses = mix.parts.groupBy("s", "start", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("high") - F.col("low")).alias("n")))).alias("ranges"))
-    uses = uses.join(numbered, ["s", "start"])
-    uses = uses.groupBy("__id").agg(F.collect_list(F.struct("copy", "epoch", "size", "ranges")).alias("__uses"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"__id": id_, "__hash": F.xxhash64(text), "__name": F.coalesce(F.col("source").cast("string"), F.lit(""))})
-    rows = rows.withColumn("__copy", F.row_number().over(copies)).join(uses, "__id")
-    rows = rows.withColumn("__use", F.explode("__uses")).filter("__use.copy = __copy")
+    id_, hash_, name, copy, uses, use = spare_names(docs, "id", "hash", "name", "copy", "uses", "use")
+    # rows are told apart by id, text and source; those equal in all three are numbered
+    named = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
+    copies = Window.partitionBy(id_, hash_, name)
+    numbered = mix.rows.select("s", F.col("start").alias("__start"), "size", F.coalesce("doc_id", F.lit(NO_ID)).alias(id_), F.col("text_hash").alias(hash_), named.alias(name))
+    numbered = numbered.withColumn(copy, F.row_number().over(copies.orderBy("__start"))).filter("size > 0").withColumnsRenamed({"__start": "start"}).drop("size")
+    taken = mix.parts.groupBy("s", "start", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("high") - F.col("low")).alias("n")))).alias("ranges"))
+    taken = taken.join(numbered, ["s", "start"]).groupBy(id_, hash_, name).agg(F.collect_list(F.struct(copy, "size", "ranges")).alias(uses))
+    # window and join have one key, so texts are shuffled once
+    rows = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), hash_: F.xxhash64(F.coalesce("text", F.lit(""))), name: named})
+    rows = rows.withColumn(copy, F.row_number().over(copies.orderBy(id_))).join(taken, [id_, hash_, name])
+    rows = rows.withColumn(use, F.explode(F.filter(uses, lambda u: u[copy] == F.col(copy))))
+    ranges = F.col(f"{use}.ranges")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     # bound by a lambda, so a text is cut into words once and not for each range
-    part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("__use.ranges", lambda r: F.slice(w, (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")), 1)
-    total = F.aggregate("__use.ranges", F.lit(0).cast("bigint"), lambda n, r: n + r["n"])
-    rows = rows.withColumn("text", F.when(total == F.col("__use.size"), F.col("text")).otherwise(part))
+    part = F.element_at(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(ranges, lambda r: F.slice(w, (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")), 1)
+    total = F.aggregate(ranges, F.lit(0).cast("bigint"), lambda n, r: n + r["n"])
+    rows = rows.withColumn("text", F.when(total == F.col(f"{use}.size"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -1,7 +1,7 @@
 """Tables that a job writes in order to cut lineage or to keep state.
 
-Everything goes below ``spark.checkpoint.dir``, which driver and executors share.  The folder is read from the session; only
-where it is unset (local tests) a fresh temporary one is made and set.
+Everything goes below ``spark.checkpoint.dir``, which driver and executors share.  The folder is read from the session; where it
+is unset, a fresh temporary one is made for a local master, and any other master is refused.  ``discard`` deletes what jobs left.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
@@ -30,6 +32,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` is called so (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to a fresh shared folder and read it back.
 
