@@ -2,21 +2,29 @@
 
 Reference blocks are content-defined: of any ``WINDOW`` consecutive words, the smallest hash among its word n-grams names an
 anchor, so equal passages choose equal anchors wherever they stand.  The block of an anchor is the anchor with all words that a
-window around it can reach; blocks of all documents are indexed by (anchor, block digest) with the smallest document that holds
-them.  A document is factored greedily: blocks found whole in an earlier document are taken one after another and neighbours merge
-into one factor.  At factor boundaries, where an earlier document has the anchor but not the whole block, the windows of the
-block are compared one by one, by 128-bit digests, against the windows of every other block of that anchor.  Every window has
-exactly one anchor, so the two steps find every repeated window and no other.
+window around it can reach.  Blocks of all documents are indexed by (anchor, block digest) with their first occurrence: document
+and place.  A document meets the index at its anchors.  A block that an earlier document has whole is a match; where an earlier
+document has the anchor but not the whole block, the block's windows are looked up one by one, by 128-bit digests, among the
+windows of the anchor's other blocks.  Every window has exactly one anchor, so no repeated window is missed and no other is found.
+
+``factorise`` then parses the document greedily from left to right.  Matches that lie on one diagonal of one reference (same
+document, same distance) and overlap are one longer match; at a position the match that reaches furthest is the next factor
+(start, length, reference document, reference start), and the parse goes on where it ends.  Factors of at least ``WINDOW`` words
+are duplicate spans.  At factor boundaries, windows that begin in one factor and end beyond it are looked up among the matches too.
 
 Shuffled are one row per anchor (about one for 22 words), and windows of boundary blocks only.  An anchor that a third of all
-documents share shrinks to its distinct blocks before the shuffle.
+documents share shrinks to its distinct blocks before the shuffle; the index is joined by block digest and by window digest, so
+one anchor in very many different blocks is spread over all tasks.
 
 Defined results: null, empty and blank texts have no words; documents below ``WINDOW`` words lose none; of documents with equal
-ids none is earlier than the other; a null doc_id is later than any other; an empty table gives no rows.
+ids none is earlier than the other, and a null doc_id is later than any other; each row is judged by its own text, so rows that
+share an id, or have none, don't touch each other's words; very long texts are parsed whole; other columns, whatever their names,
+are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,7 +107,7 @@ class Words:
 
 
 def parse(text: str | None, window: int, gram: int) -> tuple[list, int]:
-    """Anchors as (anchor hash, block hash, block hash, first word of the anchor), and the number of words."""
+    """Anchors as (anchor hash, block hash, block hash, first word of the anchor, first and end word of the block), and the number of words."""
     w = Words(text)
     if w.n < window:
         return [], w.n
@@ -109,91 +117,155 @@ def parse(text: str | None, window: int, gram: int) -> tuple[list, int]:
     a, b = w.runs(first, last)
     with np.errstate(over="ignore"):  # how far the block reaches counts too
         b = _mix(b + (at - first).astype(_U64) * _U64(1 << 20) + (last - at).astype(_U64))
-    return [anchor.view(np.int64), a.view(np.int64), b.view(np.int64), at], w.n
+    return [anchor.view(np.int64), a.view(np.int64), b.view(np.int64), at, first, last], w.n
+
+
+#: A row is told from others by its id (``doc``, for which null is last) and two hashes; the second is 0 where there is an id.
+ROW = ["doc", "x", "y"]
+_ROW = "doc bigint, x bigint, y bigint"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, doc, x, y, text``."""
+    id_ = F.col("doc_id").cast("bigint")
+    other = F.when(id_.isNull(), F.xxhash64(F.lit(7), "text")).otherwise(F.lit(0).cast("bigint"))
+    return docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("x"), other.alias("y"), "text")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True)
 
 
 def index_blocks(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc, at, anchor, h1, h2``: every anchor of every document."""
+    """Every anchor of every document: its row, the block's first word and number of words, and the hashes."""
+    kinds = f"{_ROW}, first int, n int, anchor bigint, h1 bigint, h2 bigint, at int"
+    names = [k.split()[0] for k in kinds.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: list[list] = [[] for _ in names]
+            for doc, x, y, text in _rows(batch):
                 found, _ = parse(text.as_py(), window, gram)
                 if found:
-                    anchor, a, b, at = found
-                    for column, values in zip(out, (np.full(len(at), key), at, anchor, a, b), strict=True):
+                    anchor, a, b, at, first, last = found
+                    row = (np.full(len(at), v, np.int64) for v in (doc, x, y))
+                    for column, values in zip(out, (*row, first.astype(np.int32), (last - first).astype(np.int32), anchor, a, b, at.astype(np.int32)), strict=True):
                         column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["doc", "at", "anchor", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc bigint, at bigint, anchor bigint, h1 bigint, h2 bigint")
+    return docs.select(*ROW, "text").mapInArrow(run, kinds)
 
 
 def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc, start, h1, h2`` of the windows whose anchor is in ``docs.ats``."""
+    """The windows whose anchor is in ``docs.ats``: row, first word and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, ats in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for (doc, x, y, text), ats in zip(_rows(batch), batch.column(4), strict=True):
                 w = Words(text.as_py())
                 starts = np.flatnonzero(np.isin(w.anchors(window, gram), np.array(ats.as_py())))
                 a, b = w.runs(starts, starts + window)
-                columns = [np.full(len(starts), key), starts, a.view(np.int64), b.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "h1", "h2"])
+                columns = [*(np.full(len(starts), v, np.int64) for v in (doc, x, y)), starts.astype(np.int32), a.view(np.int64), b.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*ROW, "start", "h1", "h2"])
 
-    return docs.select("doc", "text", "ats").mapInArrow(run, "doc bigint, start bigint, h1 bigint, h2 bigint")
+    return docs.select(*ROW, "text", "ats").mapInArrow(run, f"{_ROW}, start int, h1 bigint, h2 bigint")
 
 
-def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id, spans``: the words, as merged [first, end) pairs, that a smaller document has in a window; only documents with any."""
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), "text")
+def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``doc, x, y, matches``: for rows of ``keyed`` that have any, ``(start, n, ref, ref_start)``: words that an earlier document has too.
+
+    The reference is the block's first occurrence where an earlier document has the whole block, else the window's.
+    """
     anchors = written(index_blocks(docs, window, gram), "anchors")
-    # distinct blocks with their smallest document; only anchors of two documents or more matter
-    blocks = anchors.groupBy("anchor", "h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks"), F.min("least").alias("first"), F.max("most").alias("last"))
-    shared = shared.filter("first < last").select(F.col("anchor").alias("__anchor"), "blocks")
+    # distinct blocks with their first occurrence; only anchors of two documents or more matter
+    blocks = anchors.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("doc", "first")).alias("ref"), F.max("doc").alias("most"))
+    shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks"), F.min("ref.doc").alias("low"), F.max("most").alias("high"))
+    shared = shared.filter("low < high").select(F.col("anchor").alias("__anchor"), "blocks")
     blocks = written(blocks.join(shared, F.col("anchor") == F.col("__anchor")).drop("__anchor", "most"), "blocks")
-    met = written(anchors.join(blocks, ["anchor", "h1", "h2"]).select("doc", "at", "least", "blocks"), "met")
-    # whole blocks of an earlier document
-    whole = met.filter("least < doc").select("doc", F.greatest(F.lit(0), F.col("at") + gram - window).alias("a"), (F.col("at") + window).alias("b"))
-    # factor boundaries: the first document of a block compares its windows with those of the anchor's other blocks
-    edge = met.filter("least = doc and blocks > 1").groupBy("doc").agg(F.collect_set("at").alias("ats"))
-    windows = written(_windows(docs.join(edge, "doc"), window, gram), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
-    found = windows.join(least, ["h1", "h2"]).filter("least < doc").select("doc", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
-    spans = whole.unionByName(found).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    return spans.withColumnRenamed("doc", "doc_id")
-
-
-def _kept(words: list[bytes], spans: list | None) -> list[bytes]:
-    out, at = [], 0
-    for span in spans or ():
-        out += words[at : max(at, span["a"])]
-        at = max(at, span["b"])
-    return out + words[at:]
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept``: every document's words that no smaller document has in a window."""
-    spans = duplicate_spans(docs, window, gram).withColumnRenamed("doc_id", "__doc")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    joined = texts.join(spans, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("__doc"), "left").select("doc_id", "text", "spans")
+    met = written(anchors.join(blocks, ["anchor", "h1", "h2"]).select(*ROW, "first", "n", "at", "ref", "blocks"), "met")
+    whole = met.filter("ref.doc < doc").select(*ROW, F.struct(F.col("first").alias("start"), "n", F.col("ref.doc").alias("ref"), F.col("ref.first").alias("ref_start")).alias("m"))
+    # factor boundaries: the first document of a block looks its windows up among those of the anchor's other blocks
+    edge = met.filter("ref.doc = doc and blocks > 1").groupBy(*ROW).agg(F.collect_set("at").alias("ats"))
+    windows = written(_windows(docs.join(edge, ROW), window, gram), "windows")
+    least = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("ref"), F.max("doc").alias("most")).filter("ref.doc < most").drop("most")
+    found = windows.join(least, ["h1", "h2"]).filter("ref.doc < doc")
+    found = found.select(*ROW, F.struct("start", F.lit(window).alias("n"), F.col("ref.doc").alias("ref"), F.col("ref.start").alias("ref_start")).alias("m"))
+    return whole.unionByName(found).groupBy(*ROW).agg(F.collect_list("m").alias("matches"))
+
+
+def factorise(matches: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy parse over rows ``start, n, ref, ref_start``: the factors as such rows, and the duplicate spans ``[start, end)``."""
+    start, n, ref, ref_start = matches.T
+    order = np.lexsort((start, ref_start - start, ref))
+    start, end, ref, shift = start[order], (start + n)[order], ref[order], (ref_start - start)[order]
+    # matches on one diagonal that overlap are one
+    reach, new = 0, []
+    for k in range(len(start)):
+        same = k > 0 and ref[k] == ref[k - 1] and shift[k] == shift[k - 1]
+        new.append(not same or start[k] > reach)
+        reach = max(reach, end[k]) if same else end[k]
+    head = np.flatnonzero(new)
+    long = np.stack([start[head], np.maximum.reduceat(end, head), ref[head], shift[head]], axis=1)
+    long = long[np.lexsort((long[:, 3], long[:, 2], -long[:, 1], long[:, 0]))]
+    factors, at, k = [], 0, 0
+    open_: list[tuple[int, int, int, int]] = []  # matches that begin at or before ``at``, furthest first
+    rows = long.tolist()
+    while True:
+        while k < len(rows) and rows[k][0] <= at:
+            s, e, r, d = rows[k]
+            heapq.heappush(open_, (-e, r, d, s))
+            k += 1
+        if open_ and -open_[0][0] >= at + window:
+            e, r, d, _ = open_[0]
+            factors.append((at, -e - at, r, at + d))
+            at = -e
+        elif k < len(rows):
+            at = rows[k][0]
+        else:
+            break
+    # factors, and windows across factor boundaries that lie in a match
+    spans = sorted([(f[0], f[0] + f[1]) for f in factors] + [(s, e) for s, e, *_ in rows if e - s >= window])
+    merged: list[list[int]] = []
+    for s, e in spans:
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    return np.array(factors, np.int64).reshape(-1, 4), np.array(merged, np.int64).reshape(-1, 2)
+
+
+FACTORS = "array<struct<start: bigint, length: bigint, ref: bigint, ref_start: bigint>>"
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_factors: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` (and ``factors``): every document's words that no smaller document has in a window."""
+    bound_batches(docs.sparkSession)
+    rows = keyed(docs)
+    joined = rows.join(matches(rows, window, gram), ROW, "left").select("doc_id", "text", "matches")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("start", "length", "ref", "ref_start")]))
         for batch in batches:
-            n_words, n_removed, texts = [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+            n_words, n_removed, texts, parsed = [], [], [], []
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()
-                kept = _kept(words, spans.as_py())
                 n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                texts.append(b" ".join(kept).decode())
+                factors, spans = (), np.empty((0, 2), np.int64)
+                if found.is_valid:
+                    factors, spans = factorise(np.stack([found.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1), window)
+                for a, b in spans[::-1].tolist():
+                    del words[a:b]
+                n_removed.append(n_words[-1] - len(words))
+                texts.append(b" ".join(words).decode())
+                parsed.append([dict(zip(("start", "length", "ref", "ref_start"), f, strict=True)) for f in (factors.tolist() if len(factors) else ())])
             columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
+            names = ["doc_id", "n_words", "n_removed", "kept"]
+            if with_factors:
+                columns, names = [*columns, pa.array(parsed, kind)], [*names, "factors"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string" + (f", factors {FACTORS}" if with_factors else ""))
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
