@@ -34,7 +34,7 @@ def exact_bins(sizes, capacity):
 
     def go(rest, bins):
         nonlocal best
-        if len(bins) >= best:
+        if len(bins) >= best or best == -(-sum(sizes) // capacity):
             return
         if not rest:
             best = len(bins)
@@ -72,13 +72,45 @@ def test_completion_is_optimal_on_small_histograms():
         assert plan.sequences == exact_bins(sizes, 30)
 
 
+def test_completion_is_optimal_on_random_instances():
+    random = np.random.default_rng(5)
+    assert packing.complete_bins(np.bincount([51, 46, 47, 27, 38, 37, 31, 37, 32, 17, 31, 42, 48], minlength=101), 100).sequences == 5
+    harder = 0
+    for _ in range(1000):
+        capacity = int(random.choice([30, 60, 100]))
+        sizes = random.integers(int(random.choice([1, capacity // 6])), capacity * 6 // 10, random.integers(9, 14)).tolist()
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        plan = packing.complete_bins(counts, capacity)
+        assert sorted(s for p, n in plan.patterns for s in p * n) == sorted(sizes) and all(sum(p) <= capacity for p, _ in plan.patterns)
+        assert plan.proven and plan.bound <= plan.sequences == exact_bins(sizes, capacity)
+        harder += packing.best_fit(counts, capacity).sequences > plan.sequences
+    assert harder > 20
+
+
+def test_fillings_and_dominance_against_all_subsets():
+    random = np.random.default_rng(8)
+    for _ in range(60):
+        items, room = random.integers(1, 12, 7).tolist(), int(random.integers(1, 25))
+        left = np.bincount(items, minlength=40)
+        want = {tuple(sorted(c)) for n in range(8) for c in itertools.combinations(items, n) if sum(c) <= room}
+        got = {tuple(sorted(x for s, n in f for x in [s] * n)): (f, waste) for f, waste in packing.fillings(room, left, room)}
+        assert set(got) == want and all(w == room - sum(k) for k, (_, w) in got.items())
+        for key, (filling, waste) in got.items():
+            rest = list(items)
+            for x in key:
+                rest.remove(x)
+            parts = {(sum(c), len(c)) for n in range(len(key) + 1) for c in itertools.combinations(key, n)}
+            bad = any(t < x <= t + waste or t == x and n > 1 for x in rest for t, n in parts)
+            assert packing.dominated(filling, waste, sum(1 << x for x in set(rest))) == bad
+
+
 def test_completion_beats_or_meets_best_fit_and_its_size_does_not_follow_the_counts():
     random = np.random.default_rng(3)
     counts = np.bincount(random.integers(1, 2049, 3000), minlength=2049)
     for factor in (1, 1000):
         plan = packing.complete_bins(counts * factor, 2048)
         assert packing.lower_bound(counts * factor, 2048) <= plan.sequences <= packing.best_fit(counts * factor, 2048).sequences
-        assert len(plan.patterns) < 4 * 2048
+        assert len(plan.patterns) < 4 * 2048 and (plan.proven or plan.nodes > 0)
 
 
 def test_packing_round_trip(docs, truth):

@@ -1,22 +1,24 @@
 """Best-fit packing of documents into sequences, by bin completion.
 
 Sizes are whole numbers up to the capacity, so the whole corpus is a histogram of at most ``capacity`` counts, however many
-documents there are.  The packing is found on the histogram: the largest size left is completed with the undominated fillings of
-the room around it, fullest first, and a filling is repeated as often as the counts allow.  A depth-first branch-and-bound search
-over these choices starts from a best-fit incumbent and prunes by waste; it stops where the number of sequences meets its lower
-bound.  Each repeat uses up one size or leaves less of it than one filling takes, so the plan has a bound that depends on the
-capacity alone, not on the corpus.
+documents there are.  The packing is found on the histogram by depth-first branch and bound: the largest size left is completed
+with every undominated filling of the room around it, fullest first, and repeated as often as the counts allow, then once less, and
+so on.  Best fit gives the first incumbent; a branch is cut only by dominance, by waste (what it wastes leaves no way to beat the
+incumbent) or because the same sizes were left before.  The search ends with a proof, or at its node budget with the incumbent and
+a known gap to the lower bound (``Plan.bound``, ``Plan.nodes``, ``Plan.proven``).  Each repeat uses up one size or leaves less of it
+than one filling takes, so the plan has a size that depends on the capacity alone, not on the corpus.
 
 Documents then take their slots in parallel: every piece knows its rank within its size (counted in the task that made it, plus
 the counts of earlier tasks), and the plan maps size and rank to sequence and offset.  No rows meet in one task.
 
-Defined results: null and empty text are one end id; rows that repeat a doc_id are packed as documents of their own; an empty
-table gives no rows.
+Defined results: null and empty text are one end id; rows that repeat a doc_id, or have none, are packed as documents of their own;
+very long texts are cut into pieces and encoded in bounded batches; other columns, whatever their names, are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,11 +33,8 @@ from .storage import bound_batches, written
 from .tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 2048
-#: Nodes that the search may visit before it settles for its incumbent, and fillings tried at a node.
-NODES = 4_000
-BRANCHES = 3
-#: Documents that a filling may add one by one before the rest of its room is filled by best fit.
-WIDTH = 3
+#: Fillings that the search may look at before it settles for its incumbent.
+NODES = 50_000
 
 
 @dataclass
@@ -43,6 +42,10 @@ class Plan:
     """Patterns of sizes, each repeated; sequences are numbered pattern after pattern."""
 
     patterns: list[tuple[tuple[int, ...], int]] = field(default_factory=list)
+    #: Sequences that any packing needs, fillings that the search looked at, and whether fewer sequences are known to be impossible.
+    bound: int = 0
+    nodes: int = 0
+    proven: bool = False
 
     @property
     def sequences(self) -> int:
@@ -107,109 +110,118 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return max(best, int(over[capacity // 2 + 1]))
 
 
-def fillings(largest: int, capacity: int, left: np.ndarray, sizes: list[int], width: int = WIDTH, branches: int = BRANCHES) -> list[list[int]]:
-    """Undominated ways to fill a sequence around its largest document, fullest first.
+def reachable(room: int, sizes: list[int], left: np.ndarray) -> list[int]:
+    """For each k the sums up to ``room`` that the ``k`` smallest sizes can make, as bits."""
+    every, masks = (1 << room + 1) - 1, [1]
+    for s in sizes:
+        mask, n, step = masks[-1], min(int(left[s]), room // s), 1
+        while n > 0:
+            mask |= mask << min(step, n) * s & every
+            n, step = n - step, 2 * step
+        masks.append(mask)
+    return masks
 
-    A filling is dropped if a part of it could be exchanged for one document that was left out, is at least as large as the part
-    and fits in its place.
-    """
-    room = capacity - largest
-    base = {largest: 1}
-    found: dict[tuple[int, ...], int] = {}
 
-    def spare(s: int, used: list[int]) -> int:
-        return int(left[s]) - base.get(s, 0) - used.count(s)
+def fillings(room: int, left: np.ndarray, most: int) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
+    """All ways to fill ``room`` that waste at most ``most``, fullest first, as (size, times) from large to small, and their waste."""
+    sizes = np.flatnonzero(left[: room + 1]).tolist()
+    masks = reachable(room, sizes, left)
 
-    def grow(used: list[int], room_left: int, at: int) -> None:
-        if len(found) >= 8 * branches:
+    def exactly(target: int, k: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not target:
+            yield ()
             return
-        at = min(at, bisect_right(sizes, room_left) - 1)
-        if len(used) == width or at < 0:
-            whole = _fill([largest, *used], room_left, left, sizes)[1:]
-            key = tuple(sorted(whole, reverse=True))
-            found.setdefault(key, room - sum(key))
-            return
-        tried = 0
-        for k in range(at, -1, -1):
-            s = sizes[k]
-            if spare(s, used) <= 0:
-                continue
-            grow([*used, s], room_left - s, k)
-            tried += 1
-            if tried >= 2 * branches or any(w == 0 for w in found.values()):
-                return
-        if not tried:
-            key = tuple(sorted(used, reverse=True))
-            found.setdefault(key, room - sum(key))
-
-    # the document that fills the room alone, then pairs that fill it, then the rest
-    top = bisect_right(sizes, room) - 1
-    if room == 0 or top < 0:
-        return [[largest]]
-    if sizes[top] == room and spare(room, []) > 0:
-        return [[largest, room]]
-    low, high = 0, top
-    while low <= high:
-        a, b = sizes[low], sizes[high]
-        if a + b > room:
-            high -= 1
-        elif a + b < room:
-            low += 1
-        elif spare(b, []) > 0 and spare(a, [b]) > 0:
-            return [[largest, b, a]]
-        else:
-            low += 1
-    grow([], room, top)
-    kept = [key for key, waste in sorted(found.items(), key=lambda x: x[1]) if not _dominated(key, waste, left, sizes, base)]
-    if not kept:
-        kept = [min(found, key=found.get)]
-    return [[largest, *key] for key in kept[:branches]]
-
-
-def _dominated(key: tuple[int, ...], waste: int, left: np.ndarray, sizes: list[int], base: dict[int, int]) -> bool:
-    parts = {(0, 0)}
-    for s in key[: 2 * WIDTH]:
-        parts |= {(t + s, n + 1) for t, n in parts}
-    for t, n in parts:
-        if not n:
-            continue
-        for x in sizes[bisect_right(sizes, t + waste) - 1 :: -1]:
-            if x < t or n == 1 and x == t:
-                break
-            if int(left[x]) - base.get(x, 0) - key.count(x) > 0:
-                return True
-    return False
+        for j in range(bisect_right(sizes, target, 0, k) - 1, -1, -1):
+            s = sizes[j]
+            for n in range(min(int(left[s]), target // s), 0, -1):
+                if masks[j] >> target - n * s & 1:
+                    for rest in exactly(target - n * s, j):
+                        yield (s, n), *rest
+
+    for waste in range(min(most, room) + 1):
+        if masks[-1] >> room - waste & 1:
+            for filling in exactly(room - waste, len(sizes)):
+                yield filling, waste
+
+
+def dominated(filling: tuple[tuple[int, int], ...], waste: int, spare: int) -> bool:
+    """Whether a part of the filling (or nothing) could give way to one document of ``spare`` (bits) that is larger, or as large
+    as two or more, and fits in its place."""
+    one, many = 0, 0
+    for s, n in filling:
+        for _ in range(n):
+            many |= many << s | one << s
+            one |= 1 << s
+    reach, width = one | many | 1, 1
+    while width < waste:  # bits t to t + width - 1 of every sum t
+        step = min(width, waste - width)
+        reach, width = reach | reach << step, width + step
+    larger = reach << 1 if waste else 0
+    return bool((larger | many) & spare)
 
 
 def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """Bin completion branch-and-bound on a histogram of sizes (``counts[s]`` documents of size ``s``)."""
     counts = np.asarray(counts, dtype=np.int64)
-    incumbent = best_fit(counts, capacity)
-    fewest, bound = incumbent.sequences, lower_bound(counts, capacity)
+    best = best_fit(counts, capacity)
+    fewest, bound = best.sequences, lower_bound(counts, capacity)
     total = int((counts * np.arange(len(counts))).sum())
-    # what is left, sequences and ids so far, the way here: (pattern, times, earlier way)
-    stack: list[tuple] = [(counts.copy(), 0, 0, None)]
-    while stack and nodes > 0 and fewest > bound:
-        left, used, filled, way = stack.pop()
-        sizes = np.flatnonzero(left).tolist()
-        while nodes > 0:
-            nodes -= 1
-            if not sizes:
-                if used < fewest:
-                    fewest, incumbent = used, Plan(_unrolled(way))
-                break
-            # the waste so far can't be made good: what is left needs its total size at least
-            if used + -(-(total - filled) // capacity) >= fewest:
-                break
-            first, *others = fillings(sizes[-1], capacity, left, sizes)
-            for other in reversed(others):
-                branch, step = left.copy(), Plan()
-                n = _take(step, other, branch, list(sizes))
-                stack.append((branch, used + n, filled + n * sum(other), (*step.patterns[0], way)))
-            step = Plan()
-            n = _take(step, first, left, sizes)
-            used, filled, way = used + n, filled + n * sum(first), (*step.patterns[0], way)
-    return incumbent
+    seen: dict[tuple, int] = {}
+    visited = 0
+
+    def children(left: np.ndarray, used: int, filled: int, way: tuple | None, but: tuple | None) -> Iterator[tuple]:
+        """What one filling of the largest size leaves, the filling repeated as often as it can be, then less often.
+
+        A filling repeated less often than it could be isn't taken again (``but``): that is the branch before.
+        """
+        nonlocal visited
+        largest = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[largest] -= 1
+        room = capacity - largest
+        exact = ((((room, 1),), 0),) if room and room < len(rest) and rest[room] else None  # one document that fills the room dominates all else
+        spare = sum(1 << s for s in np.flatnonzero(rest[: room + 1]).tolist())
+        for filling, waste in exact or fillings(room, rest, (fewest - 1 - used) * capacity - (total - filled)):
+            visited += 1
+            if visited > nodes:
+                return
+            if waste > (fewest - 1 - used) * capacity - (total - filled):
+                return  # the incumbent got better
+            gone = sum(1 << s for s, n in filling if n == rest[s])
+            if filling == but or not exact and dominated(filling, waste, spare & ~gone):
+                continue
+            need = dict(filling)
+            need[largest] = need.get(largest, 0) + 1
+            most = min(int(left[s]) // n for s, n in need.items())
+            pattern = tuple(x for s in sorted(need, reverse=True) for x in [s] * need[s])
+            for times in range(most, 0, -1):
+                after = left.copy()
+                for s, n in need.items():
+                    after[s] -= times * n
+                yield after, used + times, filled + times * (capacity - waste), (pattern, times, way), filling if times < most else None
+                visited += 1
+
+    stack = [iter([(counts.copy(), 0, 0, None, None)])] if fewest > bound else []
+    while stack and visited <= nodes and fewest > bound:
+        node = next(stack[-1], None)
+        if node is None:
+            stack.pop()
+            continue
+        left, used, filled, way, but = node
+        if not left.any():
+            if used < fewest:
+                fewest, best = used, Plan(_unrolled(way))
+            continue
+        # the waste so far can't be made good: what is left needs its total size at least
+        if used + -(-(total - filled) // capacity) >= fewest:
+            continue
+        state = (hashlib.blake2b(left.tobytes(), digest_size=16).digest(), but)
+        if seen.get(state, used + 1) <= used:
+            continue
+        seen[state] = used
+        stack.append(children(*node))
+    best.bound, best.nodes, best.proven = bound, visited, fewest == bound or visited <= nodes
+    return best
 
 
 def _unrolled(way: tuple | None) -> list[tuple[tuple[int, ...], int]]:
@@ -294,6 +306,11 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, nodes: int = NODES, with_ids: bool = True) -> DataFrame:
     """Every piece and its place: ``doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset``."""
+    return pack_by_plan(docs, tokenizer, capacity, nodes, with_ids)[0]
+
+
+def pack_by_plan(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, nodes: int = NODES, with_ids: bool = True) -> tuple[DataFrame, Plan]:
+    """What ``pack`` gives, and the plan with its sequences, bound and nodes."""
     spark = docs.sparkSession
     pieces = written(cut_pieces(docs, tokenizer, capacity), "pieces")
     # counts by task and length: at most ``capacity`` for each task, whatever the tasks read
@@ -301,7 +318,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     histogram = np.zeros(capacity + 1, np.int64)
     for row in held.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
         histogram[row["length"]] = row["n"]
-    slots = spark.sparkContext.broadcast(Slots.of(complete_bins(histogram, capacity, nodes)))
+    plan = complete_bins(histogram, capacity, nodes)
+    slots = spark.sparkContext.broadcast(Slots.of(plan))  # its size follows the capacity
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = held.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
@@ -319,9 +337,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     ranked = pieces.select(*carried, "part", "nth").join(before.hint("merge"), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "part", "nth", "before")
     kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint"), plan
 
 
 def packing_digest(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Where each piece went, without its ids."""
+    """Where each piece went, without its ids; rows, empty input and other columns as in ``pack``."""
     return pack(docs, tokenizer, capacity, with_ids=False)
