@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,13 +86,50 @@ def test_long_chain(spark):
     assert found == {i: 0 for i in range(1, 301)}
 
 
-def test_tiles_give_what_all_pairs_give():
+def classes(n, edges):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in edges:
+        a, b = sorted((root(int(i)), root(int(j))))
+        parent[b] = a
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("tile", [16, 64, 4096])
+def test_tiles_connect_what_all_pairs_connect(tile):
     r = np.random.default_rng(2)
     fp = r.integers(0, 1 << 63, 500, dtype=np.uint64)
     fp[1::2] = fp[::2] ^ (np.uint64(1) << r.integers(0, 63, 250, dtype=np.uint64))
-    edges = simhash.forest(fp, np.arange(500), tile=16)
-    want = {(max(i, j), min(i, j)) for i in range(500) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 3}
-    assert {tuple(map(int, e)) for e in edges} == want
+    fp[100:200] = fp[99] ^ (np.uint64(1) << r.integers(0, 63, 100, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 63, 100, dtype=np.uint64))
+    tally = Counter()
+    edges = simhash.forest(fp, np.arange(500), tile=tile, tally=tally)
+    want = [(i, j) for i in range(500) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 3]
+    assert {tuple(sorted(e)) for e in edges.T.tolist()} <= {tuple(sorted(e)) for e in want} and len(edges.T) < 500
+    assert classes(500, edges.T) == classes(500, want)
+    tiles = -(-500 // tile)
+    assert tally["compared"] + tally["skipped"] == tiles * (tiles + 1) // 2
+    if tile == 16:
+        assert tally["skipped"] > tally["compared"] / 4
+
+
+def test_small_groups_share_tiles():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 1 << 62, 6000, dtype=np.int64)
+    fp[::3] = fp[1::3] ^ 5
+    key = np.repeat(np.arange(2000), 3).astype(np.int32)
+    zero = np.zeros(6000, np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (key, zero, zero, zero, fp, np.arange(6000))], names=["key", "a", "b", "side", "fp", "node"])
+    tally = Counter()
+    found = [r for part in simhash.unit_links(iter([batch.slice(0, 1001), batch.slice(1001)]), tally) for r in part.to_pylist()]
+    assert {(r["u"], r["v"]) for r in found} >= {(3 * k + 1, 3 * k) for k in range(2000)}
+    assert tally["compared"] > 50 and tally["skipped"] > 20
 
 
 def test_null_ids_and_empty(spark):

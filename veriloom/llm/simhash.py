@@ -1,10 +1,10 @@
 """SimHash near-duplicates: tiled exact comparison of 64-bit fingerprints.
 
 Equal fingerprints are one node.  Two fingerprints that differ in at most three bits agree on one of four 16-bit bands, so every
-node is compared within its four band groups only (bits that differ are counted over all 64).  A group is compared in tiles:
-numpy exclusive-or and bit counts on tile against tile, tiles sorted by population count, and tile pairs whose population counts
-differ by more than the radius are skipped.  A group of more than ``UNIT_ROWS`` nodes is dealt out as pairs of tiles to many
-tasks.  A unit reports the links as a spanning forest, at most one link per node, so hot groups give no quadratic output; the
+node meets those of its four band groups (bits that differ are counted over all 64).  All comparing is done in tiles: numpy
+exclusive-or and bit counts on tile against tile, rows sorted by population count, and tile pairs whose population counts differ by
+more than the radius are skipped.  Small groups share tiles; a group of more than ``UNIT_ROWS`` nodes is dealt out as pairs of tiles
+to many tasks.  A unit reports the links as a spanning forest, at most one link per node, so hot groups give no quadratic output; the
 forest connects exactly what the links connect.  Components come from alternating large-star and small-star steps.
 
 The pipeline's stage (``keep_one_of_each``) links texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
@@ -16,6 +16,7 @@ that repeat a doc_id are one document if their texts agree; a null doc_id counts
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ SEED = 42
 UNIT_ROWS = 32_768
 #: Rows of a tile within a unit.
 TILE = 1024
+#: Rows that small units share, and the rows of their tiles.
+SHARED_ROWS, SHARED_TILE = 4096, 256
 #: Words of a shingle in the pipeline's stage, which links texts that have four fifths of their shingles in common.
 STAGE_SHINGLE = 5
 #: About as many documents are sampled for shingles that several texts have, that many make one common, and that many are known.
@@ -83,81 +86,75 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS, tile: int = TILE) -> list[tuple[int, int]]:
-    """Links (larger node, smaller node) that connect what fingerprints within the radius connect.
+def forest(fp: np.ndarray, node: np.ndarray, side: np.ndarray | None = None, radius: int = RADIUS, tile: int = TILE, tally: Counter | None = None) -> np.ndarray:
+    """Links (node, node) that connect what fingerprints within the radius connect, at most one for each node.
 
-    With ``side`` (0 or 1) only pairs across the sides are compared.
+    Rows are sorted by population count and compared tile against tile; tile pairs whose counts differ by more than the radius are
+    skipped.  With ``side`` (0 or 1) only pairs across the sides are linked.  ``tally`` counts the tile pairs ``compared`` and ``skipped``.
     """
     order = np.argsort(np.bitwise_count(fp), kind="stable")
     fp, node = fp[order], node[order]
     count = np.bitwise_count(fp).astype(np.int16)
     side = None if side is None else side[order]
-    parent = np.arange(len(fp))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    edges = []
-    for a in range(0, len(fp), tile):
-        x = fp[a : a + tile]
-        for b in range(a, len(fp), tile):
+    label = np.arange(len(fp))  # smallest row that is linked
+    edges, tiles = [], -(-len(fp) // tile)
+    for x in range(tiles):
+        a = x * tile
+        for y in range(x, tiles):
+            b = y * tile
             if count[b] - count[min(a + tile, len(fp)) - 1] > radius:
+                if tally is not None:
+                    tally["skipped"] += tiles - y
                 break
-            near = np.bitwise_count(x[:, None] ^ fp[None, b : b + tile]) <= radius
+            if tally is not None:
+                tally["compared"] += 1
+            near = np.bitwise_count(fp[a : a + tile, None] ^ fp[None, b : b + tile]) <= radius
             if side is not None:
                 near &= side[a : a + tile, None] != side[None, b : b + tile]
-            for i, j in zip(*(z.tolist() for z in np.nonzero(near)), strict=True):
-                i, j = root(a + i), root(b + j)
-                if i != j:
-                    parent[j] = i
-                    edges.append((max(node[i], node[j]), min(node[i], node[j])))
-    return edges
-
-
-def small_groups(key: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups of a few rows, all groups at once; rows are sorted by key."""
-    first, second = [], []
-    for shift in range(1, len(key)):
-        same = np.flatnonzero(key[shift:] == key[:-shift])
-        if not len(same):
-            break
-        hit = same[np.bitwise_count(fp[same] ^ fp[same + shift]) <= radius]
-        first.append(hit)
-        second.append(hit + shift)
-    i = np.concatenate(first) if first else np.empty(0, np.int64)
-    j = np.concatenate(second) if second else np.empty(0, np.int64)
-    return np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
-
-
-#: Groups up to this size are compared together, shift by shift.
-FEW = 48
-
-
-def unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of units; a unit's rows (``key, a, b, side, fp, node``) follow one another."""
+            i, j = np.nonzero(near)
+            i, j = i + a, j + b
+            while True:  # rows that are linked already drop out; one link joins each pair of classes
+                low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                some = low != high
+                if not some.any():
+                    break
+                i, j, low, high = i[some], j[some], low[some], high[some]
+                _, first = np.unique(high, return_index=True)  # each class is joined to one lower class
+                edges.append(np.stack([node[i[first]], node[j[first]]]))
+                parent = np.arange(len(fp))
+                parent[high[first]] = low[first]
+                while True:
+                    up = parent[parent]
+                    if (up == parent).all():
+                        break
+                    parent = up
+                label = parent[label]
+    return np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
+
+
+def unit_links(batches: Iterator[pa.RecordBatch], tally: Counter | None = None) -> Iterator[pa.RecordBatch]:
+    """Links of units; a unit's rows (``key, a, b, side, fp, node``) follow one another.
+
+    Small whole units are put together until they fill ``SHARED_ROWS``; links across units are links too.
+    """
     rest: list[np.ndarray] | None = None
 
-    def compare(columns: list[np.ndarray]) -> pa.RecordBatch:
+    def record(edges: np.ndarray) -> pa.RecordBatch:
+        edges = edges[:, edges[0] != edges[1]]
+        return pa.RecordBatch.from_arrays([pa.array(edges.max(axis=0, initial=-(1 << 63))), pa.array(edges.min(axis=0, initial=(1 << 63) - 1))], names=["u", "v"])
+
+    def compare(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, a, b, side, fp, node = columns
         new = np.flatnonzero((np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
         starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
-        size = np.repeat(ends - starts, ends - starts)
-        plain = np.repeat((a == b)[starts], ends - starts)
-        few = (size <= FEW) & plain
-        ids = np.repeat(np.arange(len(starts)), ends - starts)
-        high, low = small_groups(ids[few], fp[few], node[few])
-        edges = [(high, low)]
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            if e - s > FEW or not plain[s]:
-                pairs = forest(fp[s:e], node[s:e], None if plain[s] else side[s:e])
-                if pairs:
-                    edges.append(tuple(np.array(pairs, np.int64).T))
-        high, low = (np.concatenate(x) for x in zip(*edges, strict=True))
-        keep = high != low
-        return pa.RecordBatch.from_arrays([pa.array(high[keep], pa.int64()), pa.array(low[keep], pa.int64())], names=["u", "v"])
+        plain, first = (a == b)[starts], 0
+        for k in range(len(starts)):
+            # a unit of two different tiles stands alone, others are gathered
+            last = k + 1 == len(starts) or not plain[k] or not plain[k + 1] or ends[k + 1] - starts[first] > SHARED_ROWS
+            if last:
+                rows = slice(starts[first], ends[k])
+                yield record(forest(fp[rows], node[rows], None if plain[k] else side[rows], tile=TILE if first == k else SHARED_TILE, tally=tally))
+                first = k + 1
 
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -170,9 +167,9 @@ def unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
         rest = [c[cut:] for c in columns]
         if cut:
-            yield compare([c[:cut] for c in columns])
+            yield from compare([c[:cut] for c in columns])
     if rest is not None and len(rest[0]):
-        yield compare(rest)
+        yield from compare(rest)
 
 
 def links(nodes: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
@@ -197,7 +194,7 @@ def links(nodes: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
         "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp", "node"
     )
     units = whole.unionByName(split).repartition(shuffle_partitions(nodes.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return units.mapInArrow(unit_links, "u bigint, v bigint")
+    return units.mapInArrow(lambda batches: unit_links(batches), "u bigint, v bigint")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
