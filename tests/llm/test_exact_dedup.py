@@ -38,8 +38,13 @@ def test_index_persists_and_only_new_digests_are_appended(spark, rows):
     digests = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", E.digest(F.col("text")).alias("digest"))
     first.append_new(digests.filter("doc_id < 20"), 0)
     n = first.rows().count()
-    again = E.DigestIndex(spark, path=first.path, buckets=4)  # another session would open it this way
+    first.close()
+    again = E.DigestIndex(spark, path=first.path)  # another session, with 8 shuffle partitions, would open it this way
+    assert again.buckets == 4
+    with pytest.raises(ValueError):
+        E.DigestIndex(spark, path=first.path, buckets=8)
     again.append_new(digests, 1)
+    again.append_new(digests, 2)  # run again after a crash
     distinct = len({norm(t) for _, t in rows})
     assert again.rows().count() == distinct and again.rows().filter("batch = 0").count() == n
     plan = again.rows().join(again.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
@@ -57,10 +62,15 @@ def test_all_ids_null(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b")], "doc_id bigint, text string")
     rows = E.exact_dedup(docs).collect()
     assert len(rows) == 3 and all(r["kept"] and r["keep_id"] is None for r in rows)
-    assert E.keep_first_copies(docs).count() >= 1
+    assert sorted(r["text"] for r in E.keep_first_copies(docs).collect()) == ["a", "b"]
 
 
 def test_ids_null_or_repeated_keep_each_text(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b"), (5, "A"), (5, "C"), (3, "C")], "doc_id bigint, text string")
     kept = sorted((tuple(r) for r in E.keep_first_copies(docs).collect()), key=str)
     assert kept == sorted([(None, "a"), (None, "b"), (5, "A"), (3, "C")], key=str)
+
+
+def test_stage_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(5, "a", "i", "d", "c"), (3, "a", "j", "e", "c")], "doc_id bigint, text string, id string, digest string, _copy string")
+    assert [tuple(r) for r in E.keep_first_copies(docs).collect()] == [(3, "a", "j", "e", "c")]

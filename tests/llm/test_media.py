@@ -58,22 +58,65 @@ def test_round_trip(spark, texts):
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert [x for x in r[1:]] == [x for x in rows[texts.index(t)][1:]]
     assert int(rows[5]["feature"].split(";")[0][7:]) > 3
-    digests = [bytes(r["digest"]) for r in store.rows().collect()]
-    assert len(digests) == len(set(digests))
-    before = len(digests)
-    store.add(docs)  # known chunks aren't stored again
-    assert store.rows().count() == before
-    chunks = {hashlib.sha256(c).digest() for t in texts for c in media.chunks_of(media.payload_of(t)[1])}
-    assert chunks == set(digests)
+    digests = [bytes(r["digest"]) for r in store.index.rows().collect()]
+    stored = [bytes(d) for r in store.data.rows().collect() for d in r["digests"]]
+    chunks = {media.key_of(c) for t in texts for c in media.chunks_of(media.payload_of(t)[1])}
+    assert sorted(digests) == sorted(stored) == sorted(chunks)
+
+
+def test_store_survives_a_session(spark, texts):
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string")
+    store = media.ChunkStore(spark, buckets=3)
+    store.add(docs.filter("length(text) < 100000"))
+    few = store.index.rows().count()
+    store.close()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        again = media.ChunkStore(spark, store.path)
+        assert again.buckets == 3 and again.meta.extra == store.meta.extra
+        with pytest.raises(ValueError):
+            media.ChunkStore(spark, store.path, buckets=4)
+        for _ in range(2):
+            rows = media.media_report(docs, again).collect()
+            digests = [bytes(r["digest"]) for r in again.index.rows().collect()]
+            stored = [bytes(d) for r in again.data.rows().collect() for d in r["digests"]]
+            assert len(rows) == len(texts) and len(set(digests)) == len(digests) > few and sorted(digests) == sorted(stored)
+        # data without its index entries, as an append cut short leaves it, isn't stored again
+        cut = media.ChunkStore(spark)
+        fresh = again.data.rows().repartition(cut.buckets, "home")
+        cut.meta.save(again.meta.extra)
+        cut.data.append(fresh)
+        assert media.media_report(docs, cut).count() == len(texts)
+        assert cut.data.rows().count() == cut.data.rows().select("home").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_typical_payloads_are_cut_and_passages_shared(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(4000))
+    texts = [" ".join(word() for _ in range(1600)) for _ in range(40)] + [word() + " " + passage + " " + " ".join(word() for _ in range(50)) for _ in range(8)]
+    store = media.ChunkStore(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in media.media_report(docs, store).collect()}
+    counts = [int(rows[i]["feature"].split(";")[0][7:]) for i in range(40)]
+    assert min(len(t) for t in texts) > 8192 and sum(n > 1 for n in counts) > 36
+    assert store.meta.extra  # a dictionary was learned
+    shared = [len(media.cuts(media.payload_of(t)[1])) for t in texts[40:]]
+    assert store.index.rows().count() < sum(counts) + max(shared) + 8 * 4
+    for i, t in enumerate(texts):
+        assert rows[i]["payload_sha256"] == hashlib.sha256(media.payload_of(t)[1]).hexdigest()
 
 
-def test_damage_is_seen(spark):
+def test_damage_is_seen():
     import zstandard
 
     good = media.chunks_of(b"a" * 192)[0]
-    key = hashlib.sha256(good).digest()
+    key = media.key_of(good)
     with pytest.raises(ValueError):
-        media.describe(key, [(key, zstandard.ZstdCompressor().compress(b"b" * 192))])
+        media.describe(key, [(key, zstandard.ZstdCompressor().compress(b"b" * 192))], zstandard.ZstdDecompressor())
 
 
 def test_empty(spark):

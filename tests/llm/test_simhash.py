@@ -196,3 +196,8 @@ def test_stage_keeps_texts_without_id(spark):
     want = [(None, "a b c d e f"), (None, "q w e r t y"), (7, long + " more"), (5, "A one"), (3, "c ONE")]
     assert sorted((tuple(r) for r in simhash.keep_one_of_each(docs).collect()), key=str) == sorted(want, key=str)
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_stage_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(5, "a b", "i", "d"), (3, "A  b", "j", "e")], "doc_id bigint, text string, id string, body string")
+    assert [tuple(r) for r in simhash.keep_one_of_each(docs).collect()] == [(3, "A  b", "j", "e")]

@@ -5,17 +5,16 @@ The index is a table bucketed and sorted by the digest of the normalised text.
 index finds digests never seen before, and those are appended.  Only digests and ids travel; texts never do.
 
 Defined results: null text equals empty text; rows that repeat a doc_id and text share one decision; among equal texts of one
-batch the smallest doc_id stays, and nulls among ids lose to any id; an empty table gives an empty result and an empty index.
+batch the smallest doc_id stays, and nulls among ids lose to any id; a very long text is hashed whole and only its digest travels;
+other columns, whatever their names, are kept as they are; an empty table gives an empty result and an empty index.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import SPACES, fresh_path, shuffle_partitions, written
+from .storage import SPACES, BucketedTable, StoreMeta, fresh_path, spare_names, written
 
 
 def normalised(text: Column) -> Column:
@@ -28,37 +27,31 @@ def digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A persistent set of digests: ``digest, keep_id, batch``, in ``buckets`` buckets, sorted by digest.
+    """A persistent set of digests: ``digest, keep_id, batch``, in buckets, sorted by digest.
 
-    ``path`` may hold an index of an earlier session; it is then opened with the bucket count that it was made with.  The default
-    count is the session's shuffle partitions, so that a batch aggregated by digest is already laid out as the buckets are and
-    the join needs no exchange on the index side.
+    ``path`` may hold an index of an earlier session; it opens with the bucket count that it was made with, which is kept beside it,
+    whatever the session's shuffle setting is.  Appending is safe to repeat: the anti-join leaves out whatever an attempt that was
+    cut short has written.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark = spark
         self.path = path or fresh_path(spark, "digest-index")
-        self.buckets = buckets or shuffle_partitions(spark)
-        self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, batch INT) USING parquet"
-            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
-        )
+        self.buckets = StoreMeta(spark, self.path, buckets).buckets
+        self.table = BucketedTable(spark, self.path, "digest", "digest BINARY, keep_id BIGINT, batch INT", self.buckets)
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        return self.table.rows()
+
+    def close(self) -> None:
+        """Forget the table's name; the index's files stay."""
+        self.table.close()
 
     def append_new(self, digests: DataFrame, batch: int) -> None:
         """Add the digests of ``digests(doc_id, digest)`` that the index lacks, each with its smallest doc_id."""
         groups = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
         unseen = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         rows = written(unseen.withColumn("batch", F.lit(batch)), "digest-batch")
-        (
-            rows.repartition(self.buckets, "digest")
-            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
-            .option("path", self.path).saveAsTable(self.table)
-        )
-        self.spark.catalog.refreshTable(self.table)
+        self.table.append(rows.repartition(self.buckets, "digest"))
 
 
 def dedup_with_index(digests: DataFrame, index: DigestIndex, batches: list[Column]) -> DataFrame:
@@ -96,12 +89,13 @@ NO_ID = (1 << 63) - 1
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The documents that exact_dedup keeps, with all their columns; a text repeated under one doc_id, or under none, stays once."""
-    id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    kept = exact_dedup(docs).filter("kept").select(id_.alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
+    id_, digest_, copy = spare_names(docs, "id", "digest", "copy")
+    known = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    kept = exact_dedup(docs).filter("kept").select(known.alias(id_), F.unhex("text_sha256").alias(digest_)).distinct()
     # join and window have one key, so texts are shuffled once
-    joined = docs.withColumns({"__id": id_, "__digest": digest(F.col("text"))}).join(kept, ["__id", "__digest"], "left_semi")
-    one = Window.partitionBy("__id", "__digest").orderBy("__id")
-    return joined.withColumn("__copy", F.row_number().over(one)).filter("__copy = 1").select(*docs.columns)
+    joined = docs.withColumns({id_: known, digest_: digest(F.col("text"))}).join(kept, [id_, digest_], "left_semi")
+    one = Window.partitionBy(id_, digest_).orderBy(id_)
+    return joined.withColumn(copy, F.row_number().over(one)).filter(F.col(copy) == 1).select(*docs.columns)
 
 
 ORACLE_SQL = r"""

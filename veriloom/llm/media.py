@@ -1,23 +1,27 @@
 """Media columns: payloads in content-defined chunks, stored once each.
 
 A payload (8-bit samples) is cut where a rolling gear hash of its last 32 bytes hits a mask, between a least and a largest chunk
-size, so equal passages give equal chunks wherever they lie.  Chunks go to a store that is bucketed and sorted by digest: Spark
-reduces new chunks to one row per digest (first within each task) and an anti-join leaves those that the store lacks.  A payload's media
-form is its ordered chunk list; joining the list to the store and laying the chunks end to end gives the payload back, which is
-verified against its own digest.  Payloads with the same chunk list are rebuilt once.
-
-A payload of one chunk is rebuilt where the store's row is; only longer ones are shuffled, chunk by chunk, and put together as a
-stream, so a task holds one payload at a time.
-
-Defined results: null and empty text give 192 spaces; rows that repeat, or have equal texts, get equal values; an empty table
-gives no rows and an empty store.
+size, so equal passages give equal chunks wherever they lie.  Its media form is the ordered list of its chunk digests.  Chunks are
+deduplicated on digests alone: Spark reduces the lists to one row per digest, an anti-join leaves those that the store's index
+lacks, and each goes to one home, the smallest payload that has it.  Only then do bytes move, once: a payload's new chunks become
+its row of the store, which is bucketed by payload.  Reading joins each payload's list to its own row in place and to the chunks
+that it borrows from other homes, lays the chunks end to end, and verifies every chunk and the payload by their digests.  Payloads
+with the same bytes are stored and rebuilt once.
+
+Chunks are compressed with zstandard and a dictionary that the store learns from at most ``SAMPLE_CHUNKS`` chunks of its first
+documents (a bound on a compression aid: which bytes come back doesn't depend on it).  Dictionary and bucket count are kept beside
+the store, and a store opens with what it was made with.  Adding is safe to repeat: known homes and known digests are left alone,
+data is written before the index that names it.
+
+Defined results: null and empty text give 192 spaces; rows that repeat, or have equal texts, get equal values whatever their ids
+(null too); a very long text is cut like any other and rebuilt in one task's memory; other columns, whatever their names, are not
+looked at; an empty table gives no rows and an empty store.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,12 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import bound_batches, fresh_path, shuffle_partitions, written
+from .storage import BucketedTable, StoreMeta, bound_batches, fresh_path, written
 
 UNIT = 192
-LEAST, MEAN_BITS, MOST = 16_384, 15, 262_144
+LEAST, MEAN_BITS, MOST = 1024, 11, 16_384
 LEVEL = 9
-MAGIC = b"CDC1"
+MAGIC = b"CDC2"
+#: Bytes of a key: digests of chunks and payloads are the first 128 bits of their SHA-256.
+KEY = 16
+DICTIONARY, SAMPLE_DOCS, SAMPLE_CHUNKS = 65_536, 2000, 4000
 
 #: Gear values of the 256 bytes: the first 32 bits of their SHA-256.
 GEAR = np.array([int.from_bytes(hashlib.sha256(bytes([b])).digest()[:4], "little") for b in range(256)], np.uint32)
@@ -76,71 +83,123 @@ def chunks_of(payload: bytes) -> list[bytes]:
     return [payload[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 
-def recipes(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, payload_sha256, chunks``: every payload's ordered list of chunk digests."""
+def key_of(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:KEY]
+
 
+def recipes(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, key, chunks``: every payload's digest, and its chunk digests in order, end to end."""
     bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, whole, lists = [], [], []
+            sizes, keys, lists = [], [], []
             for text in batch.column(1):
                 n, payload = payload_of(text.as_py())
                 sizes.append(n)
-                whole.append(hashlib.sha256(payload).digest())
-                lists.append([hashlib.sha256(c).digest() for c in chunks_of(payload)])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(lists, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "payload_sha256", "chunks"])
+                keys.append(key_of(payload))
+                lists.append(b"".join(map(key_of, chunks_of(payload))))
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "key", "chunks"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_sha256 binary, chunks array<binary>")
+    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, key binary, chunks binary")
 
 
-class ChunkStore:
-    """Chunks by digest: ``digest, data`` (zstandard), in buckets sorted by digest, each digest once."""
+def digests(payloads: DataFrame) -> DataFrame:
+    """``key, digest`` of ``payloads(key, chunks)``, each once."""
+    each = F.transform(F.sequence(F.lit(0), F.expr(f"length(chunks) div {KEY} - 1")), lambda i: F.substr("chunks", i * KEY + 1, F.lit(KEY)))
+    return payloads.select("key", F.explode(F.array_distinct(each)).alias("digest"))
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.path = path or fresh_path(spark, "chunk-store")
-        self.buckets = buckets or shuffle_partitions(spark)
-        self.table = f"chunk_store_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, data BINARY) USING parquet"
-            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
-        )
 
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+def learn_dictionary(docs: DataFrame) -> bytes:
+    """A zstandard dictionary from chunks of some distinct texts, drawn by a hash of the text; empty for too few chunks."""
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(share * (1 << 20))).dropDuplicates()
 
-    def add(self, docs: DataFrame) -> None:
-        """Store the chunks of ``docs(text)`` that are new."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                chunks = chunks_of(payload_of(text.as_py())[1])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(key_of, chunks)), pa.binary()), pa.array(chunks, pa.binary())], names=["digest", "data"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            squeeze, seen = zstandard.ZstdCompressor(level=LEVEL), set()
-            for batch in batches:
-                digests, data = [], []
-                for text in batch.column(0):
-                    for chunk in chunks_of(payload_of(text.as_py())[1]):
-                        digest = hashlib.sha256(chunk).digest()
-                        if digest not in seen:  # within the task; Spark does the rest
-                            if len(seen) < 200_000:
-                                seen.add(digest)
-                            digests.append(digest)
-                            data.append(squeeze.compress(chunk))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["digest", "data"])
+    rows = some.mapInArrow(run, "digest binary, data binary").orderBy("digest").limit(SAMPLE_CHUNKS)
+    samples = [bytes(r["data"]) for r in rows.select("data").collect()]  # at most SAMPLE_CHUNKS x MOST bytes
+    if len(samples) < 100:
+        return b""
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+    except zstandard.ZstdError:  # chunks too much alike to learn from
+        return b""
 
-        rows = docs.select("text").mapInArrow(run, "digest binary, data binary")
-        one = rows.repartition(self.buckets, "digest").dropDuplicates(["digest"])
-        new = one.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        new.write.mode("append").format("parquet").option("compression", "none").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
-        self.spark.catalog.refreshTable(self.table)
 
+def _codec(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
 
-_RESULT = "payload_sha256 binary, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string"
 
+class ChunkStore:
+    """Chunks (zstandard) by the payload that brought them: ``home, digests, data``, in buckets by home; and an index
+    ``digest, home``, in buckets by digest, each digest once."""
 
-def describe(key: bytes, parts: list[tuple[bytes, bytes]]) -> tuple:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark = spark
+        self.path = path or fresh_path(spark, "chunk-store")
+        self.meta = StoreMeta(spark, self.path, buckets)
+        self.buckets = self.meta.buckets
+        self.data = BucketedTable(spark, f"{self.path}/data", "home", "home BINARY, digests ARRAY<BINARY>, data ARRAY<BINARY>", self.buckets)
+        self.index = BucketedTable(spark, f"{self.path}/index", "digest", "digest BINARY, home BINARY", self.buckets)
+
+    def close(self) -> None:
+        """Forget the tables' names; the store's files stay."""
+        self.data.close()
+        self.index.close()
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Store the chunks of ``docs`` that are new; the ``recipes`` of all."""
+        bound_batches(self.spark)
+        if self.meta.extra is None:
+            self.meta.save(learn_dictionary(docs))
+        lists = written(recipes(docs), "media-recipes")
+        homes = digests(lists).groupBy("digest").agg(F.min("key").alias("home"))
+        fresh = written(homes.join(self.index.rows().select("digest").hint("merge"), "digest", "left_anti"), "media-fresh")
+        owners = fresh.groupBy(F.col("home").alias("key")).agg(F.collect_set("digest").alias("fresh"))  # as many as a payload has
+        dictionary = self.meta.extra
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            book, seen = _codec(dictionary), set()
+            if book:
+                book.precompute_compress(level=LEVEL)
+            squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=book)
+            for batch in batches:
+                keys, names, data = [], [], []
+                for text in batch.column(0):
+                    payload = payload_of(text.as_py())[1]
+                    key = key_of(payload)
+                    if key in seen:  # within the task; Spark does the rest
+                        continue
+                    if len(seen) < 200_000:
+                        seen.add(key)
+                    chunks = dict((key_of(c), c) for c in chunks_of(payload))
+                    keys.append(key)
+                    names.append(list(chunks))
+                    data.append([squeeze.compress(c) for c in chunks.values()])
+                many = pa.list_(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(names, many), pa.array(data, many)], names=["key", "digests", "data"])
+
+        bodies = docs.select("text").mapInArrow(run, "key binary, digests array<binary>, data array<binary>")
+        bodies = bodies.repartition(self.buckets, "key").dropDuplicates(["key"]).join(owners.hint("merge"), "key")
+        mine = F.filter(F.arrays_zip("digests", "data"), lambda c: F.array_contains("fresh", c["digests"]))
+        rows = bodies.select(F.col("key").alias("home"), mine.alias("c")).select("home", F.col("c.digests").alias("digests"), F.col("c.data").alias("data"))
+        self.data.append(rows.join(self.data.rows().select("home").hint("merge"), "home", "left_anti"))
+        self.index.append(fresh.repartition(self.buckets, "digest"))
+        return lists
+
+
+_RESULT = "key binary, payload_sha256 binary, payload_bytes bigint, tail_crc32 bigint, media_bytes bigint, media_sha256 binary, feature string"
+
+
+def describe(key: bytes, parts: list[tuple[bytes, bytes]], open_: zstandard.ZstdDecompressor) -> tuple:
     """Read a stored payload back from its (digest, data) parts, verify it and compute its features."""
-    open_ = zstandard.ZstdDecompressor()
     whole, media = [], hashlib.sha256(MAGIC + struct.pack("<I", len(parts)))
     size = len(MAGIC) + 4
     for digest, data in parts:
@@ -148,69 +207,62 @@ def describe(key: bytes, parts: list[tuple[bytes, bytes]]) -> tuple:
         size += len(digest) + 4 + len(data)
     for digest, data in parts:
         chunk = open_.decompress(data)
-        if hashlib.sha256(chunk).digest() != digest:
+        if key_of(chunk) != digest:
             raise ValueError(f"stored chunk {digest.hex()} is damaged")
         media.update(data)
         whole.append(chunk)
     payload = b"".join(whole)
-    if hashlib.sha256(payload).digest() != key:
+    found = hashlib.sha256(payload).digest()
+    if found[:KEY] != key:
         raise ValueError(f"payload {key.hex()} can't be rebuilt")
     samples = np.frombuffer(payload, np.uint8)
     counts = np.bincount(samples, minlength=256)
     share = counts[counts > 0] / len(samples)
     feature = f"chunks={len(parts)};mean={samples.mean():.6f};deviation={samples.std():.6f};entropy={-(share * np.log2(share)).sum():.6f};distinct={len(share)}"
-    return key, len(payload), zlib.crc32(payload[-16:]), size, media.digest(), feature
-
-
-def _results(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-    names = [x.split()[0] for x in _RESULT.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def rebuild_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [describe(key.as_py(), [(digest.as_py(), data.as_py())]) for key, digest, data in zip(*(batch.column(k) for k in (0, 2, 3)), strict=True)]
-        if rows:
-            yield _results(rows)
-
-
-def rebuild_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a payload follow one another, in order."""
-    key, parts = None, []
-    for batch in batches:
-        for k, digest, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if k != key and parts:
-                yield _results([describe(key, parts)])
-                parts = []
-            key = k
-            parts.append((digest, data.as_py()))
-    if parts:
-        yield _results([describe(key, parts)])
+    return key, found, len(payload), zlib.crc32(payload[-16:]), size, media.digest(), feature
 
 
 def read_media(lists: DataFrame, store: ChunkStore) -> DataFrame:
-    """Rebuild, verify and describe the payloads of ``lists(payload_sha256, chunks)``, each once."""
-    rows = lists.select("payload_sha256", "chunks").dropDuplicates(["payload_sha256"])
-    rows = rows.select("payload_sha256", F.size("chunks").alias("n"), F.posexplode("chunks").alias("seq", "digest"))
-    rows = written(rows, "media-lists")
+    """Rebuild, verify and describe the payloads of ``lists(key, chunks)``, each once."""
+    payloads = written(lists.select("key", "chunks").dropDuplicates(["key"]), "media-lists")
+    # chunks that a payload borrows: several payloads have them, or their only one isn't their home
+    used = digests(payloads).groupBy("digest").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+    lent = used.join(store.index.rows().hint("merge"), "digest").filter("n > 1 or home <> least").select("digest", "home")
+    wanted = lent.groupBy("home").agg(F.collect_set("digest").alias("wanted"))  # as many as a payload has
+    held = store.data.rows().join(wanted.hint("merge"), "home")
+    held = held.select("home", F.explode(F.filter(F.arrays_zip("digests", "data"), lambda c: F.array_contains("wanted", c["digests"]))).alias("c"))
+    shared = written(held.select("home", F.col("c.digests").alias("digest"), F.col("c.data").alias("data")), "media-shared", codec="none")
+    # one row per shared chunk meets its payloads; adaptive skew handling splits a chunk that very many have
+    borrowed = digests(payloads).join(shared, "digest").filter("key <> home").groupBy("key").agg(F.collect_list(F.struct("digest", "data")).alias("lent"))
+    own = store.data.rows().withColumnRenamed("home", "key").hint("merge")
+    rows = payloads.join(own, "key", "left").join(borrowed.hint("merge"), "key", "left").select("key", "chunks", "digests", "data", "lent")
+    dictionary, names = store.meta.extra, [x.split()[0] for x in _RESULT.split(", ")]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
 
-    def joined(some: DataFrame) -> DataFrame:
-        return some.join(store.rows().hint("merge"), "digest").select("payload_sha256", "seq", "digest", "data")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor(dict_data=_codec(dictionary))
+        for batch in batches:
+            out = []
+            for key, chunks, names_, data, lent in zip(*batch.columns, strict=True):
+                known = dict(zip(names_.as_py() or (), data.as_py() or (), strict=True)) | {x["digest"]: x["data"] for x in lent.as_py() or ()}
+                order = chunks.as_py()
+                parts = [order[k : k + KEY] for k in range(0, len(order), KEY)]
+                lost = [d for d in parts if d not in known]
+                if lost:
+                    raise ValueError(f"chunk {lost[0].hex()} isn't in the store")
+                out.append(describe(key.as_py(), [(d, known[d]) for d in parts], open_))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    single = joined(rows.filter("n = 1")).mapInArrow(rebuild_single, _RESULT)
-    many = joined(rows.filter("n > 1")).repartition(shuffle_partitions(store.spark), "payload_sha256").sortWithinPartitions("payload_sha256", "seq")
-    return single.unionByName(many.mapInArrow(rebuild_many, _RESULT))
+    return rows.mapInArrow(run, _RESULT)
 
 
 def media_report(docs: DataFrame, store: ChunkStore | None = None) -> DataFrame:
     """``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature`` of every document."""
     store = store or ChunkStore(docs.sparkSession)
-    lists = written(recipes(docs), "media-recipes")
-    store.add(docs)
-    found = written(read_media(lists, store), "media-results")
+    lists = store.add(docs)
     # one row per payload meets its documents; the hot side is split by adaptive skew handling
-    joined = lists.select("doc_id", "n_bytes", "payload_sha256").join(found, "payload_sha256")
+    joined = lists.select("doc_id", "n_bytes", "key").join(read_media(lists, store), "key")
     return joined.select(
         "doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload_sha256")).alias("payload_sha256"), "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature"
     )

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import bound_batches, fresh_path, shuffle_partitions, written
+from .storage import bound_batches, shuffle_partitions, spare_names, written
 
 RADIUS = 3
 BANDS = 4
@@ -377,7 +377,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Of documents that links of ``near_links`` connect the smallest doc_id, with all columns; its rows stay as often as they come."""
     marks = written(prefixes(docs), "shingle-marks")
     found = components(docs.sparkSession, near_links(docs, marks))
-    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("body").alias("__body"))
+    key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("body").alias("body"))
     kept = marks.select("node", key.alias("key")).join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("key").alias("key"))
-    rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__body": F.xxhash64("text")})
-    return rows.join(kept.select("key.*").distinct(), ["__id", "__body"], "left_semi").select(*docs.columns)
+    id_, body = spare_names(docs, "id", "body")
+    rows = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), body: F.xxhash64("text")})
+    kept = kept.select(F.col("key.id").alias(id_), F.col("key.body").alias(body)).distinct()
+    return rows.join(kept, [id_, body], "left_semi").select(*docs.columns)

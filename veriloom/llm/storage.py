@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.utils import AnalysisException
 
 #: ASCII white space, as the operators' contracts define it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -73,5 +74,57 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+class StoreMeta:
+    """What a persistent store was made with: its number of buckets, and bytes of the store's own.
+
+    It is a table of one row beside the store, ``<path>-meta``.  A store that exists opens with its own number; asking for another
+    is an error.  The default for a new one is the session's shuffle partitions, so that rows aggregated by the bucket key are
+    already laid out as the buckets are.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None):
+        self.spark, self.path, self.extra = spark, f"{path}-meta", None
+        try:
+            found = spark.read.schema("buckets int, extra binary").parquet(self.path).first()
+        except AnalysisException:
+            found = None
+        if found is None:
+            self.buckets = buckets or shuffle_partitions(spark)
+            self._write(None)
+            return
+        if buckets not in (None, found["buckets"]):
+            raise ValueError(f"{path} has {found['buckets']} buckets, not {buckets}")
+        self.buckets, self.extra = found["buckets"], None if found["extra"] is None else bytes(found["extra"])
+
+    def _write(self, extra: bytes | None) -> None:
+        row = self.spark.createDataFrame([(self.buckets, extra)], "buckets int, extra binary")
+        row.coalesce(1).write.mode("overwrite").parquet(self.path)
+
+    def save(self, extra: bytes) -> None:
+        self.extra = extra
+        self._write(extra)
+
+
+class BucketedTable:
+    """A Parquet folder bucketed and sorted by one column, under a name of its own in the catalog."""
+
+    def __init__(self, spark: SparkSession, path: str, by: str, columns: str, buckets: int):
+        self.spark, self.path, self.by, self.buckets = spark, path, by, buckets
+        self.name = f"bucketed_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def append(self, rows: DataFrame) -> None:
+        """Add rows that are already partitioned by the bucket column."""
+        rows.write.mode("append").format("parquet").option("compression", "none").bucketBy(self.buckets, self.by).sortBy(self.by).option("path", self.path).saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
+    def close(self) -> None:
+        """Drop the name; the table is external, so its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
