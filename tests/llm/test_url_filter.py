@@ -83,3 +83,20 @@ def test_repeats_and_empty(spark):
     rows = U.judge(pages).collect()
     assert len(rows) == 3 and {r["verdict"] for r in rows} == {"allow"} and {r["score"] for r in rows} == {0.0}
     assert U.judge(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["http://x{}.net/a", "http://x{}.org/fr/a"])
+def test_one_kind_of_label_scores_nothing(spark, kind):
+    rows = [(i, kind.format(i)) for i in range(40)] + [(100, "http://q.com/"), (101, "plain text"), (102, None)]
+    got = U.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()
+    assert {r["score"] for r in got} == {0.0}
+    assert {r["verdict"] for r in got if r["rule"] is None} == {"allow"}
+
+
+def test_the_query_string_counts(spark):
+    r = random.Random(7)
+    word = lambda s: "".join(r.choice(s) for _ in range(8))
+    rows = [(i, f"http://h{i}.org/fr/a?id={word('abc')}" if i % 2 else f"http://h{i}.net/fr/a?id={word('xyz')}") for i in range(400)]
+    rows += [(1000, f"http://same.com/a?id={word('abc')}"), (1001, f"http://same.com/a?id={word('xyz')}"), (1002, word("abc")), (1003, word("xyz"))]
+    got = {x["page_id"]: x["score"] for x in U.judge(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
+    assert got[1000] > got[1001] and got[1002] > 0 > got[1003]

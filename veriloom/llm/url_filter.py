@@ -10,8 +10,12 @@ Characters are folded to ``ALPHABET`` symbols, so the models have at most ``len(
 number of pages: that is the proven bound of the one table that is broadcast.  All counts cover all pages.  Distinct URLs are
 scored, so a URL that a third of all pages share is scored once.  Everything is DataFrame functions.
 
-Defined results: null, empty and ``://``-less URLs have empty host and path, no rule and score 0; without labelled URLs of both
-kinds every score is 0 and the threshold 0, so the method allows; equal URLs get equal verdicts; an empty table gives no rows.
+Rules look at host and path; the models read the whole URL after ``://`` (all of it where there is none), query and fragment too.
+
+Defined results: null, empty and ``://``-less URLs have empty host and path and no rule; null and empty ones have score 0; without
+training URLs of both kinds every score is 0, and without calibration URLs of both kinds the threshold is 0, so the method then
+allows; a very long URL is scored whole; equal URLs get equal verdicts, rows that repeat too; other columns, whatever their names,
+are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,9 +62,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def folded(host: Column, path: Column) -> Column:
-    text = F.translate(_lower(F.concat(host, path)), "123456789", "000000000")
-    return F.regexp_replace(text, "[^a-z0/.\\-_?=&%]", "~")
+def folded(url: Column) -> Column:
+    """The whole URL without its scheme, in the models' alphabet."""
+    url = F.coalesce(url, F.lit(""))
+    whole = F.when(F.instr(url, "://") > 0, _after_scheme(url)).otherwise(url)
+    return F.regexp_replace(F.translate(_lower(whole), "123456789", "000000000"), "[^a-z0/.\\-_?=&%]", "~")
 
 
 def grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
@@ -70,7 +76,7 @@ def grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
-    """``gram, ratio``: log P(last character | the others) of the accepted less that of the rejected.
+    """``gram, ratio``: log P(last character | the others) of the accepted less that of the rejected; 0 if a kind is missing.
 
     ``labelled`` has ``folded, accepted, n``: distinct URLs and the pages that have them.
     """
@@ -87,14 +93,14 @@ def train(labelled: DataFrame, order: int = ORDER) -> DataFrame:
         context = some.groupBy("context").agg(F.sum("yes").alias("yes_all"), F.sum("no").alias("no_all"))
         some = some.join(context, "context")
         if table is None:
-            some = some.withColumns({"p": F.lit(uniform), "q": F.lit(uniform)})
+            some = some.withColumns({"p": F.lit(uniform), "q": F.lit(uniform), "both": (F.col("yes_all") > 0) & (F.col("no_all") > 0)})
         else:
-            lower = table.select(F.col("gram").alias("lower"), "p", "q")
+            lower = table.select(F.col("gram").alias("lower"), "p", "q", "both")
             some = some.join(lower, F.substr(some["gram"], F.lit(2)) == F.col("lower")).drop("lower")
         p = (F.col("yes") + F.lit(PRIOR) * F.col("p")) / (F.col("yes_all") + F.lit(PRIOR))
         q = (F.col("no") + F.lit(PRIOR) * F.col("q")) / (F.col("no_all") + F.lit(PRIOR))
-        table = some.select("gram", p.alias("p"), q.alias("q"))
-    return table.select("gram", F.log(F.col("p") / F.col("q")).alias("ratio"))
+        table = some.select("gram", p.alias("p"), q.alias("q"), "both")
+    return table.select("gram", F.when(F.col("both"), F.log(F.col("p") / F.col("q"))).otherwise(F.lit(0.0)).alias("ratio"))
 
 
 def scored(urls: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
@@ -129,7 +135,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     urls = pages.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
     urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumns({"rule": rule, "decided": decided, "folded": folded(F.col("host"), F.col("path"))})
+    urls = urls.withColumns({"rule": rule, "decided": decided, "folded": folded(F.col("url"))})
     urls = written(urls.withColumn("fold", F.conv(F.substr(F.md5(F.coalesce("url", F.lit("")).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("bigint") % 5), "urls")
     labelled = urls.filter("rule is not null").withColumn("accepted", F.col("decided") == "allow")
     model = written(train(labelled.filter("fold <> 0")), "url-model")
@@ -157,14 +163,15 @@ p{k} AS (SELECT a.gram, (a.yes + {PRIOR} * {p}) / (t.yes_all + {PRIOR}) AS p, (a
   FROM c{k} a JOIN a{k} t ON t.context = left(a.gram, {k}) {lower}),""")
     return f"""
 WITH s AS (
-  SELECT url, count(*) AS n, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages GROUP BY url
+  SELECT url, count(*) AS n, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest,
+    CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE coalesce(url, '') END AS whole FROM pages GROUP BY url
 ), u AS (
-  SELECT url, n, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT url, n, whole, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s
 ), l AS (
   SELECT *, CASE WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/' WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
       WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN '.' || host LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule,
-    regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0/.\\-_?=&%]', '~', 'g') AS folded,
+    regexp_replace(translate(whole, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0/.\\-_?=&%]', '~', 'g') AS folded,
     CAST('0x' || left(md5(coalesce(url, '')), 8) AS BIGINT) % 5 AS fold FROM u
 ), d AS (
   SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS decided FROM l
@@ -175,7 +182,7 @@ WITH s AS (
   FROM x WHERE decided IS NOT NULL AND fold <> 0 GROUP BY gram
 ),{"".join(orders)}
 z AS (
-  SELECT url, round(sum(coalesce(ln(p / q), 0)) / count(*), 9) AS score FROM x LEFT JOIN p{ORDER} USING (gram) GROUP BY url
+  SELECT url, round(sum(CASE WHEN (SELECT yes_all > 0 AND no_all > 0 FROM a0) THEN coalesce(ln(p / q), 0) ELSE 0 END) / count(*), 9) AS score FROM x LEFT JOIN p{ORDER} USING (gram) GROUP BY url
 ), k AS (
   SELECT greatest({-STEPS - 1}, least({STEPS}, floor(round(score / {STEP}, 6)))) AS cell, decided = 'allow' AS yes, n FROM d JOIN z USING (url) WHERE decided IS NOT NULL AND fold = 0
 ), w AS (
