@@ -1,12 +1,15 @@
 """Secrets in texts: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a maximal run of token characters.  Within it, each character class has its own runs and its own threshold: a
-window of ``WINDOW`` characters moves over the run, its entropy is kept up to date from counts of the characters that enter and
-leave, and windows at or above the threshold merge into one span.  An allow-list suppresses spans of the method (not those of the
-patterns): placeholders, strings without digits or without letters, few distinct characters, and runs of the alphabet.
-
-Defined results: null and empty texts have no spans; rows that repeat are scanned alike; offsets are code points, ends exclusive;
-an empty table gives no rows.
+A candidate is a maximal run of token characters.  An allow-list of placeholder words and runs of the alphabet is cut out of it;
+what is left on either side is judged for itself, so such a word suppresses itself and not the secret it is glued to.  Within a
+candidate, each character class has its own runs and its own threshold: a window of ``WINDOW`` characters moves over the run, its
+entropy is kept up to date from counts of the characters that enter and leave, and windows at or above the threshold merge into one
+span.  A window without digits needs the higher threshold ``LETTERS``; one without letters, or that mostly counts up or down the
+alphabet, is no secret.
+
+Defined results: null and empty texts have no spans; rows that repeat, with or without an id, are scanned alike; offsets are code
+points, ends exclusive; very long texts are scanned whole, in batches bounded by bytes; other columns, whatever their names, are not
+looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,37 +34,45 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Character classes and the entropy, in bits for a character, from which a window is suspicious.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 3.0),
+    ("lower hex", re.compile(r"[0-9a-f]{20,}"), 3.0),
+    ("upper hex", re.compile(r"[0-9A-F]{20,}"), 3.0),
     ("alphanumeric", re.compile(r"[A-Za-z0-9]{20,}"), 3.7),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 3.9),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALLOWED = re.compile(r"example|sample|dummy|placeholder|changeme|redacted|xxxx|abcdef|012345|123456", re.IGNORECASE)
-#: Distinct characters below which a span is padding or a divider.
-DISTINCT = 8
+#: Entropy from which a window without digits is suspicious; long words in camel case stay below.
+LETTERS = 4.1
 
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
-def windows_above(run: str, threshold: float, window: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """Merged [start, end) of the windows of ``run`` whose entropy is at least ``threshold``.
+def windows_above(run: str, threshold: float, window: int = WINDOW, letters: float = LETTERS) -> Iterator[tuple[int, int]]:
+    """Merged [start, end) of the windows of ``run`` that have a letter and an entropy of at least ``threshold`` (without digits
+    ``letters``, if that is more), and in which most characters aren't neighbours in the alphabet of the one before.
 
     With counts n of its characters a window has entropy log2(w) - sum(n log2 n) / w; the sum changes by two terms a step.
     """
     counts: dict[str, int] = {}
-    total = 0.0
-    limit = (math.log2(window) - threshold) * window + 1e-9
+    total, n_digits, n_letters, n_steps = 0.0, 0, 0, 0
+    limit, strict = ((math.log2(window) - max(t, threshold)) * window + 1e-9 for t in (threshold, letters))
     start = end = -1
     for i, c in enumerate(run):
         n = counts.get(c, 0)
         total += _TERM[n + 1] - _TERM[n]
         counts[c] = n + 1
+        n_digits += c.isdigit()
+        n_letters += c.isalpha()
+        n_steps += i > 0 and abs(ord(c) - ord(run[i - 1])) == 1
         if i >= window:
             old = run[i - window]
             n = counts[old]
             total += _TERM[n - 1] - _TERM[n]
             counts[old] = n - 1
-        if i >= window - 1 and total <= limit:
+            n_digits -= old.isdigit()
+            n_letters -= old.isalpha()
+            n_steps -= abs(ord(run[i - window + 1]) - ord(old)) == 1
+        if i >= window - 1 and n_letters and 2 * n_steps <= window and total <= (limit if n_digits else strict):
             if i - window + 1 > end:
                 if end >= 0:
                     yield start, end
@@ -71,20 +82,17 @@ def windows_above(run: str, threshold: float, window: int = WINDOW) -> Iterator[
         yield start, end
 
 
-def allowed(text: str) -> bool:
-    if len(set(text)) < DISTINCT or ALLOWED.search(text):
-        return True
-    return not (any(c.isdigit() for c in text) and any(c.isalpha() for c in text))
-
-
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     found = []
     for candidate in CANDIDATE.finditer(text):
-        for _, pattern, threshold in CLASSES:
-            for run in pattern.finditer(text, candidate.start(), candidate.end()):
-                for a, b in windows_above(run[0], threshold):
-                    if not allowed(text[run.start() + a : run.start() + b]):
-                        found.append((run.start() + a, run.start() + b))
+        at = candidate.start()
+        for word in [*ALLOWED.finditer(text, candidate.start(), candidate.end()), None]:
+            end = word.start() if word else candidate.end()
+            if end - at >= WINDOW:
+                for _, pattern, threshold in CLASSES:
+                    for run in pattern.finditer(text, at, end):
+                        found += [(run.start() + a, run.start() + b) for a, b in windows_above(run[0], threshold)]
+            at = word.end() if word else end
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a < merged[-1][1]:
