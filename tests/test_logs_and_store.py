@@ -22,7 +22,7 @@ def log(spark):
 def test_log_checks(log):
     bad = {(r["stream"], r["seq"]) for r in L.illegal_transitions(log, "stream", "seq", "phase", LEGAL).collect()}
     assert bad == {("y", 0)}
-    assert {tuple(r) for r in L.sequence_faults(log, "stream", "seq").collect()} == {("y", 3, 1, "gap")}
+    assert {tuple(r) for r in L.sequence_gaps(log, "stream", "seq").collect()} == {("y", 3, 1, "gap")}
     assert {r["stream"]: r["is_prefix"] for r in L.phase_prefixes(log, "stream", "seq", "phase", ["a", "b", "c"]).collect()} == {"x": True, "y": False}
 
 
@@ -123,8 +123,10 @@ def test_claims(spark):
     checks = V.checks_for(spark, "r1", "10.0.0.1", "eth0", "10.1.0.0/24", "65001")
     assert checks.count() == 15
     seen = spark.createDataFrame([("bgp.peer.10.0.0.1.state", "established", True), ("bgp.peer.10.0.0.1.state", "idle", True), ("iface.eth0.oper", "up", False), ("iface.eth0.admin", "up", True)], "metric string, value string, trusted boolean")
-    got = {r["check_id"].split(":")[1]: r["verdict"] for r in V.verify_claims(checks, seen).collect()}
-    assert (got["bgp_established"], got["bgp_not_established"], got["iface_operational"], got["iface_admin_up"], got["iface_admin_down"]) == ("contradictory", "fail", "insufficient", "pass", "fail")
+    rows = V.verify_claims(checks, seen).collect()
+    got, details = ({r["check_id"].split(":")[1]: r[c] for r in rows} for c in ("verdict", "detail"))
+    assert (got["bgp_established"], got["bgp_not_established"], got["iface_operational"], got["iface_admin_up"], got["iface_admin_down"]) == ("fail", "fail", "insufficient", "pass", "fail")
+    assert (details["bgp_established"], details["bgp_not_established"], details["iface_operational"], details["route_present"]) == ("contradictory", None, "only_untrusted_observed", "nothing_observed")
 
 
 def test_features(spark):

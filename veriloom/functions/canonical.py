@@ -113,3 +113,13 @@ def safe_path(path: Column) -> Column:
 
 def safe_name(name: Column) -> Column:
     return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]*$") & ~F.contains(name, F.lit(".."))
+
+
+# Revisions that move.
+MOVING_REVISIONS = ("main", "master", "head", "latest")
+
+
+def immutable_revision(revision: Column) -> Column:
+    """Whether a revision names one state for good."""
+    name = F.lower(F.trim(revision))
+    return F.coalesce((name != "") & ~name.isin(*MOVING_REVISIONS), F.lit(False))

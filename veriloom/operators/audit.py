@@ -6,13 +6,16 @@ in a finding are collected for keys with a finding only.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import let
-from .dataset import ABSTENTION, example_id, group_id
+from .dataset import ABSTENTION, ACCEPTED, example_id, group_id
 
 COLUMNS = ("code", "severity", "group_id", "subject", "detail")
 
@@ -61,16 +64,32 @@ def kind_partitions(assigned: DataFrame) -> DataFrame:
     return _finding(rows, F.col("rule"), F.col("example_id"), F.col("partition"), F.col("group_id"))
 
 
-def siblings(examples: DataFrame, orientation: tuple[str, ...] = ("target_node", "target_session")) -> DataFrame:
-    """Groups that differ by orientation only, or by other parameters only; they inform and don't fail."""
+def _sibling_keys(examples: DataFrame, orientation: tuple[str, ...]) -> DataFrame:
+    """``code, key, group_id``: what groups that differ by orientation only, or by other parameters only, have in common."""
     groups = examples.groupBy("group_id").agg(*(F.first(c).alias(c) for c in ("template_id", "scenario_id", "topology_hash", "backend", *orientation)), F.first(F.to_json("parameters")).alias("parameters"))
     base = ["template_id", "scenario_id", "topology_hash", "backend"]
-    out = []
     rest = F.to_json(F.map_filter(F.from_json("parameters", "map<string,string>"), lambda k, _: ~k.isin(*orientation)))
-    for code, keys in (("orientation_siblings", [*base, rest.alias("rest")]), ("parameter_siblings", [*base, *orientation])):
-        rows = groups.select("group_id", F.to_json(F.struct(*keys)).alias("key")).groupBy("key").agg(F.array_sort(F.collect_set("group_id")).alias("ids"))
-        out.append(_finding(rows.filter(F.size("ids") > 1), code, F.col("key"), F.array_join("ids", ","), severity="info"))
-    return out[0].unionByName(out[1])
+    keys = F.array(*(
+        F.struct(F.lit(code).alias("code"), F.to_json(F.struct(*columns)).alias("key"))
+        for code, columns in (("orientation_siblings", [*base, rest.alias("rest")]), ("parameter_siblings", [*base, *orientation]))
+    ))
+    return groups.select("group_id", F.explode(keys).alias("k")).select("k.code", "k.key", "group_id")
+
+
+ORIENTATION = ("target_node", "target_session")
+
+
+def siblings(examples: DataFrame, orientation: tuple[str, ...] = ORIENTATION) -> DataFrame:
+    """Keys of more than one group, each with its number of groups and the first of them; they inform and don't fail."""
+    some = _sibling_keys(examples, orientation).groupBy("code", "key").agg(F.count(F.lit(1)).alias("n"), F.min("group_id").alias("group_id")).filter("n > 1")
+    return _finding(some, F.col("code"), F.col("key"), F.col("n").cast("string"), F.col("group_id"), severity="info")
+
+
+def sibling_members(examples: DataFrame, orientation: tuple[str, ...] = ORIENTATION) -> DataFrame:
+    """``code, first, group_id``: the groups of each such key, which its first group names; one row for each."""
+    rows = _sibling_keys(examples, orientation)
+    some = rows.groupBy("code", "key").agg(F.count(F.lit(1)).alias("n"), F.min("group_id").alias("first")).filter("n > 1")
+    return rows.join(some, ["code", "key"]).select("code", "first", "group_id")
 
 
 def audit_leakage(assigned: DataFrame) -> DataFrame:
@@ -88,74 +107,235 @@ def enforce(findings: DataFrame) -> None:
         raise AuditFailure("; ".join(f"{r['code']}: {r['subject']} ({r['detail']})" for r in rows))
 
 
-#: Names that a model-facing payload must not have.
-FORBIDDEN = ("run_id", "group_id", "example_id", "partition", "fault_family", "label", "rejection_code", "ground_truth")
+# Names that a model-facing payload must not have at any depth, and their prefix.
+FORBIDDEN = (
+    "example_id", "group_id", "run_id", "run_digest", "source_index_digest", "incident_reference", "ledger_reference", "transcript_reference",
+    "recovery_reference", "ground_truth_reference", "rejection_code", "failed_phase", "template_id", "scenario_id", "fault_family", "partition",
+    "split", "split_policy_id", "dataset_digest", "dataset_version", "dataset_group_id", "dataset_split", "acceptance_status", "stable_identity",
+    "expected_outcome", "oracle_version", "code_commit", "example_kind", "label_policy_id", "kind",
+)
+FORBIDDEN_PREFIX = "dataset_"
+
+
+def _walk(text: str, banned: set[str]) -> Iterator[tuple[str, str]]:
+    """(rule, path) of every forbidden name or value of a JSON text, at any depth and in arrays."""
+    try:
+        whole = json.loads(text)
+    except (ValueError, RecursionError):
+        yield "unreadable", ""
+        return
+    if isinstance(whole, str) and whole in banned:
+        yield "forbidden_value", ""
+    stack = [("", whole)] if isinstance(whole, dict | list) else []
+    while stack:
+        path, node = stack.pop()
+        named = isinstance(node, dict)
+        for name, value in node.items() if named else enumerate(node):
+            at = f"{path}[{name}]" if not named else f"{path}.{name}" if path else name
+            if named and (name in FORBIDDEN or name.startswith(FORBIDDEN_PREFIX)):
+                yield ("forbidden_key" if name in FORBIDDEN else "forbidden_prefix"), at
+            if isinstance(value, str) and value in banned:
+                yield "forbidden_value", at
+            elif isinstance(value, dict | list):
+                stack.append((at, value))
 
 
 def feature_payload_findings(rows: DataFrame, id_: str, payload: str, sensitive: str) -> DataFrame:
-    """Keys and values of JSON ``payload`` objects that give something away.
+    """``id, rule, path``: keys and values of JSON ``payload`` texts that give something away.
 
-    ``payload`` is a JSON text; every leaf with its path is looked at.  ``sensitive`` is an array column of values that must not
-    appear verbatim.
+    Objects and arrays are walked to any depth.  ``sensitive`` is an array column of values that must not appear verbatim.  A text
+    that is no JSON is a finding; null is no payload.
     """
-    leaves = rows.select(id_, F.col(sensitive).alias("__no"), F.explode(_leaves(F.try_parse_json(payload))).alias("leaf"))
-    name = F.element_at(F.split(F.col("leaf.path"), r"\."), -1)
-    rules = F.array(
-        F.when(name.isin(*FORBIDDEN), F.lit("forbidden_key")), F.when(name.startswith("dataset_"), F.lit("forbidden_prefix")),
-        F.when(F.array_contains("__no", F.col("leaf.value")), F.lit("forbidden_value")),
-    )
-    return leaves.withColumn("rule", F.explode(F.array_compact(rules))).select(id_, "rule", F.col("leaf.path").alias("path"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rules, paths = [], [], []
+            for k, (text, banned) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                if text.is_valid:
+                    node = text.as_py()
+                    for rule, path in _walk(node, set(banned.as_py() or ())):
+                        at.append(k)
+                        rules.append(rule)
+                        paths.append(path)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(rules, pa.string()), pa.array(paths, pa.string())], names=[id_, "rule", "path"])
+
+    kind = rows.schema[id_].dataType.simpleString()
+    return rows.select(id_, payload, sensitive).mapInArrow(run, f"`{id_}` {kind}, rule string, path string")
 
-def _leaves(value: Column, depth: int = 3) -> Column:
-    """Paths and values of an object, to that depth; deeper values are their own JSON text."""
-    kind = "map<string, variant>"
-    entries = F.map_entries(F.coalesce(F.try_variant_get(value, "$", kind), F.expr(f"cast(map() as {kind})")))
-    here = F.transform(entries, lambda e: F.struct(e["key"].alias("path"), F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.to_json(e["value"])).alias("value")))
-    if depth == 1:
-        return here
-    below = F.flatten(F.transform(entries, lambda e: F.transform(_leaves(e["value"], depth - 1), lambda x: F.struct(F.concat_ws(".", e["key"], x["path"]).alias("path"), x["value"].alias("value")))))
-    return F.concat(here, below)
+
+#: Parts of a value that look like a path of an artifact, and fields in which they may be.
+PATH_MARKERS, PATH_EXEMPT = ("/", ".json", "run-", "evidence"), ("feature_policy_id", "topology_hash")
+#: Fields that say what a payload is and are no features.
+PAYLOAD_HEAD = ("schema_version", "feature_policy_id")
+
+
+def observable_payload_findings(rows: DataFrame, id_: str, payload: str, sensitive: str, categories: dict[str, str], families: tuple[str, ...]) -> DataFrame:
+    """``feature_payload_findings`` and more rules for payloads of observable features, ``id, rule, path``.
+
+    Only fields of ``categories`` (context, raw_state or state_delta by name) are allowed; no value may be a fault family at any
+    depth, or look like an artifact's path.
+    """
+    banned = F.array_union(F.coalesce(F.col(sensitive), F.array().cast("array<string>")), F.array(*map(F.lit, families)))
+    deep = feature_payload_findings(rows.select(id_, payload, banned.alias("__banned")), id_, payload, "__banned")
+    value = F.try_parse_json(F.col(payload))
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string, variant>"))
+    fields = rows.select(id_, F.explode(entries).alias("e")).select(id_, F.col("e.key").alias("path"), F.when(F.schema_of_variant("e.value") == "STRING", F.try_variant_get("e.value", "$", "string")).alias("value"))
+    known = [k for k, c in categories.items() if c in ("context", "raw_state", "state_delta")]
+    path_like = ~F.col("path").isin(*PATH_EXEMPT) & F.coalesce(reduce(Column.__or__, (F.contains("value", F.lit(m)) for m in PATH_MARKERS)), F.lit(False))
+    rules = F.array_compact(F.array(
+        F.when(~F.col("path").isin(*PAYLOAD_HEAD, *categories), F.lit("outside_allowlist")), F.when(~F.col("path").isin(*PAYLOAD_HEAD, *known), F.lit("uncategorised")), F.when(path_like, F.lit("path_like_value")),
+    ))
+    return deep.unionByName(fields.select(id_, F.explode(rules).alias("rule"), "path"))
+
+
+# Names that the input text of a training example must not contain.
+INPUT_TOKENS = (
+    "example_id", "group_id", "run_id", "run_digest", "source_index_digest", "prepared_digest", "dataset_digest", "evaluation_id", "benchmark_id",
+    "split_policy_id", "rejection_code", "failed_phase", "outcome_category", "correctness", "ranking", "dataset_",
+)
+TARGET_KEYS = ("fault_family", "prediction_type")
+
+
+def training_example_findings(rows: DataFrame, id_: str, text: str, target: str, own: str) -> DataFrame:
+    """``id, rule, detail`` of training examples: forbidden names in the input, own ids (array ``own``) in it verbatim, and targets
+    that are not an object of exactly the two keys with a diagnosis."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    tokens = F.filter(F.array(*map(F.lit, INPUT_TOKENS)), lambda t: F.contains(body, t))
+    ids = F.filter(F.array_distinct(F.coalesce(F.col(own), F.array().cast("array<string>"))), lambda t: (t != "") & F.contains(body, t))
+    value = F.try_parse_json(F.col(target))
+    keys, wanted = F.json_object_keys(F.col(target)), F.array(*map(F.lit, TARGET_KEYS))
+    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    shape = F.array_compact(F.array(
+        F.when(value.isNull(), F.struct(F.lit("malformed_target").alias("rule"), F.lit("not JSON").alias("detail"))),
+        F.when(value.isNotNull() & ~is_object, F.struct(F.lit("malformed_target").alias("rule"), F.lit("not an object").alias("detail"))),
+        F.when(is_object & (F.try_variant_get(value, "$.prediction_type", "string") != "diagnosis"), F.struct(F.lit("malformed_target").alias("rule"), F.lit("not a diagnosis").alias("detail"))),
+        F.when(is_object & (F.size(F.array_except(wanted, keys)) > 0), F.struct(F.lit("missing_field").alias("rule"), F.array_join(F.array_sort(F.array_except(wanted, keys)), ",").alias("detail"))),
+        F.when(is_object & (F.size(F.array_except(keys, wanted)) > 0), F.struct(F.lit("unauthorized_field").alias("rule"), F.array_join(F.array_sort(F.array_except(keys, wanted)), ",").alias("detail"))),
+    ))
+    found = F.flatten(F.array(
+        F.transform(tokens, lambda t: F.struct(F.lit("forbidden_token").alias("rule"), t.alias("detail"))), F.transform(ids, lambda t: F.struct(F.lit("own_id").alias("rule"), t.alias("detail"))), shape,
+    ))
+    return rows.select(id_, F.explode(found).alias("f")).select(id_, "f.rule", "f.detail")
+
+
+def _substrings(text: Column, lengths: list[int]) -> Column:
+    """All distinct substrings of these lengths."""
+    at = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(at(n), lambda i: F.substr(text, i, n)))))
 
 
 def firewall(payloads: DataFrame, id_: str, text: str, held_out: DataFrame, token: str) -> DataFrame:
-    """Held-out tokens inside training payloads, ``(id, token)``, for tokens of a fixed shape.
+    """``id, token``: held-out tokens that stand anywhere in a payload, also inside a longer word.
 
-    Testing every token against every payload is a product.  Ids have a shape, so id-shaped tokens are extracted from the payloads
-    and joined by equality; cost follows the text.
+    Testing every token against every payload is a product.  Tokens have few different lengths, so a payload's substrings of just
+    these lengths meet the tokens by equality; the cost follows the text.  An empty token is in no payload.
     """
-    found = payloads.select(id_, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?:ex|grp|run)-[0-9a-zA-Z]+"), F.lit(0)))).alias(token))
-    return found.join(held_out.select(token).distinct(), token, "left_semi")
+    tokens = held_out.select(token).filter(F.length(token) > 0).distinct()
+    lengths = sorted(r["n"] for r in tokens.select(F.length(token).alias("n")).distinct().collect())  # one row for each length of an id
+    if not lengths:
+        return payloads.select(id_, F.lit(None).cast("string").alias(token)).limit(0)
+    found = payloads.select(id_, F.explode(_substrings(F.col(text), lengths)).alias(token))
+    return found.join(tokens, token, "left_semi").select(id_, token)
+
+
+def _check_row(rule: str, offenders: DataFrame, id_: str | Column) -> DataFrame:
+    """``rule, passed, detail``: the first five offenders, without gathering the rest."""
+    first = offenders.select((F.col(id_) if isinstance(id_, str) else id_).cast("string").alias("id")).distinct().orderBy("id").limit(5)
+    return first.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("detail")).select(F.lit(rule).alias("rule"), (F.col("n") == 0).alias("passed"), "detail")
+
+
+def held_out_firewall(examples: DataFrame, corpus: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Checks ``rule, passed, detail`` that nothing held out reaches training.
+
+    ``examples(example_id, group_id, run_id, partition, kind, prepared_digest)``, ``corpus(source_example_id, partition, kind,
+    prepared_digest)`` and ``payloads(name, text)``: the corpus binds these examples, its sources are accepted training examples and
+    say so, and no payload has an example, group or run id of any other example.
+    """
+    train = (F.col("partition") == "train") & (F.col("kind") == ACCEPTED)
+    held = examples.filter(~F.coalesce(train, F.lit(False))).select(F.explode(F.array("example_id", "group_id", "run_id")).alias("token"))
+    digests = examples.select("prepared_digest").distinct()
+    found = firewall(payloads, "name", "text", held, "token")
+    leaks = payloads.select("name").distinct().join(found.groupBy("name").agg(F.array_join(F.slice(F.array_sort(F.collect_set("token")), 1, 5), ",").alias("detail")), "name", "left")
+    by_name = leaks.select(F.concat(F.lit("no_held_out_identifier_in_"), "name").alias("rule"), F.col("detail").isNull().alias("passed"), F.coalesce("detail", F.lit("")).alias("detail"))
+    parts = [
+        _check_row("corpus_binds_this_prepared_corpus", corpus.join(digests, "prepared_digest", "left_anti"), "prepared_digest"),
+        _check_row("training_sources_are_train_accepted_only", corpus.join(examples.filter(train).select(F.col("example_id").alias("source_example_id")), "source_example_id", "left_anti"), "source_example_id"),
+        _check_row("training_traces_literal_train", corpus.filter(~F.coalesce(train, F.lit(False))), "source_example_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts).unionByName(by_name)
+
+
+def expansion_firewall(planned: DataFrame, frozen: DataFrame, cases: DataFrame, topologies: DataFrame, groups: int, examples: int, least_groups: int, least_examples: int, spec_id: str) -> DataFrame:
+    """Checks ``rule, passed, detail`` that a planned expansion is leakage-safe and large enough.
+
+    ``planned`` has the identity columns, ``group_id, case_id, topology_id, assigned_partition, planned_examples, spec_id``;
+    ``frozen(group_id, partition)``; ``cases(case_id)`` and ``topologies(topology_id)`` are what is approved.
+    """
+    again = planned.withColumn("__group", group_id(planned))
+    repeated = planned.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sums = planned.agg(F.countDistinct("group_id").alias("distinct"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("planned_examples"), F.lit(0)).alias("examples"))
+    check = lambda rule, test, detail: sums.select(F.lit(rule).alias("rule"), test.alias("passed"), detail.cast("string").alias("detail"))
+    parts = [
+        _check_row("planned_groups_unique", repeated, "group_id"), _check_row("planned_disjoint_from_frozen", planned.join(frozen.select("group_id").distinct(), "group_id", "left_semi"), "group_id"),
+        _check_row("planned_identities_canonical", again.filter(~F.col("group_id").eqNullSafe(F.col("__group"))), "group_id"),
+        _check_row("all_assigned_train", planned.filter(~F.col("assigned_partition").eqNullSafe(F.lit("train"))), "group_id"),
+        _check_row("no_heldout_reassigned", frozen.filter(~F.coalesce(F.col("partition").isin("train", "validation", "test", "abstention"), F.lit(False))), "group_id"),
+        _check_row("cases_in_approved_set", planned.join(cases.select("case_id").distinct(), "case_id", "left_anti"), "group_id"),
+        _check_row("topologies_in_approved_set", planned.join(topologies.select("topology_id").distinct(), "topology_id", "left_anti"), "group_id"),
+        check("meets_group_target", (F.col("rows") >= groups) & F.lit(groups >= least_groups), F.col("rows")),
+        check("meets_example_target", (F.col("examples") >= examples) & F.lit(examples >= least_examples), F.col("examples")),
+        check("coverage_by_independent_groups", F.col("distinct") == F.col("rows"), F.col("distinct")),
+        _check_row("spec_binding", planned.filter(~F.col("spec_id").eqNullSafe(F.lit(spec_id))), "group_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Runs of passages up to this number are broadcast: 16 bytes each.
+BROADCAST_RUNS = 500_000
 
 
 def passages_inside(texts: DataFrame, id_: str, text: str, passages: DataFrame, item: str, passage: str, words: int = 4) -> DataFrame:
     """``(id, item)`` where a text contains a passage verbatim: candidates meet by a run of whole words.
 
-    A passage of ``2 words`` or more has a run of ``words`` whole inner words in every text that contains it; only such pairs are
-    tested.  Shorter passages are few words and are tested by a broadcast of at most ``10,000`` of them, else refused.
+    A passage of ``words + 2`` words or more has a run of ``words`` whole inner words in every text that contains it.  Its run that
+    the fewest texts have is its key, so a common phrase is no key; only hits of keys are tested.  Hashes of runs stand for runs, and
+    up to ``BROADCAST_RUNS`` of them are broadcast after a count, so no text is shuffled; beyond that they are joined by hash.  Shorter
+    passages meet the texts' substrings of their lengths by equality; an empty one is in no text.
     """
     split = F.split(F.col(passage), r"\s+")
-    inner = F.filter(F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(split) - words)), lambda i: F.when(i + words - 1 < F.size(split), F.array_join(F.slice(split, i, words), " "))), lambda x: x.isNotNull())
-    keyed = passages.select(item, F.col(passage).alias("__passage"), F.try_element_at(inner, F.lit(1)).alias("gram"))
-    grams = let(F.split(F.col(text), r"\s+"), lambda body: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(body) - words + 1)), lambda i: F.array_join(F.slice(body, i, words), " ")))
-    long, short = keyed.filter("gram is not null"), keyed.filter("gram is null")
-    hits = texts.select(id_, F.explode(F.array_distinct(grams)).alias("gram")).join(long, "gram").select(id_, item, "__passage")
-    checked = hits.join(texts.select(id_, F.col(text).alias("__text")), id_).filter(F.contains("__text", F.col("__passage"))).select(id_, item)
-    few = short.limit(10_001).collect()
-    if len(few) > 10_000:
-        raise ValueError("too many passages below the least length")
+    long = F.size(split) >= words + 2
+    run = lambda body, i: F.xxhash64(F.array_join(F.slice(body, i, words), " "))
+    inner = let(split, lambda body: F.transform(F.sequence(F.lit(2), F.size(body) - words), lambda i: run(body, i)))
+    runs = passages.filter(long).select(item, passage, F.explode(F.array_distinct(inner)).alias("run"))
+    grams = let(F.split(F.col(text), r"\s+"), lambda body: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(body) - words + 1)), lambda i: run(body, i))))
+    known = runs.select("run").distinct()
+    few = known.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    small = F.broadcast if few else lambda df: df
+    seen = texts.select(F.explode(grams).alias("run")).join(small(known), "run").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    rarest = runs.join(seen, "run", "left").groupBy(item, passage).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("k"))
+    keyed = rarest.filter("k.n > 0").select(item, F.col(passage).alias("__passage"), F.col("k.run").alias("run"))
     if few:
-        values = F.array(*(F.struct(F.lit(r[item]).alias("item"), F.lit(r["__passage"]).alias("passage")) for r in few))
-        rows = texts.select(id_, F.explode(F.filter(values, lambda v: F.contains(F.col(text), v["passage"]))).alias("v")).select(id_, F.col("v.item").alias(item))
-        checked = checked.unionByName(rows)
-    return checked.distinct()
+        hits = texts.select(id_, F.col(text).alias("__text"), F.explode(grams).alias("run")).join(F.broadcast(keyed), "run")
+    else:  # rows are told apart by id and text
+        key = [F.col(id_), F.xxhash64(text).alias("__hash")]
+        met = texts.select(*key, F.explode(grams).alias("run")).join(keyed, "run").withColumnRenamed(id_, "__id")
+        rows = texts.select(*key, F.col(text).alias("__text"))
+        hits = rows.join(met, rows[id_].eqNullSafe(met["__id"]) & (rows["__hash"] == met["__hash"]))
+    found = hits.filter(F.contains("__text", F.col("__passage"))).select(id_, item)
+    short = passages.filter(~long & (F.col(passage) != "")).select(item, F.col(passage).alias("__token"))
+    inside = firewall(texts, id_, text, short, "__token").join(short, "__token").select(id_, item)
+    return found.unionByName(inside).distinct()
+
+
+# Programs that dump an environment, and what a credential's name has in it (in either case).
+ENV_DUMPS = ("env", "printenv", "set", "export")
+SECRETISH = ("SECRET", "TOKEN", "PASSWORD", "PASSWD", "APIKEY", "API_KEY", "PRIVATE_KEY")
 
 
 def secret_arguments(transcript: DataFrame, id_: str, argv: str) -> DataFrame:
-    """Commands that dump an environment or carry a credential."""
-    base = F.transform(F.col(argv), lambda t: F.substring_index(t, "/", -1))
-    dumps = F.arrays_overlap(base, F.array(*map(F.lit, ("env", "printenv", "set"))))
-    leaks = F.exists(F.col(argv), lambda t: F.lower(t).rlike(r"(password|secret|token|api_?key)="))
+    """``id, rule``: commands of which an argument dumps an environment or names a credential, in whatever form."""
+    dumps = F.exists(F.col(argv), lambda t: F.substring_index(t, "/", -1).isin(*ENV_DUMPS))
+    leaks = F.exists(F.col(argv), lambda t: reduce(Column.__or__, (F.contains(F.upper(t), F.lit(w)) for w in SECRETISH)))
     rules = F.array_compact(F.array(F.when(dumps, F.lit("environment_dump")), F.when(leaks, F.lit("credential"))))
     return transcript.select(id_, F.explode(rules).alias("rule"))
 

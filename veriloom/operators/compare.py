@@ -115,6 +115,17 @@ def version_diff(old: DataFrame, new: DataFrame, key: str, content: list[str], p
     )
 
 
+def appended_groups(old: DataFrame, new: DataFrame, frozen: DataFrame) -> DataFrame:
+    """One row ``appended_accepted, appended_rejected, new_groups, collisions`` of what ``new`` adds to ``old``; a collision is a group of
+    an added example that ``frozen(group_id)`` has."""
+    added = new.join(old.select("example_id"), "example_id", "left_anti")
+    held = frozen.select("group_id", F.lit(True).alias("__frozen")).distinct()
+    return added.join(held, "group_id", "left").agg(
+        F.count_if(F.col("kind") == "accepted_fault").alias("appended_accepted"), F.count_if(F.col("kind") != "accepted_fault").alias("appended_rejected"), F.countDistinct("group_id").alias("new_groups"),
+        F.countDistinct(F.when(F.col("__frozen"), F.col("group_id"))).alias("collisions"),
+    )
+
+
 def metric_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     """``metric, before, after, delta`` of two long tables ``(metric, value)``; a metric that one lacks counts 0."""
     rows = before.withColumnRenamed("value", "before").join(after.withColumnRenamed("value", "after"), "metric", "full_outer").na.fill(0, ["before", "after"])

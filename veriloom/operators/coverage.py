@@ -58,10 +58,10 @@ def quality_checks(examples: DataFrame) -> DataFrame:
     leaking = examples.groupBy("group_id").agg(F.countDistinct("partition").alias("n")).filter("n > 1")
     malformed = examples.filter((accepted & (apart | F.col("fault_family").isNull())) | (~accepted & ~apart))
     evidence = examples.filter(F.col("baseline_evidence").isNull() | (accepted & F.col("onset_evidence").isNull()))
-    policies = examples.agg(F.countDistinct("policy_id").alias("n"), F.min("policy_id").alias("policy_id")).filter("n > 1")
+    policies, label_policies = (examples.agg(F.countDistinct(c).alias("n"), F.min(c).alias("id")).filter("n > 1") for c in ("policy_id", "label_policy_id"))
     parts = [
         check("unique_example_ids", repeated, "example_id"), check("no_split_leakage", leaking, "group_id"), check("no_malformed_examples", malformed, "example_id"),
-        check("no_missing_evidence", evidence, "example_id"), check("uniform_policy", policies, "policy_id"),
+        check("no_missing_evidence", evidence, "example_id"), check("uniform_policy", policies, "id"), check("uniform_label_policy", label_policies, "id"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -90,5 +90,24 @@ def long(rows: DataFrame, metrics: list[str]) -> DataFrame:
     return rows.select(*(F.col(m).cast("bigint").alias(m) for m in metrics)).unpivot([], metrics, "metric", "value")
 
 
-def fold(name: str, value: Column) -> Column:
-    return value.cast("bigint").alias(name)
+class TargetsUnmet(RuntimeError):
+    pass
+
+
+def bind_expansion(assessed: DataFrame, parent: dict[str, str], policy: dict[str, str]) -> DataFrame:
+    """One row ``parent_id, parent_digest, policy_id`` for an expansion of ``parent(id, digest)``; refused while a mandatory target of
+    ``assessed`` is unmet, or if ``policy(id, source_id, source_digest)`` was made for another parent."""
+    if (policy["source_id"], policy["source_digest"]) != (parent["id"], parent["digest"]):
+        raise TargetsUnmet("the policy does not bind this parent")
+    unmet = [r["metric"] for r in assessed.filter("mandatory and not passed").select("metric").orderBy("metric").limit(20).collect()]
+    if unmet:
+        raise TargetsUnmet(f"mandatory targets are unmet: {', '.join(unmet)}")
+    return assessed.sparkSession.createDataFrame([(parent["id"], parent["digest"], policy["id"])], "parent_id string, parent_digest string, policy_id string")
+
+
+def merged_checks(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two check tables as one gate; refused if they share a rule, since a shadowed rule would weaken it."""
+    shared = sorted(r["rule"] for r in first.select("rule").join(second.select("rule"), "rule", "left_semi").distinct().limit(5).collect())
+    if shared:
+        raise TargetsUnmet(f"both have the rules {', '.join(shared)}")
+    return first.unionByName(second)

@@ -75,6 +75,17 @@ def project_accepted(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _projected(runs.filter("status = 'accepted'"), ACCEPTED, rules)
 
 
+#: The one phase in which a rejected run may have failed, and the policy under which it is set apart.
+PRECONDITION, ABSTENTION_POLICY = "precondition", "abstention-v1"
+
+
+def assignments(examples: DataFrame, policy: SplitPolicy) -> DataFrame:
+    """``example_id, group_id, partition, assignment_id``: abstentions bypass the buckets under a fixed id of their own."""
+    made = content_id("assign", record(example_id=F.col("example_id"), group_id=F.col("group_id"), salt=policy.salt, train=policy.train, validation=policy.validation))
+    rows = assigned(examples, policy)
+    return rows.select("example_id", "group_id", "partition", F.when(F.col("kind") == ABSTENTION, ABSTENTION_POLICY).otherwise(made).alias("assignment_id"))
+
+
 def project_rejected(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rules = {
         "truth_present": F.col("ground_truth").isNotNull(),
@@ -84,6 +95,8 @@ def project_rejected(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "recovery_present": F.array_contains("phases", "recovery"),
         "baseline_missing": ~(F.array_contains("phases", "baseline") | F.array_contains("phases", "precondition")),
         "mutation_present": F.coalesce("mutations", F.lit(0)) > 0,
+        "fault_present": F.col("fault").isNotNull(),
+        "phase_not_precondition": F.col("failed_phase") != PRECONDITION,
     }
     return _projected(runs.filter("status = 'rejected'"), ABSTENTION, rules)
 

@@ -72,6 +72,12 @@ def prediction_id(prediction: Column, predictor: Column, example: Column) -> Col
     return content_id("pred", record(example_id=example, predictor=predictor, prediction=record(**{k: prediction[k] for k in ("outcome", "fault_family", "reason", "rules", "excerpt")})))
 
 
+def prediction_id_mismatches(rows: DataFrame, stored: str = "prediction_id") -> DataFrame:
+    """``predictor, example_id`` of rows whose stored prediction id isn't what their own content gives."""
+    again = prediction_id(F.col("prediction"), F.col("predictor"), F.col("example_id"))
+    return rows.filter(~F.col(stored).eqNullSafe(again)).select("predictor", "example_id")
+
+
 def outcome(prediction: Column, kind: Column, family: Column) -> Column:
     """Category of a prediction: invalid output is never right, whatever the label."""
     accepted = kind == ACCEPTED
@@ -156,6 +162,25 @@ def comparison(records: DataFrame) -> DataFrame:
     return rows.withColumns({"accuracy": ratio(F.col("accepted_correct"), F.col("accepted_evaluated")), "abstention_accuracy": ratio(F.col("abstention_correct"), F.col("abstention_count"))})
 
 
+def parser_statistics(records: DataFrame) -> DataFrame:
+    """Outcomes of each predictor's responses, and the share that is valid."""
+    said = lambda x: F.count_if(F.col("prediction.outcome") == x)
+    rows = records.groupBy("predictor").agg(F.count(F.lit(1)).alias("n"), said("diagnosis").alias("diagnoses"), said("abstention").alias("abstentions"), said("invalid").alias("invalid"))
+    return rows.withColumn("valid_rate", ratio(F.col("n") - F.col("invalid"), F.col("n")))
+
+
+def structured_output_report(records: DataFrame) -> DataFrame:
+    """Reliability of every predictor: its scores, and how its responses parse; nothing is ranked on it."""
+    scores = comparison(records).select("predictor", "accepted_evaluated", "accepted_correct", F.col("accuracy").alias("exact_match_accuracy"), "abstention_count", "abstention_correct", "abstention_accuracy", "invalid_count")
+    return scores.join(parser_statistics(records).select("predictor", "diagnoses", "abstentions", "valid_rate"), "predictor")
+
+
+def overall(records: DataFrame) -> DataFrame:
+    """All of a predictor's metrics in one row: counts, accuracies of accepted and abstaining rows, and the accuracy over all."""
+    rows = records.groupBy("predictor").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("right"))
+    return comparison(records).join(rows.select("predictor", "right", ratio(F.col("right"), F.col("n")).alias("overall_accuracy")), "predictor")
+
+
 def ranking(rows: DataFrame) -> DataFrame:
     """A total order of predictors: accuracy, abstention accuracy (null lowest), fewer invalid, name.  One row per predictor."""
     key = [F.coalesce(F.col(c).cast("decimal(26,6)"), F.lit(-1)).desc() for c in ("accuracy", "abstention_accuracy")]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +27,29 @@ def final_phase(log: DataFrame, stream: str, seq: str, phase: str) -> DataFrame:
     return log.groupBy(stream).agg(F.max_by(phase, seq).alias("final"), F.count(F.lit(1)).alias("n"))
 
 
-def sequence_faults(log: DataFrame, stream: str, seq: str) -> DataFrame:
-    """Sequence numbers that aren't positive (from 0), repeat or leave a gap."""
+def final_phase_findings(log: DataFrame, incidents: DataFrame, stream: str, seq: str, phase: str, final: dict[str, str]) -> DataFrame:
+    """``stream, status, final, wanted`` where a stream's last phase isn't the one that its incident's status asks for.
+
+    ``incidents`` has ``stream, status``; ``final`` names the phase of each status.  A stream without events ends in ``start``.
+    """
+    wanted = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(final.items()) for x in pair)), F.col("status"))
+    last = final_phase(log, stream, seq, phase).select(stream, "final")
+    rows = incidents.select(stream, "status").join(last, stream, "left").withColumns({"final": F.coalesce("final", F.lit(START)), "wanted": wanted})
+    return rows.filter(F.col("wanted").isNotNull() & (F.col("final") != F.col("wanted"))).select(stream, "status", "final", "wanted")
+
+
+def sequence_gaps(log: DataFrame, stream: str, seq: str) -> DataFrame:
+    """Numbers after which one or more are missing."""
     before = F.lag(seq).over(Window.partitionBy(stream).orderBy(seq))
     rows = log.select(stream, F.col(seq).alias("seq"), before.alias("before"))
-    fault = F.when(F.col("seq") < 0, "negative").when(F.col("seq") == F.col("before"), "repeated").when(F.col("seq") > F.col("before") + 1, "gap")
+    return rows.filter(F.col("seq") > F.col("before") + 1).withColumn("fault", F.lit("gap"))
+
+
+def sequence_faults(log: DataFrame, stream: str, position: str, seq: str) -> DataFrame:
+    """Sequence numbers below 1 or below the one before, in the order of the log's own positions; equal ones are allowed."""
+    before = F.lag(seq).over(Window.partitionBy(stream).orderBy(position))
+    rows = log.select(stream, F.col(position).alias("position"), F.col(seq).alias("seq"), before.alias("before"))
+    fault = F.when(F.coalesce(F.col("seq") < 1, F.lit(True)), "below_one").when(F.col("seq") < F.col("before"), "decreasing")
     return rows.withColumn("fault", fault).filter("fault is not null")
 
 
@@ -42,21 +65,30 @@ def event_hash(previous: Column, payload: Column) -> Column:
 
 
 def build_chain(log: DataFrame, stream: str, seq: str, payload: str) -> DataFrame:
-    """Each event with the hash of its predecessor and its own.
+    """Each event with the hash of its predecessor and its own: ``stream, seq, payload, previous, hash``.
 
-    A chain is sequential within its stream by nature; streams are folded in parallel, each in one row.
+    A chain is sequential within its stream by nature.  Streams are spread over tasks and sorted, and one pass carries nothing but
+    the last hash, however long a stream is.
     """
-    events = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(payload).alias("payload"))))
-    rows = log.groupBy(stream).agg(events.alias("events"))
-    seed = F.concat(F.lit("seed-"), F.col(stream).cast("string"))
-    kind = "array<struct<seq: bigint, payload: string, previous: string, hash: string>>"
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1))["hash"], seed)
-        return F.concat(done, F.array(F.struct(e["seq"].cast("bigint").alias("seq"), e["payload"].alias("payload"), last.alias("previous"), event_hash(last, e["payload"]).alias("hash"))))
-
-    chain = F.aggregate("events", F.array().cast(kind), step)
-    return rows.select(stream, F.inline(chain))
+    kind = log.schema[stream].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: object = run  # no stream is equal to it
+        last = ""
+        for batch in batches:
+            previous, hashes = [], []
+            for name, text, seed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if name != current:
+                    current, last = name, f"seed-{seed or ''}"
+                previous.append(last)
+                line = json.dumps({"payload": text, "previous": last}, separators=(",", ":"), ensure_ascii=False)
+                last = f"evhash-{hashlib.sha256(line.encode()).hexdigest()[:24]}"
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(previous, pa.string()), pa.array(hashes, pa.string())], names=[stream, "seq", "payload", "previous", "hash"])
+
+    rows = log.select(stream, F.col(seq).cast("bigint").alias("seq"), F.col(payload).alias("payload"), F.col(stream).cast("string").alias("__seed"))
+    rows = rows.repartition(stream).sortWithinPartitions(stream, "seq", "payload")
+    return rows.mapInArrow(run, f"`{stream}` {kind}, seq bigint, payload string, previous string, hash string")
 
 
 def broken_links(chain: DataFrame, stream: str) -> DataFrame:
@@ -100,6 +132,15 @@ def first_confirmation(log: DataFrame, stream: str, order: list[str], ok: Column
     return rows.groupBy(stream).agg(F.min(F.when(F.col("streak") >= times, F.col("attempt"))).alias("confirmed_at"), F.max("streak").alias("longest"), F.count(F.lit(1)).alias("attempts"))
 
 
+def polled(log: DataFrame, stream: str, order: list[str], ok: Column, times: int, deadline: int) -> DataFrame:
+    """``stream, confirmed_at, attempts, outcome`` of polling that ends at the ``times``-th success in a row or after ``deadline`` attempts:
+    ``confirmed``, ``timed_out``, or ``unfinished`` where the log ends before either."""
+    rows = first_confirmation(log, stream, order, ok, times)
+    at = F.when(F.col("confirmed_at") <= deadline, F.col("confirmed_at"))
+    outcome = F.when(at.isNotNull(), "confirmed").when(F.col("attempts") >= deadline, "timed_out").otherwise("unfinished")
+    return rows.select(stream, at.alias("confirmed_at"), F.least(F.coalesce(at, F.col("attempts")), F.lit(deadline)).alias("attempts"), outcome.alias("outcome"))
+
+
 def phase_prefixes(log: DataFrame, stream: str, seq: str, phase: str, canonical: list[str]) -> DataFrame:
     """Whether each stream's phases are a prefix of the canonical ones."""
     names = F.array(*map(F.lit, canonical))

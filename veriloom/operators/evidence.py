@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import sha256_text, truncated_bytes
+from ..functions.canonical import content_id, ordered_map, record, sha256_text, truncated_bytes
 
 #: Peer states from worst to best; others rank between.
 STATES = ("idle", "active", "connect", "opensent", "openconfirm", "other", "established")
@@ -16,7 +16,7 @@ PREDICATES = ("equals", "not_equals", "in_set", "not_in_set", "greater_than", "l
 
 
 def verify_claims(checks: DataFrame, observations: DataFrame) -> DataFrame:
-    """``check_id, verdict, observed, ignored`` of ``checks(check_id, metric, predicate, expected array, trusted_only)``.
+    """``check_id, verdict, detail, observed, ignored`` of ``checks(check_id, metric, predicate, expected array, trusted_only)``.
 
     ``observations(metric, value, trusted)`` of any target count; predicates hold for all of them.  Untrusted ones never verify a
     trusted claim.  Checks are few and observations many: observations are summed up by metric and value before they meet checks,
@@ -40,9 +40,14 @@ def verify_claims(checks: DataFrame, observations: DataFrame) -> DataFrame:
     )
     verdict = (
         F.when(F.col("observed") == 0, "insufficient").when(F.col("predicate") == "any", "pass").when(F.col("wanted") == 0, "unknown").when(F.coalesce("broken", F.lit(False)), "unknown")
-        .when(F.col("all"), "pass").when(F.col("some") & (F.col("predicate") == "equals"), "contradictory").otherwise("fail")
+        .when(F.col("all"), "pass").otherwise("fail")
     )
-    return out.select("check_id", verdict.alias("verdict"), "observed", "ignored")
+    out = out.withColumn("verdict", verdict)
+    detail = (
+        F.when((F.col("verdict") == "insufficient") & (F.col("ignored") > 0), "only_untrusted_observed").when(F.col("verdict") == "insufficient", "nothing_observed").when((F.col("verdict") == "unknown") & (F.col("wanted") == 0), "nothing_expected")
+        .when(F.col("verdict") == "unknown", "not_a_number").when((F.col("verdict") == "fail") & (F.col("predicate") == "equals") & F.col("some"), "contradictory")
+    )
+    return out.select("check_id", "verdict", detail.alias("detail"), "observed", "ignored")
 
 
 def checks_for(spark, target: str, peer: str, interface: str, prefix: str, remote_as: str) -> DataFrame:
@@ -150,3 +155,14 @@ def config_digest(text: Column) -> Column:
 def feature_text(rows: DataFrame) -> Column:
     """Observations as lines of ``name=value`` in order of name."""
     return F.array_join(F.array(*(F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(rows.columns) if c != "run_id")), "\n")
+
+
+def evidence_record(normalized: Column, **fields: Column) -> Column:
+    """An evidence record with its id: a digest of all fields and of the observations (a map), in order of name."""
+    entries = ordered_map(normalized)
+    return F.struct(content_id("ev", record(normalized=entries, **fields)).alias("evidence_id"), entries.alias("normalized"), *(v.alias(k) for k, v in sorted(fields.items())))
+
+
+def usable_output(status: Column, stdout: Column) -> Column:
+    """Output of a command that ended well, else null; a collector refuses everything else."""
+    return F.when(status == "ok", stdout)

@@ -100,6 +100,41 @@ def topology_findings(nodes: DataFrame, links: DataFrame, sessions: DataFrame) -
     )
 
 
+def session_endpoints(cases: DataFrame, sessions: DataFrame, links: DataFrame) -> DataFrame:
+    """``cases(case_id, target, session)`` with what they resolve to, ``local_asn, peer_asn, peer_ip, interface, rule``.
+
+    ``sessions(session, side, node, asn, ip)`` and ``links(link, side, node, iface, ip)`` have one row for each end.  ``rule`` names why a
+    case doesn't resolve: an unknown session, a target that is no end of it, or no link of the target that faces the peer.
+    """
+    known = sessions.select("session").distinct().withColumn("__known", F.lit(True))
+    mine = sessions.select("session", F.col("node").alias("target"), F.col("side").alias("__side"), F.col("asn").alias("local_asn"))
+    other = sessions.select("session", F.when(F.col("side") == "a", "b").otherwise("a").alias("__side"), F.col("asn").alias("peer_asn"), F.col("ip").alias("peer_ip"))
+    bare = lambda c: F.substring_index(c, "/", 1)
+    here = links.select("link", "side", F.col("node").alias("target"), F.col("iface").alias("interface"))
+    facing = links.select("link", F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), bare(F.col("ip")).alias("peer_ip"))
+    faces = here.join(facing, ["link", "side"]).groupBy("target", "peer_ip").agg(F.min("interface").alias("interface"))
+    rows = cases.join(known, "session", "left").join(mine, ["session", "target"], "left").join(other, ["session", "__side"], "left").withColumn("peer_ip", bare(F.col("peer_ip")))
+    rows = rows.join(faces, ["target", "peer_ip"], "left")
+    rule = F.when(F.col("__known").isNull(), "session_unknown").when(F.col("local_asn").isNull(), "target_is_no_end").when(F.col("interface").isNull(), "no_link_faces_the_peer")
+    return rows.select("case_id", "target", "session", "local_asn", "peer_asn", "peer_ip", "interface", rule.alias("rule"))
+
+
+def finite_decimal(text: Column) -> Column:
+    """Whether a recorded number is a finite decimal text."""
+    return F.coalesce(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,3})?$"), F.lit(False))
+
+
+def incident_violation(status: Column, label: Column, verdicts: Column, recovery: Column, rejection: Column) -> Column:
+    """Why an incident record can't be assembled, or null: ``verdicts`` is an array, ``label`` the ground truth's name."""
+    accepted = status == "accepted"
+    return (
+        F.when(~F.coalesce(status.isin("accepted", "rejected"), F.lit(False)), "status_unknown")
+        .when(accepted & (F.coalesce(label, F.lit("")) == ""), "label_missing").when(accepted & label.rlike(r"\s"), "label_has_white_space")
+        .when(accepted & (F.coalesce(F.size(verdicts), F.lit(0)) <= 0), "verdict_missing").when(accepted & ~F.coalesce(recovery, F.lit(False)), "recovery_missing")
+        .when(accepted & rejection.isNotNull(), "rejection_present").when(~accepted & label.isNotNull(), "truth_present").when(~accepted & rejection.isNull(), "rejection_missing")
+    )
+
+
 def case_violation(template: Column, target: Column, expected: Column, wrong_asn: Column, local_asn: Column, peer_asn: Column, interface: Column, prefix: Column, loopback: Column) -> Column:
     """Why a catalog case is not valid on its topology, or null; rules depend on the template."""
     number = wrong_asn.try_cast("bigint")

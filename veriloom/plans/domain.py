@@ -27,7 +27,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({
         "run_id": F.concat(F.lit("run-"), "doc_id"), "kind": kind, "fault_family": F.concat(F.lit("q"), "quality", F.lit("t"), "toxic"),
         "template_id": F.col("lang"), "scenario_id": F.col("source"), "topology_hash": F.col("lang"), "backend": F.col("source"), "target_node": F.lit(""), "target_session": F.lit(""),
-        "baseline_evidence": F.lit("baseline"), "onset_evidence": F.when(F.col("__id").isNotNull(), "onset"), "rejection_code": F.when(F.col("__id").isNull(), "no_label"), "policy_id": F.lit("feat-1"),
+        "baseline_evidence": F.lit("baseline"), "onset_evidence": F.when(F.col("__id").isNotNull(), "onset"), "rejection_code": F.when(F.col("__id").isNull(), "no_label"), "policy_id": F.lit("feat-1"), "label_policy_id": F.lit("lab-1"),
     })
     return rows.withColumn("parameters", F.create_map(F.lit("kind"), "kind")).drop("__id", "quality", "toxic")
 

@@ -55,12 +55,13 @@ def split_counts(spark, d):
     return examples(spark, d).groupBy("partition", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {EX} SELECT run_id, 'accepted_fault' AS kind FROM ex WHERE kind = 'accepted_fault' AND doc_id % 7 <> 0 UNION ALL SELECT run_id, 'abstention' FROM ex WHERE kind = 'abstention' AND doc_id % 11 <> 0")
+@query(f"WITH {EX} SELECT run_id, 'accepted_fault' AS kind FROM ex WHERE kind = 'accepted_fault' AND doc_id % 7 <> 0 UNION ALL SELECT run_id, 'abstention' FROM ex WHERE kind = 'abstention' AND doc_id % 11 <> 0 AND doc_id % 121 NOT IN (5, 6)")
 def projected_runs(spark, d):
     return dataset.project(_run_status(spark, d))[0].select("run_id", "kind")
 
 
-@query(f"WITH {EX} SELECT run_id, 'recovery_missing' AS rule FROM ex WHERE kind = 'accepted_fault' AND doc_id % 7 = 0 UNION ALL SELECT run_id, 'mutation_present' FROM ex WHERE kind = 'abstention' AND doc_id % 11 = 0")
+@query(f"""WITH {EX} SELECT run_id, 'recovery_missing' AS rule FROM ex WHERE kind = 'accepted_fault' AND doc_id % 7 = 0 UNION ALL SELECT run_id, 'mutation_present' FROM ex WHERE kind = 'abstention' AND doc_id % 11 = 0
+  UNION ALL SELECT run_id, CASE doc_id % 121 WHEN 5 THEN 'fault_present' ELSE 'phase_not_precondition' END FROM ex WHERE kind = 'abstention' AND doc_id % 121 IN (5, 6)""")
 def projection_findings(spark, d):
     return dataset.project(_run_status(spark, d))[1]
 
@@ -69,6 +70,7 @@ def _run_status(spark, d):
     accepted = F.col("kind") == dataset.ACCEPTED
     phases = F.when(accepted, F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("baseline"), F.lit("onset"))).otherwise(F.array(F.lit("baseline"), F.lit("onset"), F.lit("recovery")))).otherwise(F.array(F.lit("baseline")))
     rows = runs(spark, d).withColumns({"status": F.when(accepted, "accepted").otherwise("rejected"), "ground_truth": F.col("fault_family"), "phases": phases})
+    rows = rows.withColumns({"fault": F.when(~accepted & (F.col("doc_id") % 121 == 5), "f"), "failed_phase": F.when(~accepted & (F.col("doc_id") % 121 == 6), "onset").otherwise("precondition")})
     return rows.withColumn("mutations", F.when(~accepted & (F.col("doc_id") % 11 == 0), 1).otherwise(0)).drop("kind")
 
 
@@ -175,9 +177,14 @@ def response_schema(spark, d):
 @query(f"""WITH {REC}, m AS (SELECT predictor, count(*) AS n, {count("outcome = 'diagnosis'")} AS diagnoses, {count("outcome = 'abstention'")} AS abstentions, {count("outcome = 'invalid'")} AS invalid FROM rec GROUP BY predictor)
   SELECT *, {ratio_sql("n - invalid", "n")} AS valid_rate FROM m""")
 def parser_stats(spark, d):
-    is_ = lambda x: F.count_if(F.col("prediction.outcome") == x)
-    rows = records(spark, d).groupBy("predictor").agg(F.count(F.lit(1)).alias("n"), is_("diagnosis").alias("diagnoses"), is_("abstention").alias("abstentions"), is_("invalid").alias("invalid"))
-    return rows.withColumn("valid_rate", canonical.ratio(F.col("n") - F.col("invalid"), F.col("n")))
+    return evaluate.parser_statistics(records(spark, d))
+
+
+@query(f"""WITH {REC}, c AS (SELECT predictor, {count("kind = 'accepted_fault'")} AS accepted_evaluated, {count("category = 'correct_diagnosis'")} AS accepted_correct, {count("kind = 'abstention'")} AS abstention_count, {count("category = 'correct_abstention'")} AS abstention_correct,
+  {count("category = 'invalid_prediction'")} AS invalid_count, {count("outcome = 'diagnosis'")} AS diagnoses, {count("outcome = 'abstention'")} AS abstentions, count(*) AS n FROM rec GROUP BY predictor)
+  SELECT * EXCLUDE (n), {ratio_sql("accepted_correct", "accepted_evaluated")} AS exact_match_accuracy, {ratio_sql("abstention_correct", "abstention_count")} AS abstention_accuracy, {ratio_sql("n - invalid_count", "n")} AS valid_rate FROM c""")
+def structured_output_report(spark, d):
+    return evaluate.structured_output_report(records(spark, d))
 
 
 # --- audits
@@ -234,7 +241,12 @@ def leak_audit(spark, d):
 @query(f"""WITH {EX} SELECT 'parameter_siblings' AS code, count(*) AS families, sum(n)::BIGINT AS groups FROM (SELECT lang, source, count(DISTINCT group_id) AS n FROM ex GROUP BY ALL HAVING n > 1)""")
 def siblings(spark, d):
     rows = audit.siblings(examples(spark, d))
-    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("families"), F.sum(F.size(F.split("detail", ","))).alias("groups"))
+    return rows.groupBy("code").agg(F.count(F.lit(1)).alias("families"), F.sum(F.col("detail").cast("bigint")).alias("groups"))
+
+
+@query(f"""WITH {EX}, g AS (SELECT DISTINCT group_id, lang, source FROM ex), k AS (SELECT lang, source, min(group_id) AS first FROM g GROUP BY ALL HAVING count(*) > 1) SELECT 'parameter_siblings' AS code, first, group_id FROM g JOIN k USING (lang, source)""")
+def sibling_members(spark, d):
+    return audit.sibling_members(examples(spark, d))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -242,14 +254,17 @@ def duplicate_lineitems(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query("""SELECT doc_id, 'forbidden_key' AS rule, 'meta.partition' AS path FROM documents WHERE doc_id % 17 = 0 UNION ALL SELECT doc_id, 'forbidden_prefix', 'dataset_id' FROM documents WHERE doc_id % 19 = 0
-  UNION ALL SELECT doc_id, 'forbidden_value', 'note' FROM documents WHERE doc_id % 23 = 0""")
+@query("""SELECT * FROM (SELECT doc_id, 'forbidden_key' AS rule, 'meta.partition' AS path FROM documents WHERE doc_id % 17 = 0 UNION ALL SELECT doc_id, 'forbidden_prefix', 'dataset_id' FROM documents WHERE doc_id % 19 = 0
+  UNION ALL SELECT doc_id, 'forbidden_value', 'note' FROM documents WHERE doc_id % 23 = 0 UNION ALL SELECT doc_id, 'forbidden_key', 'a.b.c.d.e.f.group_id' FROM documents WHERE doc_id % 13 = 0
+  UNION ALL SELECT doc_id, 'forbidden_key', 'list[1][0].split' FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, 'forbidden_value', 'list[0]' FROM documents WHERE doc_id % 11 = 0) WHERE doc_id % 29 <> 0 UNION ALL SELECT doc_id, 'unreadable', '' FROM documents WHERE doc_id % 29 = 0""")
 def feature_payload_audit(spark, d):
     id_ = F.col("doc_id")
+    part = lambda n, *text: F.when(id_ % n == 0, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in text))).otherwise("")
     payload = F.concat(
-        F.lit('{"n":'), "n_chars", F.when(id_ % 17 == 0, F.lit(',"meta":{"partition":1}')).otherwise(""), F.when(id_ % 19 == 0, F.lit(',"dataset_id":2')).otherwise(""),
-        F.when(id_ % 23 == 0, F.concat(F.lit(',"note":"run-'), id_, F.lit('"'))).otherwise(""), F.lit("}"),
+        F.lit('{"n":'), "n_chars", part(17, ',"meta":{"partition":1}'), part(19, ',"dataset_id":2'), part(23, ',"note":"run-', id_, '"'), part(13, ',"a":{"b":{"c":{"d":{"e":{"f":{"group_id":null}}}}}}'),
+        part(11, ',"list":["run-', id_, '",[{"split":{}}]]'), F.when(id_ % 29 == 0, ",").otherwise("}"),
     )
+    payload = F.when(id_ % 29 == 0, '{"n":1,').otherwise(payload)
     rows = table(spark, d, "documents").select("doc_id", payload.alias("payload"), F.array(F.concat(F.lit("run-"), id_)).alias("sensitive"))
     return audit.feature_payload_findings(rows, "doc_id", "payload", "sensitive")
 
@@ -258,7 +273,7 @@ def feature_payload_audit(spark, d):
 def heldout_id_firewall(spark, d):
     rows = examples(spark, d)
     held = rows.filter("partition <> 'train'").select(F.col("example_id").alias("token"))
-    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("see "), "example_id", F.lit("!"))).otherwise("nothing")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("see "), "example_id", F.when(F.col("doc_id") % 2 == 0, "fx_7!").otherwise("-"))).otherwise("nothing")
     return audit.firewall(rows.withColumn("payload", text), "example_id", "payload", held, "token")
 
 
@@ -415,9 +430,10 @@ _FIRST = "coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT {
 
 @query(f"""WITH {_BAD}, rep AS (SELECT example_id FROM bad GROUP BY 1 HAVING count(*) > 1), leak AS (SELECT group_id FROM bad GROUP BY 1 HAVING count(DISTINCT partition) > 1), mal AS (SELECT example_id FROM bad WHERE (kind = 'accepted_fault') = (partition = 'abstention'))
   SELECT rule, detail = '' AS passed, detail FROM (SELECT 'unique_example_ids' AS rule, {_FIRST.format('example_id', 'rep')} AS detail UNION ALL SELECT 'no_split_leakage', {_FIRST.format('group_id', 'leak')}
-  UNION ALL SELECT 'no_malformed_examples', {_FIRST.format('example_id', 'mal')} UNION ALL SELECT 'no_missing_evidence', '' UNION ALL SELECT 'uniform_policy', '')""")
+  UNION ALL SELECT 'no_malformed_examples', {_FIRST.format('example_id', 'mal')} UNION ALL SELECT 'no_missing_evidence', '' UNION ALL SELECT 'uniform_policy', '' UNION ALL SELECT 'uniform_label_policy', 'lab-1')""")
 def quality_checks(spark, d):
-    return coverage.quality_checks(_planted(spark, d))
+    rows = _planted(spark, d)
+    return coverage.quality_checks(rows.withColumn("label_policy_id", F.when(F.col("doc_id") % 10 == 7, "lab-2").otherwise(F.col("label_policy_id"))))
 
 
 _TARGETS = [("accepted", 100, True), ("test", 40, True), ("test_groups", 30, False), ("families", 4, True), ("topologies", 5, False)]
@@ -521,18 +537,27 @@ def plan_counts(spark, d):
 _PHASED = "ev AS (SELECT user_id, event_type, value, CASE WHEN day(ts) <= 10 THEN 'baseline' WHEN day(ts) <= 20 THEN 'onset' ELSE 'recovery' END AS phase, props FROM events)"
 _CHECKS = [
     ("views_positive", "view", "greater_than", ["0"]), ("errors_small", "error", "less_than", ["50"]), ("purchase_any", "purchase", "any", []), ("signup_none", "signup", "equals", []),
-    ("absent", "nothing", "equals", ["1"]), ("odd_limit", "click", "less_than", ["many"]), ("not_minus", "click", "not_equals", ["-1"]),
+    ("absent", "nothing", "equals", ["1"]), ("odd_limit", "click", "less_than", ["many"]), ("not_minus", "click", "not_equals", ["-1"]), ("click_is_one", "click", "equals", ["1"]), ("click_is_none", "click", "equals", ["-5"]),
+    ("view_in", "view", "in_set", [str(k) for k in range(1000)]), ("view_in_few", "view", "in_set", ["1", "2"]), ("error_out", "error", "not_in_set", ["-1", "-2"]), ("error_out_of", "error", "not_in_set", ["3", "4", "5"]), ("only_foreign", "foreign", "any", []),
 ]
-
-
-@query(f"""WITH {_PHASED}, s AS (SELECT event_type, count(*) AS n, min(floor(value)) AS lo, max(floor(value)) AS hi, sum(CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END) AS untrusted, min(CASE WHEN user_id % 5 <> 0 THEN floor(value) END) AS tlo, max(CASE WHEN user_id % 5 <> 0 THEN floor(value) END) AS thi FROM ev GROUP BY 1)
-  SELECT c.check_id, CASE WHEN n IS NULL THEN 'insufficient' WHEN c.check_id IN ('signup_none', 'odd_limit') THEN 'unknown' WHEN c.check_id = 'purchase_any' THEN 'pass' WHEN c.check_id = 'views_positive' THEN CASE WHEN tlo > 0 THEN 'pass' ELSE 'fail' END
-    WHEN c.check_id = 'errors_small' THEN CASE WHEN thi < 50 THEN 'pass' ELSE 'fail' END ELSE 'pass' END AS verdict, coalesce(n - untrusted, 0)::BIGINT AS observed, coalesce(untrusted, 0)::BIGINT AS ignored
-  FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b, *_ in _CHECKS)}) c(check_id, metric) LEFT JOIN s ON s.event_type = c.metric""")
+_CHECK_VALUES = ", ".join(f"('{a}', '{b}', '{c}', [{', '.join(repr(x) for x in e)}]::VARCHAR[])" for a, b, c, e in _CHECKS)
+
+
+@query(f"""WITH v AS (SELECT event_type AS metric, floor(value)::BIGINT::VARCHAR AS value, user_id % 5 <> 0 AS trusted FROM events UNION ALL SELECT 'foreign', '1', false FROM events WHERE user_id = 1),
+  c AS (SELECT * FROM (VALUES {_CHECK_VALUES}) t(check_id, metric, predicate, expected)),
+  j AS (SELECT c.*, v.value, v.trusted, CASE predicate WHEN 'equals' THEN v.value = expected[1] WHEN 'not_equals' THEN v.value <> expected[1] WHEN 'in_set' THEN list_contains(expected, v.value) WHEN 'not_in_set' THEN NOT list_contains(expected, v.value)
+    WHEN 'greater_than' THEN try_cast(v.value AS DOUBLE) > try_cast(expected[1] AS DOUBLE) WHEN 'less_than' THEN try_cast(v.value AS DOUBLE) < try_cast(expected[1] AS DOUBLE) END AS holds,
+    predicate IN ('greater_than', 'less_than') AND (try_cast(v.value AS DOUBLE) IS NULL OR try_cast(expected[1] AS DOUBLE) IS NULL) AS broken FROM c LEFT JOIN v USING (metric)),
+  s AS (SELECT check_id, predicate, any_value(len(expected)) AS wanted, {count("trusted")} AS observed, {count("NOT trusted")} AS ignored, bool_and(holds) FILTER (WHERE trusted) AS every, bool_or(holds) FILTER (WHERE trusted) AS one_holds, coalesce(bool_or(broken) FILTER (WHERE trusted), false) AS broken FROM j GROUP BY check_id, predicate),
+  w AS (SELECT *, CASE WHEN observed = 0 THEN 'insufficient' WHEN predicate = 'any' THEN 'pass' WHEN wanted = 0 OR broken THEN 'unknown' WHEN every THEN 'pass' ELSE 'fail' END AS verdict FROM s)
+  SELECT check_id, verdict, CASE WHEN verdict = 'insufficient' AND ignored > 0 THEN 'only_untrusted_observed' WHEN verdict = 'insufficient' THEN 'nothing_observed' WHEN verdict = 'unknown' AND wanted = 0 THEN 'nothing_expected' WHEN verdict = 'unknown' THEN 'not_a_number'
+    WHEN verdict = 'fail' AND predicate = 'equals' AND one_holds THEN 'contradictory' END AS detail, observed, ignored FROM w""")
 def claim_verdicts(spark, d):
     checks = spark.createDataFrame([(a, b, c, e, True) for a, b, c, e in _CHECKS], "check_id string, metric string, predicate string, expected array<string>, trusted_only boolean")
-    seen = table(spark, d, "events").select(F.col("event_type").alias("metric"), F.floor("value").cast("string").alias("value"), (F.col("user_id") % 5 != 0).alias("trusted"))
-    return evidence.verify_claims(checks, seen)
+    events = table(spark, d, "events")
+    seen = events.select(F.col("event_type").alias("metric"), F.floor("value").cast("string").alias("value"), (F.col("user_id") % 5 != 0).alias("trusted"))
+    foreign = events.filter("user_id = 1").select(F.lit("foreign").alias("metric"), F.lit("1").alias("value"), F.lit(False).alias("trusted"))
+    return evidence.verify_claims(checks, seen.unionByName(foreign))
 
 
 @query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'idle' WHEN 'click' THEN 'active' WHEN 'view' THEN 'established' ELSE 'other' END AS s, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 6 ELSE 5 END AS r FROM events)
@@ -586,7 +611,7 @@ def ledger_final_phase(spark, d):
 @query("""WITH l AS (SELECT conv_id, turn AS seq, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE (conv_id + turn) % 7 <> 0)
   SELECT conv_id, seq, before, 'gap' AS fault FROM l WHERE seq > before + 1""")
 def seq_gaps(spark, d):
-    return eventlog.sequence_faults(table(spark, d, "conversations").filter("(conv_id + turn) % 7 <> 0"), "conv_id", "turn")
+    return eventlog.sequence_gaps(table(spark, d, "conversations").filter("(conv_id + turn) % 7 <> 0"), "conv_id", "turn")
 
 
 @query("""WITH o AS (SELECT user_id, event_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
@@ -656,10 +681,19 @@ def attempt_numbers(spark, d):
 # --- digests and rendering
 
 
-@query(f"""WITH {EX} SELECT partition, count(*) AS n, sha256(string_agg('{{"example_id":"' || example_id || '","group_id":"' || group_id || '"}}', chr(10) ORDER BY example_id) || chr(10)) AS digest FROM ex GROUP BY 1""")
+_LEAVES = """SELECT {keys} sha256('{{"example_id":"' || example_id || '","group_id":"' || group_id || '"}}') AS leaf FROM ex"""
+
+
+@query(f"""WITH {EX}, l AS (SELECT partition, leaf, count(*) AS n FROM ({_LEAVES.format(keys="partition,")}) GROUP BY ALL), k AS (SELECT partition, left(leaf, 3) AS node, sum(n)::BIGINT AS n, sha256(string_agg(leaf || ':' || n, ',' ORDER BY leaf)) AS digest FROM l GROUP BY 1, 2)
+  SELECT partition, sum(n)::BIGINT AS "rows", sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM k GROUP BY 1""")
 def partition_digest(spark, d):
-    line = canonical.canonical_json(canonical.record(example_id=F.col("example_id"), group_id=F.col("group_id")))
-    return store.ordered_digest(examples(spark, d), "example_id", line, "partition")
+    return store.table_digest(examples(spark, d).select("partition", "example_id", "group_id"), "partition")
+
+
+@query("""SELECT n_regionkey, count(*) AS n, sha256(string_agg('{"key":' || n_nationkey || ',"name":"' || n_name || '"}', chr(10) ORDER BY n_nationkey) || chr(10)) AS digest FROM nation GROUP BY 1""")
+def export_digest(spark, d):
+    line = canonical.canonical_json(canonical.record(key=F.col("n_nationkey"), name=F.col("n_name")))
+    return store.ordered_digest(table(spark, d, "nation"), "n_nationkey", line, "n_regionkey")
 
 
 @query(f"""WITH {EX}, l AS (SELECT leaf, count(*) AS n FROM (SELECT sha256('{{"example_id":"' || example_id || '","group_id":"' || group_id || '"}}') AS leaf FROM ex) GROUP BY 1),

@@ -26,20 +26,32 @@ def leaf(rows: DataFrame) -> Column:
     return sha256_text(canonical_json(record(**{c: F.col(c) for c in rows.columns})))
 
 
-def table_digest(rows: DataFrame) -> DataFrame:
-    """One row ``rows, digest``.  Leaves are spread over 4096 nodes by their first digits and sorted within one."""
-    leaves = rows.select(leaf(rows).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
-    nodes = leaves.groupBy(F.substr("leaf", F.lit(1), F.lit(3)).alias("node")).agg(
+def table_digest(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """One row ``rows, digest`` (for each value of ``by``).  Leaves are spread over 4096 nodes by their first digits and sorted
+    within one."""
+    keys = [by] if by else []
+    leaves = rows.select(*keys, leaf(rows.drop(*keys)).alias("leaf")).groupBy(*keys, "leaf").agg(F.count(F.lit(1)).alias("n"))
+    nodes = leaves.groupBy(*keys, F.substr("leaf", F.lit(1), F.lit(3)).alias("node")).agg(
         F.sum("n").alias("n"), sha256_text(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "leaf", "n"))), ",")).alias("digest")
     )
-    return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), sha256_text(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "node", "digest"))), ",")).alias("digest"))
+    return nodes.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), sha256_text(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "node", "digest"))), ",")).alias("digest"))
+
+
+#: Lines that an exact-bytes digest takes: a bound of the export's contract, beyond which it is refused.
+EXPORT_LINES = 1_000_000
 
 
 def ordered_digest(rows: DataFrame, key: str, line: Column, by: str | None = None) -> DataFrame:
-    """Digest of a small export's exact bytes: its lines in order of key, each with a line feed."""
+    """Digest of a small export's exact bytes: its lines in order of key, each with a line feed.
+
+    Bytes in order are sequential by nature, so an export of more than ``EXPORT_LINES`` lines is refused; ``table_digest`` has no bound.
+    """
+    keys = [by] if by else []
+    if rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > EXPORT_LINES).limit(1).collect():
+        raise ArtifactError(f"more than {EXPORT_LINES} lines: use table_digest")
     one = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("line"))))
     text = F.concat(F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n"))
-    return rows.groupBy(*([by] if by else [])).agg(one.alias("all")).select(*([by] if by else []), F.size("all").alias("n"), sha256_text(text).alias("digest"))
+    return rows.groupBy(*keys).agg(one.alias("all")).select(*keys, F.size("all").alias("n"), sha256_text(text).alias("digest"))
 
 
 class ArtifactStore:
@@ -97,6 +109,12 @@ class ArtifactStore:
         )
         return rows.select(F.explode(rules).alias("r"), F.col("table").alias("detail")).select("r.rule", "r.passed", "detail")
 
+    def listing(self, artifacts: DataFrame, order: list[str]) -> DataFrame:
+        """The rows of ``artifacts(artifact, …)`` that verify, in order; others are passed over in silence."""
+        names = [r["artifact"] for r in artifacts.select("artifact").distinct().collect()]  # one row per artifact of a registry
+        good = [n for n in names if not self.verify(n).filter("not passed").limit(1).collect()]
+        return artifacts.filter(F.col("artifact").isin(good)).orderBy(*order)
+
     def read(self, artifact: str) -> dict[str, DataFrame]:
         """The tables of an artifact that verifies; otherwise an error."""
         bad = self.verify(artifact).filter("not passed").collect()
