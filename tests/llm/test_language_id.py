@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -80,3 +82,83 @@ def test_long_text_in_steps(monkeypatch):
     starts = [s + at for at, s, *_ in L.word_features(text)]
     ends = [e + at for at, _, e, *_ in L.word_features(text)]
     assert [text[a:b] for a, b in zip(np.concatenate(starts), np.concatenate(ends), strict=True)] == text.split()
+
+
+def brute_words(text):
+    """(start, end, script, buckets) of the words, letter by letter."""
+    low = [c.lower() if len(c.lower()) == 1 else c for c in text]
+    out, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        if end > at:
+            buckets = []
+            for i in range(at, end):
+                a, b, c = (ord(low[k]) if at <= k < end else 0 for k in (i - 1, i, i + 1))
+                h = a * 0x9E3779B1 % (1 << 32) ^ b * 0x85EBCA77 % (1 << 32) ^ c * 0xC2B2AE3D % (1 << 32)
+                buckets.append((h ^ h >> 15) * 0x2C1B3C6D % (1 << 32) >> 16)
+            script = [name for first, name in L.SCRIPT_STARTS if first <= ord(low[at])][-1]
+            out.append((at, end, script, buckets))
+        at = max(end, at + 1)
+    return out
+
+
+def brute_query(rows):
+    """Fit, word scores, script narrowing, Viterbi and spans by plain loops."""
+    counts, scripts = {}, {}
+    for i, text, lang, *_ in rows:
+        if lang is not None and text is not None and i is not None and zlib.crc32(str(i).encode()) % 5:
+            table, seen = counts.setdefault(lang, {}), scripts.setdefault(lang, {})
+            for a, b, script, buckets in brute_words(text):
+                seen[script] = seen.get(script, 0) + b - a
+                for k in buckets:
+                    table[k] = table.get(k, 0) + 1
+    names = sorted(counts)
+    logs = {n: lambda k, n=n, total=sum(counts[n].values()) + L.SMOOTHING * L.BUCKETS: math.log((counts[n].get(k, 0) + L.SMOOTHING) / total) for n in names}
+    out = {}
+    for i, text, *_ in rows:
+        words = brute_words(text or "")
+        if not words or not names:
+            out[i] = ("und", 0.0, [])
+            continue
+        best = None
+        for a, b, script, buckets in words:
+            may = {n for n in names if scripts[n].get(script, 0) >= L.SCRIPT_SHARE * sum(scripts[n].values())}
+            score = {n: sum(map(logs[n], buckets)) + (L.EXCLUDED if n not in may else 0) if may else 0.0 for n in names}
+            if best is None:
+                best = {n: (score[n], [n]) for n in names}
+            else:
+                best = {n: max(((v - (L.PENALTY if p[-1] != n else 0) + score[n], [*p, n]) for v, p in best.values()), key=lambda x: (round(x[0], 6), x[1][-2] == n)) for n in names}
+        path = max(best.values(), key=lambda x: x[0])[1]
+        weight, spans = {n: 0 for n in names}, []
+        for (a, b, *_), n in zip(words, path, strict=True):
+            weight[n] += b - a
+            if spans and spans[-1][2] == n:
+                spans[-1] = (spans[-1][0], b, n)
+            else:
+                spans.append((a, b, n))
+        top = max(names, key=lambda n: weight[n])
+        out[i] = (top, weight[top] / sum(weight.values()), spans)
+    return out
+
+
+def test_whole_query_against_brute_force(spark):
+    r = random.Random(9)
+    vocabulary = {n: ["".join(r.choice(chars) for _ in range(r.randrange(1, 8))) for _ in range(25)] for n, chars in {"xx": "abcdeİ", "yy": "cdefgß", "ru": "абвг", "sr": "абвгabc"}.items()}
+    rows = []
+    for i in range(140):
+        lang, words = r.choice(list(vocabulary)), []
+        for n in [lang] if r.random() < 0.6 else r.choices(list(vocabulary), k=3):
+            words += r.choices(vocabulary[n], k=r.randrange(1, 12))
+        text = "".join(w + r.choice([" ", ", ", "\n", "-1 "]) for w in words)
+        rows.append((i, r.choice([text, text.upper()]), lang if r.random() < 0.9 else None, "s"))
+    rows += [(200, None, "xx", "s"), (201, "", None, "s"), (202, "12 3", "yy", "s"), (203, "αβγ δε", None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score string").repartition(3)
+    got = {x["doc_id"]: x for x in L.language_report(docs).collect()}
+    want = brute_query(rows)
+    assert len({x[0] for x in want.values()}) == 5 and sum(len(x[2]) > 1 for x in want.values()) > 20
+    for i, (lang, score, spans) in want.items():
+        assert (got[i]["lang_pred"], [tuple(s) for s in got[i]["spans"]]) == (lang, spans), (i, rows[i] if i < 140 else i)
+        assert abs(got[i]["score"] - score) < 1e-9
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)

@@ -11,7 +11,9 @@ The model is fitted on about ``TRAIN_DOCS`` labelled documents of each language
 their ids; ``crc32(doc_id) mod 5 = 0`` is held out.  Its size is bounded by languages times ``BUCKETS``.
 
 Defined results: ``und`` with score 0 for null text, text without letters, and where no language was learned; among languages with
-equally many letters the first by code point; rows that repeat are predicted alike; an empty table gives no rows.
+equally many letters the first by code point; rows that repeat are predicted alike, and a null doc_id is held out; very long texts
+are read whole, ``STEP`` characters at a time; other columns, whatever their names, are not looked at by the query and kept as they
+are by the stage; an empty table gives no rows, and the stage no documents.
 """
 
 from __future__ import annotations
@@ -228,7 +230,8 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = True) -> DataFram
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    return identify(docs, fit(docs), with_spans=False)
+    """``doc_id, held_out, lang_pred, score, spans`` of every document, by a model of those that are not held out."""
+    return identify(docs, fit(docs))
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
