@@ -486,3 +486,23 @@ def merged_gates(spark, d):
 @query(f"""WITH {REC}, c AS (SELECT predictor, count(*) AS n, count(*) FILTER (WHERE correct) AS r FROM rec GROUP BY 1) SELECT predictor, r AS "right", {ratio_sql("r", "n")} AS overall_accuracy FROM c""")
 def overall_metrics(spark, d):
     return evaluate.overall(records(spark, d)).select("predictor", "right", "overall_accuracy")
+
+
+_COMMAND = "CASE WHEN doc_id % 2 = 0 THEN 'show ' ELSE '' END || left(text, 80) || CASE WHEN doc_id % 6 = 0 THEN ' no' WHEN doc_id % 10 = 0 THEN '; x' ELSE '' END"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_COMMAND} AS cmd FROM documents), w AS (SELECT *, list_filter(regexp_split_to_array(lower(cmd), '[^a-z0-9_]+'), lambda x: x <> '') AS words FROM c)
+  SELECT doc_id, CASE WHEN regexp_matches(cmd, '[|;&$><`]') THEN 'metacharacter' WHEN coalesce(words[1] <> 'show', true) THEN 'not_a_show_command' WHEN list_has_any(words, [{", ".join(map(repr, policy.FORBIDDEN_WORDS))}]) THEN 'forbidden_word' END AS violation FROM w""")
+def command_texts(spark, d):
+    """Every document's beginning as a command of the shell."""
+    argv = F.array(F.lit("vtysh"), F.lit("-c"), F.expr(_COMMAND))
+    return table(spark, d, "documents").select("doc_id", policy.read_command_violation(argv, ("vtysh", "ping")).alias("violation"))
+
+
+@query(f"""WITH {REC}, c AS (SELECT count(*) AS total, count(DISTINCT group_id) AS groups FROM ex), r AS (SELECT count(*) AS total, count(DISTINCT group_id) + 1 AS groups FROM rec WHERE predictor = 'fixed_prior')
+  SELECT 'report.total=corpus.total' AS rule, r.total = c.total AS passed FROM c, r UNION ALL SELECT 'report.groups=corpus.groups', r.groups = c.groups FROM c, r UNION ALL SELECT 'report.missing=corpus.total', false""")
+def corpus_bindings(spark, d):
+    """What a report says of its corpus, against the corpus."""
+    corpus = examples(spark, d).agg(F.count(F.lit(1)).alias("total"), F.countDistinct("group_id").alias("groups"))
+    report = records(spark, d).filter("predictor = 'fixed_prior'").agg(F.count(F.lit(1)).alias("total"), (F.countDistinct("group_id") + 1).alias("groups"))
+    return policy.binding_findings({"corpus": corpus, "report": report}, [("report", "total", "corpus", "total"), ("report", "groups", "corpus", "groups"), ("report", "missing", "corpus", "total")])
