@@ -506,3 +506,24 @@ def corpus_bindings(spark, d):
     corpus = examples(spark, d).agg(F.count(F.lit(1)).alias("total"), F.countDistinct("group_id").alias("groups"))
     report = records(spark, d).filter("predictor = 'fixed_prior'").agg(F.count(F.lit(1)).alias("total"), (F.countDistinct("group_id") + 1).alias("groups"))
     return policy.binding_findings({"corpus": corpus, "report": report}, [("report", "total", "corpus", "total"), ("report", "groups", "corpus", "groups"), ("report", "missing", "corpus", "total")])
+
+
+# --- streams, as batch over the same operators
+
+
+@query("""WITH p AS (SELECT user_id AS command_id, ts AS asked FROM events WHERE event_type = 'view'), c AS (SELECT user_id, ts AS done FROM events WHERE event_type = 'click')
+  SELECT command_id, asked::TIMESTAMP AS asked, done::TIMESTAMP AS done FROM p LEFT JOIN c ON command_id = user_id AND done >= asked AND done <= asked + INTERVAL 1 HOUR""")
+def completed_pairs(spark, d):
+    from ..streaming.logs import completed_pairs as pairs
+
+    rows = table(spark, d, "events").select("event_type", F.col("user_id").alias("command_id"), F.col("ts").cast("timestamp").alias("ts"))
+    found = pairs(rows.filter("event_type = 'view'"), rows.filter("event_type = 'click'"))
+    return found.select("command_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("asked", "done")))
+
+
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value::DECIMAL(20,4))::DOUBLE AS total FROM events GROUP BY 1, 2")
+def event_window_totals(spark, d):
+    from ..streaming.logs import event_windows as windows
+
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"))
