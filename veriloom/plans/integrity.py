@@ -527,3 +527,10 @@ def event_window_totals(spark, d):
 
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return windows(rows).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+@query(f"""WITH {REC}, c AS (SELECT fault_family, count(*) AS n, count(*) FILTER (WHERE correct) AS r FROM rec WHERE predictor = 'length_rule' GROUP BY 1) SELECT fault_family, n, r AS "right", {ratio_sql("r", "n")} AS accuracy FROM c""")
+def accuracy_by_family(spark, d):
+    from ..operators import compare
+
+    return compare.accuracy_by(records(spark, d).filter("predictor = 'length_rule'"), "fault_family")

@@ -1,4 +1,8 @@
-"""Append-only logs as streams: legality of phases, confirmations in a row, windows with late data, unmatched pairs."""
+"""Append-only logs as streams: legality of phases, confirmations in a row, windows with late data, unmatched pairs.
+
+State is one phase, or one streak, for each stream.  The new rows of one stream in one micro-batch are sorted in memory, since the
+shuffle doesn't keep their order: the source's rate limit (``maxFilesPerTrigger`` and the like) is the bound.
+"""
 
 from __future__ import annotations
 
