@@ -178,15 +178,18 @@ def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     The reference is the block's first occurrence where an earlier document has the whole block, else the window's.
     """
     anchors = written(index_blocks(docs, window, gram), "anchors")
-    # distinct blocks with their first occurrence; only anchors of two documents or more matter
-    blocks = anchors.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("doc", "first")).alias("ref"), F.max("doc").alias("most"))
-    shared = blocks.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks"), F.min("ref.doc").alias("low"), F.max("most").alias("high"))
-    shared = shared.filter("low < high").select(F.col("anchor").alias("__anchor"), "blocks")
-    blocks = written(blocks.join(shared, F.col("anchor") == F.col("__anchor")).drop("__anchor", "most"), "blocks")
-    met = written(anchors.join(blocks, ["anchor", "h1", "h2"]).select(*ROW, "first", "n", "at", "ref", "blocks"), "met")
+    # anchors of two documents or more, and whether they stand in different blocks: a table of its own, so that the join below is
+    # between two plain shuffles, which adaptive execution splits where one anchor has very many blocks
+    span = [f(c).alias(f"{f.__name__}_{c}") for c in ("doc", "h1", "h2") for f in (F.min, F.max)]
+    shared = anchors.groupBy("anchor").agg(*span).filter("min_doc < max_doc")
+    shared = written(shared.select(F.col("anchor").alias("__anchor"), F.expr("min_h1 < max_h1 or min_h2 < max_h2").alias("many")), "shared-anchors")
+    # distinct blocks with their first occurrence
+    blocks = anchors.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("doc", "first")).alias("ref"))
+    blocks = written(blocks.join(shared, F.col("anchor") == F.col("__anchor")).drop("__anchor"), "blocks")
+    met = written(anchors.join(blocks, ["anchor", "h1", "h2"]).select(*ROW, "first", "n", "at", "ref", "many"), "met")
     whole = met.filter("ref.doc < doc").select(*ROW, F.struct(F.col("first").alias("start"), "n", F.col("ref.doc").alias("ref"), F.col("ref.first").alias("ref_start")).alias("m"))
     # factor boundaries: the first document of a block looks its windows up among those of the anchor's other blocks
-    edge = met.filter("ref.doc = doc and blocks > 1").groupBy(*ROW).agg(F.collect_set("at").alias("ats"))
+    edge = met.filter("ref.doc = doc and many").groupBy(*ROW).agg(F.collect_set("at").alias("ats"))
     windows = written(_windows(docs.join(edge, ROW), window, gram), "windows")
     least = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "start")).alias("ref"), F.max("doc").alias("most")).filter("ref.doc < most").drop("most")
     found = windows.join(least, ["h1", "h2"]).filter("ref.doc < doc")
