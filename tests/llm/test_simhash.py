@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -155,7 +156,9 @@ def five(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def test_stage_links_all_of_four_fifths(spark):
+@pytest.mark.parametrize("share", [simhash.HOT_SHARE, 1 << 40])
+def test_stage_links_all_of_four_fifths(spark, monkeypatch, share):
+    monkeypatch.setattr(simhash, "HOT_SHARE", share)  # a few shingles are hot, or all that two texts have
     r = random.Random(11)
     texts = ["", "one two", "ONE  two", "one two three"]
     for size in (5, 6, 9, 30, 120, 700):
@@ -189,6 +192,77 @@ def test_stage_links_all_of_four_fifths(spark):
     assert {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()} == {root(i) for i in range(len(texts))}
 
 
+def test_rows_of_shared_shingles_in_any_batches():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    size_of = [r.choice([5, 6, 9, 40, 41, 50]) for _ in range(30)]
+    rows = sorted(((r.randrange(60), size_of[k], r.randrange(3), k) for k in range(30) for _ in range(10)), key=lambda x: (x[0], x[1], x[3]))
+    rows += [(100, 7, 0, k) for k in range(50)] + [(101, 7, 0, 3), (102, 7, 0, 3), (102, 7, 0, 3), (103, 7, 0, 3)]
+    rows = [(*x, int(x[0] == 101)) for x in rows]
+    for size in (1, 2, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size])], names=["h", "n", "place", "node", "hot"]) for k in range(0, len(rows), size)]  # noqa: B905
+        got = [tuple(x.values()) for b in simhash.shared_rows(iter(batches)) for x in b.to_pylist()]
+        want, last = [], None
+        for h, n, place, node, hot in rows:
+            if last and (last[0], last[3]) == (h, node):
+                continue
+            mine = [x for x in rows if x[0] == h]
+            if hot or len({x[3] for x in mine}) > 1:
+                alike = [x[3] for x in mine if math.floor(math.log(x[1]) / math.log(1.25)) == math.floor(math.log(n) / math.log(1.25))]
+                want.append((h, n, place, node, hot, last[3] if last and last[0] == h else node, alike[0]))
+            last = (h, n, place, node)
+        assert got == want
+
+
+def test_sketches_never_say_more_than_the_sets():
+    r = random.Random(8)
+    sets = [np.unique(np.array([r.getrandbits(64) for _ in range(n)], np.uint64)) for n in (1, 40, 511, 512, 513, 900, 3000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 10 :], np.array([r.getrandbits(64)], np.uint64)])) for s in sets]
+
+    def sketch(some):
+        size = max(simhash.SKETCH, 1 << (len(some) - 1).bit_length())
+        bits = np.bincount((some >> np.uint64(32)).astype(np.int64) & (size - 1), minlength=size) & 1
+        return np.packbits(bits.astype(np.uint8)).tobytes()
+
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    apart = simhash.sketches_apart([sketch(sets[i]) for i, _ in pairs], [sketch(sets[j]) for _, j in pairs])
+    for (i, j), n in zip(pairs, apart.tolist(), strict=True):
+        assert n <= len(np.setxor1d(sets[i], sets[j])) and (i != j or n == 0)
+    far = [n for (i, j), n in zip(pairs, apart.tolist(), strict=True) if {i, j} == {4, 5}]
+    assert min(far) > 200
+    assert len(simhash.sketches_apart([], [])) == 0
+
+
+def test_a_cluster_costs_its_size(spark):
+    """Near copies of one text: all become one class, and no join makes pairs of them all."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        words[r.randrange(300)] = f"v{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    common, hot, salts = simhash.common_shingles(docs)
+    assert len(hot) > 100 and salts == 16
+    marks = simhash.written(simhash.prefixes(docs, common), "marks")
+    sizes = []
+    original = simhash.confirmed
+
+    def counting(pairs, nodes, docs):
+        sizes.append(pairs.count())
+        return original(pairs, nodes, docs)
+
+    simhash.confirmed = counting
+    try:
+        found = {x["node"]: x["class"] for x in simhash.near_classes(docs, marks, hot, salts).collect()}
+    finally:
+        simhash.confirmed = original
+    assert len(set(found.values())) == 1 and len(found) >= 399
+    assert sum(sizes) < 20 * 400
+
+
 def test_stage_keeps_texts_without_id(spark):
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(None, "a b c d e f"), (None, "q w e r t y"), (None, long), (7, long + " more"), (5, "A one"), (5, "C one"), (3, "c ONE")]

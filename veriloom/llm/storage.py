@@ -63,7 +63,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 #: Bytes that Spark hands to a Python worker at once.  By default only rows are counted, and a batch of long texts has no bound.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
