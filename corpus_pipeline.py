@@ -2,6 +2,10 @@
 
 Each stage takes the documents that its predecessor kept.  All but the last return the columns of ``documents``; the last returns
 where each piece of each document goes.  A stage's result is written to the shared folder and read again by the next one.
+
+Every stage tells rows apart by id and text, so rows without an id, or with one id and several texts, are documents of their own;
+null and empty texts have no letter and leave at the first stage; very long texts are handled whole; columns of any name are kept; an
+empty table goes through as an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked near-copies the smallest doc_id stays."""
+    """Of documents that share four fifths of their five-word shingles, directly or through others, the smallest doc_id stays; of
+    several rows with that id and text all stay."""
     return simhash.keep_one_of_each(docs)
 
 
