@@ -274,9 +274,9 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     total = docs.count()
     parts = max(1, total // SAMPLE)
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text").mapInArrow(run, "h bigint")
-    often = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    hot = [r["h"] for r in often if r["n"] * parts * HOT_SHARE > total]
-    return np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64)), np.array(hot, np.int64), max(16, total // HOT_ROWS)
+    often = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    known, count = (often.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    return np.sort(known.view(np.uint64)), known[count * parts * HOT_SHARE > total], max(16, total // HOT_ROWS)
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
