@@ -119,6 +119,8 @@ def reachable(room: int, sizes: list[int], left: np.ndarray) -> list[int]:
             mask |= mask << min(step, n) * s & every
             n, step = n - step, 2 * step
         masks.append(mask)
+        if mask == every:  # more sizes add nothing
+            return masks + [every] * (len(sizes) + 1 - len(masks))
     return masks
 
 
@@ -267,14 +269,14 @@ class Slots:
         return sequence, offset
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """``doc_id, piece, start, length, ids, part, nth``: ids as little-endian unsigned 32-bit bytes; ``nth`` counts the pieces of
-    one length within the task ``part``."""
+def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """``doc_id, piece, start, length, ids, part, nth, doc_tokens``: ids as little-endian unsigned 32-bit bytes; ``nth`` counts the
+    pieces of one length within the task ``part``."""
     bound_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode, end = TaskContext.get().partitionId(), encoder(tokenizer).encode, END_ID.to_bytes(4, "little")
+        part, encode, end = TaskContext.get().partitionId(), encoder(tokenizer).encode, end_id.to_bytes(4, "little")
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
@@ -285,7 +287,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
                 at = 0
                 for piece in range(-(-n // capacity)):
                     length = n % capacity or capacity if piece == 0 else capacity
-                    rows.append((key, piece, at, length, ids[4 * at : 4 * (at + length)], part, int(seen[length])))
+                    rows.append((key, piece, at, length, ids[4 * at : 4 * (at + length)], part, int(seen[length]), n))
                     seen[length] += 1
                     at += length
                 held += len(ids)
@@ -296,11 +298,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
                 yield _pieces(rows)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, nth bigint")
+    return rows.mapInArrow(cut, "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, nth bigint, doc_tokens bigint")
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64())]
+    kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("nth", pa.int64()), ("doc_tokens", pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[k for k, _ in kinds])
 
 
@@ -312,7 +314,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 def pack_by_plan(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, nodes: int = NODES, with_ids: bool = True) -> tuple[DataFrame, Plan]:
     """What ``pack`` gives, and the plan with its sequences, bound and nodes."""
     spark = docs.sparkSession
-    pieces = written(cut_pieces(docs, tokenizer, capacity), "pieces")
+    pieces = written(cut_pieces(docs, tokenizer, capacity).drop("doc_tokens"), "pieces")
     # counts by task and length: at most ``capacity`` for each task, whatever the tasks read
     held = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, media, mixing, packing, secrets, simhash, substring_dedup, token_store, url_filter
+from . import exact_dedup, fill_in_middle, language_id, media, mixing, packing, phrases, secrets, simhash, slack_packing, substring_dedup, token_store, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_report(documents(spark, sf_dir))
+
+
+def op13_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.packing_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -64,9 +76,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_media_chunks": op9_media_chunks,
     "op10_mixing": op10_mixing,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_slack_packing": op13_slack_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op6_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_phrase_collocations": phrases.ORACLE_SQL,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }

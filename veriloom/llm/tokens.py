@@ -7,6 +7,7 @@ joined, are the ids of the text.  Texts with white space on both sides of a spac
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -32,8 +33,6 @@ class TextEncoder:
     """Texts to ids as little-endian unsigned 32-bit bytes, without the end id."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -109,13 +108,54 @@ class TextEncoder:
         return self._piece(head) + b"".join([known(w) or learn(w) for w in rest])
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+class WordEncoder:
+    """Texts to ids, as ``TextEncoder``, for a tokenizer that drops white space: what stands between white space is encoded by
+    itself, so words met before are looked up and the others of a text go to the library in one call."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.fresh: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
+    def _learn(self, words: list[str]) -> None:
+        for low in range(0, len(words), 10_000):
+            some = words[low : low + 10_000]
+            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.fresh[word] = np.array(found.ids, dtype="<u4").tobytes()
 
-def encoder(path: str) -> TextEncoder:
+    def encode(self, text: str | None) -> bytes:
+        words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
+        return b"".join([self._some(words[low : low + CACHE_PIECES // 2]) for low in range(0, len(words), CACHE_PIECES // 2)])
+
+    def _some(self, words: list[str]) -> bytes:
+        """Ids of fewer words than the encoder keeps."""
+        if len(self.fresh) >= CACHE_PIECES // 2:
+            self.fresh, self.aged = {}, self.fresh
+        fresh, aged, new = self.fresh, self.aged, []
+        for word in set(words).difference(fresh):
+            if word in aged:
+                fresh[word] = aged[word]
+            else:
+                new.append(word)
+        if new:
+            self._learn(new)
+        return b"".join([fresh[word] for word in words])
+
+
+_ENCODERS: dict[str, TextEncoder | WordEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder | WordEncoder:
     """One encoder per Python worker and vocabulary."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
+        from tokenizers import Tokenizer
+
+        ids = Tokenizer.from_file(path).encode("a \n\t a", add_special_tokens=False).ids
+        _ENCODERS[path] = WordEncoder(path) if len(ids) == 2 and ids[0] == ids[1] else TextEncoder(path)
     return _ENCODERS[path]
 
 
