@@ -74,3 +74,12 @@ def test_ids_null_or_repeated_keep_each_text(spark):
 def test_stage_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(5, "a", "i", "d", "c"), (3, "a", "j", "e", "c")], "doc_id bigint, text string, id string, digest string, _copy string")
     assert [tuple(r) for r in E.keep_first_copies(docs).collect()] == [(3, "a", "j", "e", "c")]
+
+
+@pytest.mark.parametrize("kind,ids", [("int", (2**31 - 2, 2**31 - 1)), ("int", (-(2**31), -(2**31) + 1)), ("bigint", (2**63 - 3, 2**63 - 2)), ("bigint", (-(2**63), -(2**63) + 1)), ("bigint", (-(2**63), 2**63 - 2))])
+def test_ids_at_the_ends_of_their_type(spark, kind, ids):
+    low, high = ids
+    docs = spark.createDataFrame([(low, "a"), (high, "a"), (high, "b"), (None, "c")], f"doc_id {kind}, text string")
+    got = sorted(((r["doc_id"], r["keep_id"], r["kept"]) for r in E.exact_dedup(docs).collect()), key=str)
+    assert got == sorted([(low, low, True), (high, low, False), (high, high, True), (None, None, True)], key=str)
+    assert sorted((tuple(r) for r in E.keep_first_copies(docs).collect()), key=str) == sorted([(low, "a"), (high, "b"), (None, "c")], key=str)

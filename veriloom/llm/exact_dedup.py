@@ -75,7 +75,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """
     index = index or DigestIndex(docs.sparkSession)
     digests = written(docs.select("doc_id", digest(F.col("text")).alias("digest")), "digests")
-    middle = digests.agg(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long").alias("middle")).first()["middle"]
+    middle = digests.agg(F.expr("cast(min(doc_id) as bigint) div 2 + cast(max(doc_id) as bigint) div 2").alias("middle")).first()["middle"]  # a sum of ids may pass 64 bits
     first = F.col("doc_id") <= F.lit(middle if middle is not None else 0)
     batches = [F.coalesce(first, F.lit(False)), ~F.coalesce(first, F.lit(False))]
     return dedup_with_index(digests, index, batches).select(
