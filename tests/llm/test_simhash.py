@@ -275,3 +275,9 @@ def test_stage_keeps_texts_without_id(spark):
 def test_stage_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(5, "a b", "i", "d"), (3, "A  b", "j", "e")], "doc_id bigint, text string, id string, body string")
     assert [tuple(r) for r in simhash.keep_one_of_each(docs).collect()] == [(3, "A  b", "j", "e")]
+
+
+def test_largest_id_is_an_id(spark):
+    docs = spark.createDataFrame([(2**63 - 1, "one two three four"), (None, "one two three four"), (None, "other words of another text")], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_report(docs).collect()), key=str)
+    assert got == sorted([(2**63 - 1, 2**63 - 1), (None, 2**63 - 1), (None, None)], key=str)

@@ -239,15 +239,14 @@ def near_duplicates(docs: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """``doc_id, fp, component_id`` of every document."""
     spark = docs.sparkSession
     prints = written(fingerprints(docs), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least")), "fingerprint-nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")  # null only where no row has an id
     # the fingerprint is the node, so fingerprints without an id stay apart
     found = components(spark, links(nodes.select("fp", F.col("fp").alias("node")), unit_rows))
     classes = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
     least = classes.groupBy("class").agg(F.min("least").alias("component_id"))
     classes = written(classes.join(least, "class").select("fp", "component_id"), "fingerprint-classes")
     # one row per fingerprint meets its documents; the hot side is split by adaptive skew handling
-    joined = prints.join(classes, "fp")
-    return joined.select("doc_id", "fp", F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
