@@ -9,8 +9,10 @@ one document prunes to these columns and then reads one row.
 Documents are range partitioned by doc_id, so part after part is the whole corpus in order, and each part is written as a
 stream: memory holds one chunk.  Only one number per part (its id count) is summed up across parts.
 
-Defined results: null and empty text give one id, the end id; rows that repeat a doc_id are stored one after the other; a null
-doc_id comes first; an empty table gives an empty folder.
+Defined results: null and empty text give one id, the end id; rows that repeat a doc_id are stored one after the other, by a hash of
+the text, so a rerun gives each the same place, and rows without a doc_id, which come first, are dealt over several parts; a very
+long text is one chunk, in one task's memory; other columns, whatever their names, are not looked at; an empty table gives an empty
+folder.
 """
 
 from __future__ import annotations
@@ -119,7 +121,8 @@ def write_tokens(
             yield row()
 
     count = partitions or shuffle_partitions(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("body"))
+    ordered = ordered.repartitionByRange(count, "doc_id", "body").sortWithinPartitions("doc_id", "body", "text").drop("body")
     ordered.mapInArrow(chunks, CHUNK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
