@@ -127,3 +127,26 @@ def test_null_id_and_empty(spark):
     rows = sorted(((r["doc_id"], r["n_removed"]) for r in substring_dedup.substring_report(docs).collect()), key=str)
     assert rows == [(3, 0), (3, 0), (None, 60)]
     assert substring_dedup.substring_report(docs.limit(0)).count() == 0
+
+
+def covered(spans):
+    return {q for a, b in spans for q in range(a, b)}
+
+
+def test_the_parse_decides_the_spans():
+    import numpy as np
+
+    r = random.Random(11)
+    window, broken = 5, {"none": 0, "last": 0, "short": 0}
+    for _ in range(3000):
+        rows = [(s, r.randrange(5, 14), r.randrange(3), r.randrange(4) + s) for s in (r.randrange(30) for _ in range(r.randrange(1, 9)))]
+        rows = [(s, max(n, window), ref, at) for s, n, ref, at in rows]
+        want = covered((s, s + n) for s, n, *_ in rows)  # all windows of all matches
+        factors, spans = substring_dedup.factorise(np.array(rows), window)
+        assert covered(spans.tolist()) == want
+        assert all(a + n <= b for (a, n, *_), (b, *_) in zip(factors.tolist(), factors[1:].tolist()))  # noqa: B905
+        joined = substring_dedup.joined_matches(np.array(rows))
+        shorter = [(a, window, ref, at) for a, n, ref, at in factors.tolist()]  # a parse that isn't greedy
+        for name, other in (("none", []), ("last", factors.tolist()[:-1]), ("short", shorter)):
+            broken[name] += covered(substring_dedup.duplicate_spans(other, joined, window)) != want
+    assert broken["none"] == 3000 and broken["last"] > 2000 and broken["short"] > 300

@@ -10,7 +10,8 @@ windows of the anchor's other blocks.  Every window has exactly one anchor, so n
 ``factorise`` then parses the document greedily from left to right.  Matches that lie on one diagonal of one reference (same
 document, same distance) and overlap are one longer match; at a position the match that reaches furthest is the next factor
 (start, length, reference document, reference start), and the parse goes on where it ends.  Factors of at least ``WINDOW`` words
-are duplicate spans.  At factor boundaries, windows that begin in one factor and end beyond it are looked up among the matches too.
+are duplicate spans.  At factor boundaries, windows that begin in one factor and end beyond it are looked up among the matches;
+nothing else is a span, so the parse decides what goes.
 
 Shuffled are one row per anchor (about one for 22 words), and windows of boundary blocks only.  An anchor that a third of all
 documents share shrinks to its distinct blocks before the shuffle; the index is joined by block digest and by window digest, so
@@ -25,6 +26,7 @@ are not looked at; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,12 +199,11 @@ def matches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     return whole.unionByName(found).groupBy(*ROW).agg(F.collect_list("m").alias("matches"))
 
 
-def factorise(matches: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy parse over rows ``start, n, ref, ref_start``: the factors as such rows, and the duplicate spans ``[start, end)``."""
+def joined_matches(matches: np.ndarray) -> list[list[int]]:
+    """Rows ``start, end, ref, shift`` of rows ``start, n, ref, ref_start``, in order of start; matches on one diagonal that overlap are one."""
     start, n, ref, ref_start = matches.T
     order = np.lexsort((start, ref_start - start, ref))
     start, end, ref, shift = start[order], (start + n)[order], ref[order], (ref_start - start)[order]
-    # matches on one diagonal that overlap are one
     reach, new = 0, []
     for k in range(len(start)):
         same = k > 0 and ref[k] == ref[k - 1] and shift[k] == shift[k - 1]
@@ -210,32 +211,54 @@ def factorise(matches: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np
         reach = max(reach, end[k]) if same else end[k]
     head = np.flatnonzero(new)
     long = np.stack([start[head], np.maximum.reduceat(end, head), ref[head], shift[head]], axis=1)
-    long = long[np.lexsort((long[:, 3], long[:, 2], -long[:, 1], long[:, 0]))]
+    return long[np.lexsort((long[:, 3], long[:, 2], -long[:, 1], long[:, 0]))].tolist()
+
+
+def greedy_factors(rows: list[list[int]], window: int) -> list[tuple[int, int, int, int]]:
+    """``start, length, ref, ref_start`` of the factors: at each place the copy that reaches furthest, if it has a window's words."""
     factors, at, k = [], 0, 0
-    open_: list[tuple[int, int, int, int]] = []  # matches that begin at or before ``at``, furthest first
-    rows = long.tolist()
+    open_: list[tuple[int, int, int]] = []  # matches that begin at or before ``at``, furthest first
     while True:
         while k < len(rows) and rows[k][0] <= at:
-            s, e, r, d = rows[k]
-            heapq.heappush(open_, (-e, r, d, s))
+            heapq.heappush(open_, (-rows[k][1], *rows[k][2:]))
             k += 1
         if open_ and -open_[0][0] >= at + window:
-            e, r, d, _ = open_[0]
-            factors.append((at, -e - at, r, at + d))
-            at = -e
+            end, ref, shift = open_[0]
+            factors.append((at, -end - at, ref, at + shift))
+            at = -end
         elif k < len(rows):
             at = rows[k][0]
         else:
-            break
-    # factors, and windows across factor boundaries that lie in a match
-    spans = sorted([(f[0], f[0] + f[1]) for f in factors] + [(s, e) for s, e, *_ in rows if e - s >= window])
+            return factors
+
+
+def duplicate_spans(factors: list[tuple[int, int, int, int]], rows: list[list[int]], window: int) -> list[list[int]]:
+    """The words of factors, and of windows that begin within a factor and end beyond it, looked up among the matches.
+
+    That is all: a match that began before its factor ends no later, so only those that begin within it reach over its end; and
+    windows that begin in no factor are in no match.
+    """
+    spans, starts = [(start, start + n) for start, n, *_ in factors], [row[0] for row in rows]
+    for start, n, *_ in factors:
+        boundary = start + n
+        for s, e, *_ in rows[bisect_right(starts, start) : bisect_left(starts, boundary)]:
+            first, last = max(s, boundary - window + 1), min(boundary - 1, e - window)  # of the windows over the boundary
+            if first <= last:
+                spans.append((first, last + window))
     merged: list[list[int]] = []
-    for s, e in spans:
+    for s, e in sorted(spans):
         if merged and s <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], e)
         else:
             merged.append([s, e])
-    return np.array(factors, np.int64).reshape(-1, 4), np.array(merged, np.int64).reshape(-1, 2)
+    return merged
+
+
+def factorise(matches: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy parse over rows ``start, n, ref, ref_start``: the factors as such rows, and the duplicate spans ``[start, end)``."""
+    rows = joined_matches(matches)
+    factors = greedy_factors(rows, window)
+    return np.array(factors, np.int64).reshape(-1, 4), np.array(duplicate_spans(factors, rows, window), np.int64).reshape(-1, 2)
 
 
 FACTORS = "array<struct<start: bigint, length: bigint, ref: bigint, ref_start: bigint>>"
