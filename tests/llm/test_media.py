@@ -82,13 +82,14 @@ def test_store_survives_a_session(spark, texts):
             digests = [bytes(r["digest"]) for r in again.index.rows().collect()]
             stored = [bytes(d) for r in again.data.rows().collect() for d in r["digests"]]
             assert len(rows) == len(texts) and len(set(digests)) == len(digests) > few and sorted(digests) == sorted(stored)
-        # data without its index entries, as an append cut short leaves it, isn't stored again
+        # data without its index entries, as an append cut short leaves it, is no harm
         cut = media.ChunkStore(spark)
         fresh = again.data.rows().repartition(cut.buckets, "home")
         cut.meta.save(again.meta.extra)
         cut.data.append(fresh)
         assert media.media_report(docs, cut).count() == len(texts)
-        assert cut.data.rows().count() == cut.data.rows().select("home").distinct().count()
+        digests = [bytes(r["digest"]) for r in cut.index.rows().collect()]
+        assert len(set(digests)) == len(digests)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
@@ -121,3 +122,26 @@ def test_damage_is_seen():
 
 def test_empty(spark):
     assert media.media_report(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_an_add_cut_short_then_another_batch(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    common = " ".join(word() for _ in range(4000))
+    texts = [word() + " " + common + " " + " ".join(word() for _ in range(900)) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for lost in ("index", "data"):  # the append that doesn't happen
+        store = media.ChunkStore(spark)
+        with monkeypatch.context() as m:
+            def fail(rows):
+                raise RuntimeError("aborted")
+
+            m.setattr(getattr(store, lost), "append", fail)
+            with pytest.raises(RuntimeError):
+                store.add(docs)
+        for ids in ([3], [0], [1, 3], [0, 1, 2, 3]):
+            rows = {x["doc_id"]: x for x in media.media_report(docs.filter(docs.doc_id.isin(ids)), store).collect()}
+            assert sorted(rows) == ids
+            assert all(rows[i]["payload_sha256"] == hashlib.sha256(media.payload_of(texts[i])[1]).hexdigest() for i in ids)
+        digests = [bytes(x["digest"]) for x in store.index.rows().collect()]
+        assert len(set(digests)) == len(digests)

@@ -10,8 +10,9 @@ with the same bytes are stored and rebuilt once.
 
 Chunks are compressed with zstandard and a dictionary that the store learns from at most ``SAMPLE_CHUNKS`` chunks of its first
 documents (a bound on a compression aid: which bytes come back doesn't depend on it).  Dictionary and bucket count are kept beside
-the store, and a store opens with what it was made with.  Adding is safe to repeat: known homes and known digests are left alone,
-data is written before the index that names it.
+the store, and a store opens with what it was made with.  Adding is safe to repeat, with the same documents or others: data is
+written before the index that names it, the index decides what is known, and what a cut-short add left without an index entry is
+never read as if it were whole.
 
 Defined results: null and empty text give 192 spaces; rows that repeat, or have equal texts, get equal values whatever their ids
 (null too); a very long text is cut like any other and rebuilt in one task's memory; other columns, whatever their names, are not
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -163,6 +165,10 @@ class ChunkStore:
         homes = digests(lists).groupBy("digest").agg(F.min("key").alias("home"))
         fresh = written(homes.join(self.index.rows().select("digest").hint("merge"), "digest", "left_anti"), "media-fresh")
         owners = fresh.groupBy(F.col("home").alias("key")).agg(F.collect_set("digest").alias("fresh"))  # as many as a payload has
+        # a payload that has a row already, of an add that was cut short, lends its new chunks from a home of their own
+        held = self.data.rows().select(F.col("home").alias("key"), F.lit(True).alias("held")).hint("merge")
+        other = F.substr(F.unhex(F.sha2(F.concat("key", F.lit(uuid.uuid4().bytes)), 256)), F.lit(1), F.lit(KEY))
+        owners = written(owners.join(held, "key", "left").select("key", "fresh", F.when(F.col("held"), other).otherwise(F.col("key")).alias("home")), "media-owners")
         dictionary = self.meta.extra
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +195,9 @@ class ChunkStore:
         bodies = docs.select("text").mapInArrow(run, "key binary, digests array<binary>, data array<binary>")
         bodies = bodies.repartition(self.buckets, "key").dropDuplicates(["key"]).join(owners.hint("merge"), "key")
         mine = F.filter(F.arrays_zip("digests", "data"), lambda c: F.array_contains("fresh", c["digests"]))
-        rows = bodies.select(F.col("key").alias("home"), mine.alias("c")).select("home", F.col("c.digests").alias("digests"), F.col("c.data").alias("data"))
-        self.data.append(rows.join(self.data.rows().select("home").hint("merge"), "home", "left_anti"))
-        self.index.append(fresh.repartition(self.buckets, "digest"))
+        rows = bodies.select("home", mine.alias("c")).select("home", F.col("c.digests").alias("digests"), F.col("c.data").alias("data"))
+        self.data.append(rows)
+        self.index.append(owners.select(F.explode("fresh").alias("digest"), "home").repartition(self.buckets, "digest"))
         return lists
 
 
