@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veriloom.operators import audit, coverage, eventlog, select
+from veriloom.operators import audit, matcher, coverage, eventlog, select
 from veriloom.plans import integrity, registry
 from veriloom.sources import runs, store
 
@@ -52,9 +52,9 @@ def test_payloads_are_walked_to_any_depth(spark):
     assert got == {(1, "forbidden_key", ".a.a.a.split"), (2, "forbidden_value", "[0][0][0]"), (3, "forbidden_key", "a[0].run_id"), (4, "forbidden_value", ""), (5, "unreadable", ""), (6, "unreadable", ""), (None, "forbidden_key", "kind")}
 
 
-@pytest.mark.parametrize("limit", [audit.BROADCAST_RUNS, 0])
-def test_passages_by_their_rarest_run(spark, monkeypatch, limit):
-    monkeypatch.setattr(audit, "BROADCAST_RUNS", limit)
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_passages_joined_or_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(matcher, "FEW_TOKENS", few)
     common = "the common words that all of them have"
     texts = spark.createDataFrame([(1, f"x {common} alpha beta gamma delta end"), (None, f"y {common} one two three four end"), (None, f"z {common} nothing"), (4, ""), (5, None)], "i int, t string")
     passages = spark.createDataFrame([(10, f"{common} alpha beta gamma"), (11, f"{common} one two three"), (12, "not there at all in any text here"), (13, "delta"), (14, "")], "item int, p string")

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import let
 from .dataset import ABSTENTION, ACCEPTED, example_id, group_id
+from .matcher import tokens_inside
 
 COLUMNS = ("code", "severity", "group_id", "subject", "detail")
 
@@ -218,24 +218,9 @@ def training_example_findings(rows: DataFrame, id_: str, text: str, target: str,
     return rows.select(id_, F.explode(found).alias("f")).select(id_, "f.rule", "f.detail")
 
 
-def _substrings(text: Column, lengths: list[int]) -> Column:
-    """All distinct substrings of these lengths."""
-    at = lambda n: F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.transform(at(n), lambda i: F.substr(text, i, n)))))
-
-
 def firewall(payloads: DataFrame, id_: str, text: str, held_out: DataFrame, token: str) -> DataFrame:
-    """``id, token``: held-out tokens that stand anywhere in a payload, also inside a longer word.
-
-    Testing every token against every payload is a product.  Tokens have few different lengths, so a payload's substrings of just
-    these lengths meet the tokens by equality; the cost follows the text.  An empty token is in no payload.
-    """
-    tokens = held_out.select(token).filter(F.length(token) > 0).distinct()
-    lengths = sorted(r["n"] for r in tokens.select(F.length(token).alias("n")).distinct().collect())  # one row for each length of an id
-    if not lengths:
-        return payloads.select(id_, F.lit(None).cast("string").alias(token)).limit(0)
-    found = payloads.select(id_, F.explode(_substrings(F.col(text), lengths)).alias(token))
-    return found.join(tokens, token, "left_semi").select(id_, token)
+    """``id, token``: held-out tokens that stand anywhere in a payload, also inside a longer word.  An empty token is in no payload."""
+    return tokens_inside(payloads, id_, text, held_out, token)
 
 
 def _check_row(rule: str, offenders: DataFrame, id_: str | Column) -> DataFrame:
@@ -290,41 +275,10 @@ def expansion_firewall(planned: DataFrame, frozen: DataFrame, cases: DataFrame,
     return reduce(DataFrame.unionByName, parts)
 
 
-#: Runs of passages up to this number are broadcast: 16 bytes each.
-BROADCAST_RUNS = 500_000
-
-
-def passages_inside(texts: DataFrame, id_: str, text: str, passages: DataFrame, item: str, passage: str, words: int = 4) -> DataFrame:
-    """``(id, item)`` where a text contains a passage verbatim: candidates meet by a run of whole words.
-
-    A passage of ``words + 2`` words or more has a run of ``words`` whole inner words in every text that contains it.  Its run that
-    the fewest texts have is its key, so a common phrase is no key; only hits of keys are tested.  Hashes of runs stand for runs, and
-    up to ``BROADCAST_RUNS`` of them are broadcast after a count, so no text is shuffled; beyond that they are joined by hash.  Shorter
-    passages meet the texts' substrings of their lengths by equality; an empty one is in no text.
-    """
-    split = F.split(F.col(passage), r"\s+")
-    long = F.size(split) >= words + 2
-    run = lambda body, i: F.xxhash64(F.array_join(F.slice(body, i, words), " "))
-    inner = let(split, lambda body: F.transform(F.sequence(F.lit(2), F.size(body) - words), lambda i: run(body, i)))
-    runs = passages.filter(long).select(item, passage, F.explode(F.array_distinct(inner)).alias("run"))
-    grams = let(F.split(F.col(text), r"\s+"), lambda body: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(body) - words + 1)), lambda i: run(body, i))))
-    known = runs.select("run").distinct()
-    few = known.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
-    small = F.broadcast if few else lambda df: df
-    seen = texts.select(F.explode(grams).alias("run")).join(small(known), "run").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    rarest = runs.join(seen, "run", "left").groupBy(item, passage).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("k"))
-    keyed = rarest.filter("k.n > 0").select(item, F.col(passage).alias("__passage"), F.col("k.run").alias("run"))
-    if few:
-        hits = texts.select(id_, F.col(text).alias("__text"), F.explode(grams).alias("run")).join(F.broadcast(keyed), "run")
-    else:  # rows are told apart by id and text
-        key = [F.col(id_), F.xxhash64(text).alias("__hash")]
-        met = texts.select(*key, F.explode(grams).alias("run")).join(keyed, "run").withColumnRenamed(id_, "__id")
-        rows = texts.select(*key, F.col(text).alias("__text"))
-        hits = rows.join(met, rows[id_].eqNullSafe(met["__id"]) & (rows["__hash"] == met["__hash"]))
-    found = hits.filter(F.contains("__text", F.col("__passage"))).select(id_, item)
-    short = passages.filter(~long & (F.col(passage) != "")).select(item, F.col(passage).alias("__token"))
-    inside = firewall(texts, id_, text, short, "__token").join(short, "__token").select(id_, item)
-    return found.unionByName(inside).distinct()
+def passages_inside(texts: DataFrame, id_: str, text: str, passages: DataFrame, item: str, passage: str) -> DataFrame:
+    """``(id, item)``, each once, where a text contains a passage verbatim; an empty passage is in no text."""
+    named = passages.select(item, F.col(passage).alias("__token"))
+    return tokens_inside(texts, id_, text, named, "__token").join(named, "__token").select(id_, item).distinct()
 
 
 # Programs that dump an environment, and what a credential's name has in it (in either case).
