@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical
 from ..operators import audit, coverage, dataset, eventlog, evidence, evaluate, policy, select
-from ..sources import jsonl, runs as folders, store
+from ..sources import jsonl, merkle, runs as folders, store
+from ..sources.shared import fresh_folder
 from ..functions.canonical import ratio_sql
 from .domain import EX, REC, examples, records, table
 from .registry import _ASSESS, _assessed, query
@@ -196,16 +197,33 @@ def appended_index(spark, d):
 @query("""SELECT 'digest' AS rule, false AS passed, 'nation' AS detail UNION ALL SELECT 'row_count', false, 'nation' UNION ALL SELECT 'table_present', true, 'nation' UNION ALL SELECT r, true, 'region' FROM (VALUES ('digest'), ('row_count'), ('table_present')) t(r)""")
 def store_verification(spark, d):
     """An artifact of two tables is written, one table is tampered with, and verification tells which."""
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    home = store.ArtifactStore(spark, f"{shared}/artifacts-{uuid.uuid4().hex}")
+    home = store.ArtifactStore(spark, fresh_folder(spark, "artifacts"))
     home.write("a1", {name: table(spark, d, name) for name in ("nation", "region")})
     table(spark, d, "nation").limit(1).write.mode("append").parquet(f"{home.root}/a1/nation")
     return home.verify("a1")
 
 
+def _versions(spark, d):
+    """The documents without every tenth, and all with some texts edited, stored as versions."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    root = fresh_folder(spark, "versions")
+    old = merkle.Version(spark, f"{root}/v3", "doc_id").write(docs.filter("doc_id % 10 <> 0"))
+    return old, merkle.Version(spark, f"{root}/v4", "doc_id").write(edited.filter("doc_id % 89 <> 1"), old.depth)
+
+
+@query("""SELECT doc_id AS key, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 89 = 1 THEN 'removed' ELSE 'modified' END AS change FROM documents
+  WHERE (doc_id % 10 = 0 AND doc_id % 89 <> 1) OR (doc_id % 10 <> 0 AND (doc_id % 97 = 0 OR doc_id % 89 = 1))""")
+def version_difference(spark, d):
+    return merkle.difference(*_versions(spark, d))
+
+
+@query("""SELECT 'nothing_modified' AS rule, count(*) = 0 AS passed, count(*)::VARCHAR AS detail FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 97 = 0 AND doc_id % 89 <> 1
+  UNION ALL SELECT 'nothing_removed', count(*) = 0, count(*)::VARCHAR FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 89 = 1""")
+def append_only_checks(spark, d):
+    return merkle.append_only(*_versions(spark, d))
+
+
 @query(f"WITH {EX} SELECT partition, count(*) AS n FROM ex GROUP BY 1 UNION ALL SELECT 'wrong', count(*) FROM ex WHERE doc_id % 100 = 5 AND partition <> 'test'")
 def placement_recomputed(spark, d):
     """Stored placements and counts against what the examples themselves give."""

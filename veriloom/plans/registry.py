@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import canonical, responses
 from ..functions.canonical import ratio_sql
 from ..operators import audit, compare, coverage, dataset, evaluate, eventlog, evidence, select
-from ..sources import store
+from ..sources import merkle, store
 from .domain import EX, FAMILIES, POLICY, REC, examples, records, response, runs, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -681,11 +681,20 @@ def attempt_numbers(spark, d):
 # --- digests and rendering
 
 
-_LEAVES = """SELECT {keys} sha256('{{"example_id":"' || example_id || '","group_id":"' || group_id || '"}}') AS leaf FROM ex"""
+def merkle_sql(source: str, leaf: str, by: str) -> str:
+    """SQL of ``table_digest``: the tree of each value of ``by``, level by level from the deepest that its rows ask for."""
+    depth = " + ".join(f"(size > {merkle.NODE_ROWS * 16**k})::INT" for k in range(6))
+    levels = [f"""n6 AS (SELECT g, left(leaf, depth) AS prefix, sum(n)::BIGINT AS n, sha256(string_agg(leaf || ':' || n, ',' ORDER BY leaf)) AS digest FROM l JOIN s USING (g) GROUP BY 1, 2)"""]
+    for k in range(5, 0, -1):
+        levels.append(f"""n{k} AS (SELECT g, left(prefix, {k}) AS prefix, sum(n)::BIGINT AS n, CASE WHEN max(length(prefix)) <= {k} THEN min(digest) ELSE sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) END AS digest FROM n{k + 1} GROUP BY 1, 2)""")
+    return f"""{source}, leaves AS (SELECT {by} AS g, sha256({leaf}) AS leaf FROM ex), l AS (SELECT g, leaf, count(*) AS n FROM leaves GROUP BY 1, 2), s AS (SELECT g, {depth} AS depth FROM (SELECT g, count(*) AS size FROM leaves GROUP BY 1)),
+  {", ".join(levels)} SELECT g, sum(n)::BIGINT AS "rows", sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest FROM n1 GROUP BY 1"""
 
 
-@query(f"""WITH {EX}, l AS (SELECT partition, leaf, count(*) AS n FROM ({_LEAVES.format(keys="partition,")}) GROUP BY ALL), k AS (SELECT partition, left(leaf, 3) AS node, sum(n)::BIGINT AS n, sha256(string_agg(leaf || ':' || n, ',' ORDER BY leaf)) AS digest FROM l GROUP BY 1, 2)
-  SELECT partition, sum(n)::BIGINT AS "rows", sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM k GROUP BY 1""")
+_LEAF = """'{"example_id":"' || example_id || '","group_id":"' || group_id || '"}'"""
+
+
+@query(f"""SELECT g AS partition, "rows", digest FROM ({merkle_sql(f"WITH {EX}", _LEAF, "partition")})""")
 def partition_digest(spark, d):
     return store.table_digest(examples(spark, d).select("partition", "example_id", "group_id"), "partition")
 
@@ -696,8 +705,7 @@ def export_digest(spark, d):
     return store.ordered_digest(table(spark, d, "nation"), "n_nationkey", line, "n_regionkey")
 
 
-@query(f"""WITH {EX}, l AS (SELECT leaf, count(*) AS n FROM (SELECT sha256('{{"example_id":"' || example_id || '","group_id":"' || group_id || '"}}') AS leaf FROM ex) GROUP BY 1),
-  k AS (SELECT left(leaf, 3) AS node, sum(n)::BIGINT AS n, sha256(string_agg(leaf || ':' || n, ',' ORDER BY leaf)) AS digest FROM l GROUP BY 1) SELECT sum(n)::BIGINT AS "rows", sha256(string_agg(node || ':' || digest, ',' ORDER BY node)) AS digest FROM k""")
+@query(f"""SELECT "rows", digest FROM ({merkle_sql(f"WITH {EX}", _LEAF, "1")})""")
 def merkle_digest(spark, d):
     return store.table_digest(examples(spark, d).select("example_id", "group_id"))
 

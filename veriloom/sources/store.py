@@ -1,8 +1,7 @@
 """Immutable artifact tables: build, write, verify, read.
 
-An artifact is a folder of Parquet tables and a manifest.  Each table's digest is a Merkle root: rows give leaves, leaves of one
-partition of the digest space give a node, nodes give the root; it doesn't depend on order or partitioning, and no task gathers
-a table.  The manifest is written last and is what makes an artifact complete; a folder without one is never read.
+An artifact is a folder of Parquet tables and a manifest.  Each table's digest is the root of its Merkle tree (``merkle``); it doesn't
+depend on order or partitioning, and no task gathers a table.  The manifest is written last and is what makes an artifact complete; a folder without one is never read.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.canonical import canonical_json, record, sha256_text
+from ..functions.canonical import sha256_text
+from .merkle import table_digest
 
 MANIFEST = "table string, rows bigint, digest string"
 
@@ -22,21 +22,6 @@ class ArtifactError(RuntimeError):
     pass
 
 
-def leaf(rows: DataFrame) -> Column:
-    return sha256_text(canonical_json(record(**{c: F.col(c) for c in rows.columns})))
-
-
-def table_digest(rows: DataFrame, by: str | None = None) -> DataFrame:
-    """One row ``rows, digest`` (for each value of ``by``).  Leaves are spread over 4096 nodes by their first digits and sorted
-    within one."""
-    keys = [by] if by else []
-    leaves = rows.select(*keys, leaf(rows.drop(*keys)).alias("leaf")).groupBy(*keys, "leaf").agg(F.count(F.lit(1)).alias("n"))
-    nodes = leaves.groupBy(*keys, F.substr("leaf", F.lit(1), F.lit(3)).alias("node")).agg(
-        F.sum("n").alias("n"), sha256_text(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "leaf", "n"))), ",")).alias("digest")
-    )
-    return nodes.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), sha256_text(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "node", "digest"))), ",")).alias("digest"))
-
-
 #: Lines that an exact-bytes digest takes: a bound of the export's contract, beyond which it is refused.
 EXPORT_LINES = 1_000_000
 
