@@ -8,7 +8,6 @@ from veriloom.operators import eventlog as L
 from veriloom.operators import evidence as V
 from veriloom.operators import select as S
 from veriloom.sources import jsonl, store
-from veriloom.streaming import logs
 
 LEGAL = {"start": ("a",), "a": ("b",), "b": ("a", "c")}
 
@@ -48,18 +47,6 @@ def test_streaks_against_loop(spark):
         assert got[s] == at
 
 
-def test_streams_equal_batch(spark, log, tmp_path):
-    path = str(tmp_path / "in")
-    log.withColumn("ok", F.col("phase") != "c").coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("stream string, seq bigint, phase string, ok boolean").parquet(path)
-    for name, rows in (("illegal", logs.illegal_transitions(stream, LEGAL)), ("confirmed", logs.confirmations(stream.select("stream", "seq", "ok"), 2))):
-        q = rows.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
-    assert {tuple(r)[:2] for r in spark.table("illegal").collect()} == {("y", 0)}
-    assert {tuple(r) for r in spark.table("confirmed").collect()} == {("x", 1), ("y", 1)}
-
-
 def test_store_round_trip_and_tamper(spark, log, tmp_path):
     artifacts = store.ArtifactStore(spark, str(tmp_path / "store"))
     artifacts.write("one", {"log": log, "other": log.limit(2)})

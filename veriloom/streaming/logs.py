@@ -1,53 +1,9 @@
-"""Append-only logs as streams: legality of phases, confirmations in a row, windows with late data, unmatched pairs.
-
-State is one phase, or one streak, for each stream.  The new rows of one stream in one micro-batch are sorted in memory, since the
-shuffle doesn't keep their order: the source's rate limit (``maxFilesPerTrigger`` and the like) is the bound.
-"""
+"""Event windows with late data, and commands with their completions, as streams; logs with state are in ``state``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def illegal_transitions(log: DataFrame, legal: dict[str, tuple[str, ...]]) -> DataFrame:
-    """``stream, seq, before, phase`` of ``log(stream string, seq long, phase string)`` rows that don't follow; state is the last phase."""
-    allowed = {(a, b) for a, many in legal.items() for b in many}
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else "start"
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, phase in zip(rows["seq"], rows["phase"], strict=True):
-            if (before, phase) not in allowed:
-                out.append((key[0], seq, before, phase))
-            before = phase
-        state.update((before,))
-        yield pd.DataFrame(out, columns=["stream", "seq", "before", "phase"])
-
-    return log.groupBy("stream").applyInPandasWithState(step, "stream string, seq bigint, before string, phase string", "before string", "append", GroupStateTimeout.NoTimeout)
-
-
-def confirmations(log: DataFrame, times: int) -> DataFrame:
-    """``stream, seq`` where ``log(stream, seq, ok)`` was right for the ``times``-th time in a row, once per stream."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, done = state.get if state.exists else (0, False)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, ok in zip(rows["seq"], rows["ok"], strict=True):
-            streak = streak + 1 if ok else 0
-            if streak >= times and not done:
-                out.append((key[0], seq))
-                done = True
-        state.update((streak, done))
-        yield pd.DataFrame(out, columns=["stream", "seq"])
-
-    return log.groupBy("stream").applyInPandasWithState(step, "stream string, seq bigint", "streak int, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def event_windows(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
