@@ -51,7 +51,8 @@ def content_id(prefix: str, value: Column, digits: int = 16) -> Column:
 
 
 def sequence_id(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 6, "0")
+    text = number.cast("string")
+    return F.when(F.length(text) >= 6, text).otherwise(F.lpad(text, 6, "0"))  # padding would cut a longer one
 
 
 def digest_bucket(digest: Column, buckets: int = BUCKETS) -> Column:

@@ -30,12 +30,13 @@ def final_phase(log: DataFrame, stream: str, seq: str, phase: str) -> DataFrame:
 def final_phase_findings(log: DataFrame, incidents: DataFrame, stream: str, seq: str, phase: str, final: dict[str, str]) -> DataFrame:
     """``stream, status, final, wanted`` where a stream's last phase isn't the one that its incident's status asks for.
 
-    ``incidents`` has ``stream, status``; ``final`` names the phase of each status.  A stream without events ends in ``start``.
+    ``incidents`` has ``stream, status``; ``final`` names the phase of each status, and a status that it doesn't name is a finding with
+    ``wanted`` null.  A stream without events ends in ``start``.
     """
-    wanted = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(final.items()) for x in pair)), F.col("status"))
+    wanted = F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(final.items()) for x in pair)), F.col("status"))
     last = final_phase(log, stream, seq, phase).select(stream, "final")
     rows = incidents.select(stream, "status").join(last, stream, "left").withColumns({"final": F.coalesce("final", F.lit(START)), "wanted": wanted})
-    return rows.filter(F.col("wanted").isNotNull() & (F.col("final") != F.col("wanted"))).select(stream, "status", "final", "wanted")
+    return rows.filter(F.col("wanted").isNull() | (F.col("final") != F.col("wanted"))).select(stream, "status", "final", "wanted")
 
 
 def sequence_gaps(log: DataFrame, stream: str, seq: str) -> DataFrame:

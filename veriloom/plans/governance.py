@@ -87,8 +87,11 @@ def preflight_stages(spark, d):
     return policy.preflight(rows, "conv_id").select("conv_id", "stage", "outcome")
 
 
-@query("SELECT * FROM (VALUES ('run.plan_id=plan.plan_id', true), ('run.corpus=plan.corpus', false), ('run.missing=plan.plan_id', false)) v(rule, passed)")
+@query("""WITH o AS (SELECT count(DISTINCT o_orderkey) AS keys, min(o_orderkey) AS first FROM orders), l AS (SELECT count(DISTINCT l_orderkey) AS keys, min(l_orderkey) - 1 AS first FROM lineitem)
+  SELECT 'lines.keys=orders.keys' AS rule, l.keys = o.keys AS passed FROM o, l UNION ALL SELECT 'lines.first=orders.first', l.first = o.first FROM o, l UNION ALL SELECT 'lines.missing=orders.keys', false""")
 def binding_checks(spark, d):
-    plan = spark.range(1).select(F.lit("p1").alias("plan_id"), F.lit("c1").alias("corpus"))
-    run = spark.range(1).select(F.lit("p1").alias("plan_id"), F.lit("c2").alias("corpus"))
-    return policy.binding_findings({"plan": plan, "run": run}, [("run", "plan_id", "plan", "plan_id"), ("run", "corpus", "plan", "corpus"), ("run", "missing", "plan", "plan_id")])
+    """What the lines say of their orders against the orders."""
+    orders = table(spark, d, "orders").agg(F.countDistinct("o_orderkey").alias("keys"), F.min("o_orderkey").alias("first"))
+    lines = table(spark, d, "lineitem").agg(F.countDistinct("l_orderkey").alias("keys"), (F.min("l_orderkey") - 1).alias("first"))
+    return policy.binding_findings({"orders": orders, "lines": lines}, [("lines", "keys", "orders", "keys"), ("lines", "first", "orders", "first"), ("lines", "missing", "orders", "keys")])
+

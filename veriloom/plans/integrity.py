@@ -239,10 +239,11 @@ def placement_recomputed(spark, d):
 # --- logs
 
 
-@query("""SELECT conv_id, status, final, wanted FROM (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS status, coalesce(max_by(role, turn), 'start') AS final, CASE WHEN conv_id % 2 = 0 THEN 'assistant' ELSE 'start' END AS wanted FROM conversations GROUP BY conv_id) WHERE final <> wanted""")
+@query("""SELECT conv_id, status, final, wanted FROM (SELECT conv_id, CASE WHEN conv_id % 9 = 4 THEN 'mystery' WHEN conv_id % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS status, coalesce(max_by(role, turn), 'start') AS final,
+  CASE WHEN conv_id % 9 = 4 THEN NULL WHEN conv_id % 2 = 0 THEN 'assistant' ELSE 'start' END AS wanted FROM conversations GROUP BY conv_id) WHERE wanted IS NULL OR final <> wanted""")
 def final_phase_by_status(spark, d):
     rows = table(spark, d, "conversations")
-    incidents = rows.select("conv_id").distinct().withColumn("status", F.when(F.col("conv_id") % 2 == 0, "accepted").otherwise("rejected"))
+    incidents = rows.select("conv_id").distinct().withColumn("status", F.when(F.col("conv_id") % 9 == 4, "mystery").when(F.col("conv_id") % 2 == 0, "accepted").otherwise("rejected"))
     return eventlog.final_phase_findings(rows, incidents, "conv_id", "turn", "role", {"accepted": "assistant", "rejected": "start"})
 
 
@@ -314,10 +315,15 @@ def ping_success(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(probes.alias("p")).select("user_id", evidence.ping_success(F.col("p")).alias("all_ok"))
 
 
-@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE octet_length(encode(text)) <= 65536 AND trim(text) <> ''")
+_CONFIG_TEXT = "CASE WHEN doc_id % 7 = 0 THEN '  ' WHEN doc_id % 5 = 0 THEN repeat(coalesce(text, ''), 40) ELSE text END"
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_CONFIG_TEXT} AS c FROM documents), b AS (SELECT doc_id, c, strlen(c) AS n FROM c),
+  w AS (SELECT doc_id, c, CASE WHEN n <= 65536 THEN c ELSE coalesce(try(decode(encode(c)[1:65536])), try(decode(encode(c)[1:65535])), try(decode(encode(c)[1:65534])), try(decode(encode(c)[1:65533]))) END AS kept FROM b)
+  SELECT doc_id, CASE WHEN length(trim(c)) > 0 THEN sha256(kept) END AS digest FROM w""")
 def config_digests(spark, d):
-    rows = table(spark, d, "documents").filter("octet_length(text) <= 65536 and trim(text) <> ''")
-    return rows.select("doc_id", evidence.config_digest(F.col("text")).alias("digest"))
+    """Whole texts as configurations: some are blank, and some are repeated beyond the bound, where they are cut."""
+    return table(spark, d, "documents").select("doc_id", evidence.config_digest(F.expr(_CONFIG_TEXT)).alias("digest"))
 
 
 @query("""SELECT n_nationkey, 'ev-' || left(sha256('{"node":"' || n_name || '","normalized":{"a":"1","name":"' || n_name || '"},"status":"ok"}'), 16) AS evidence_id, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS output FROM nation""")
@@ -347,13 +353,13 @@ def canonical_decimals(spark, d):
     return table(spark, d, "events").select("event_id", canonical.canonical_decimal(F.col("value").cast("decimal(18,4)").cast("string")).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(left(text, 100))) <= 60 THEN left(text, 100) END AS short, octet_length(encode(left(text, 100))) <= 60 OR true AS bounded FROM documents")
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 600 THEN text END AS short, CASE WHEN text IS NOT NULL THEN true END AS bounded FROM documents")
 def byte_bounds(spark, d):
-    """Texts cut at 60 bytes: unchanged where they are short, else a true prefix of 57 to 60 bytes."""
-    text = F.left(F.col("text"), F.lit(100))
-    cut = canonical.truncated_bytes(text, 60)
-    short = F.octet_length(text) <= 60
-    good = F.when(short, cut == text).otherwise(text.startswith(cut) & F.octet_length(cut).between(57, 60))
+    """Whole texts cut at 600 bytes: unchanged where they are short, else a true prefix of 597 to 600 bytes."""
+    text = F.col("text")
+    cut = canonical.truncated_bytes(text, 600)
+    short = F.octet_length(text) <= 600
+    good = F.when(short, cut == text).otherwise(text.startswith(cut) & F.octet_length(cut).between(597, 600))
     return table(spark, d, "documents").select("doc_id", F.when(short, cut).alias("short"), good.alias("bounded"))
 
 
@@ -364,9 +370,9 @@ def safe_names(spark, d):
     return table(spark, d, "pages").select("page_id", canonical.safe_name(name).alias("safe"))
 
 
-@query("SELECT c_custkey, lpad(c_custkey::VARCHAR, 6, '0') AS id FROM customer WHERE c_custkey < 1000000")
+@query("SELECT c_custkey, CASE WHEN length(c_custkey::VARCHAR) >= 6 THEN c_custkey::VARCHAR ELSE lpad(c_custkey::VARCHAR, 6, '0') END AS id FROM customer")
 def sequence_ids(spark, d):
-    return table(spark, d, "customer").filter("c_custkey < 1000000").select("c_custkey", canonical.sequence_id(F.col("c_custkey")).alias("id"))
+    return table(spark, d, "customer").select("c_custkey", canonical.sequence_id(F.col("c_custkey")).alias("id"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'unsupported' WHEN p_size % 3 = 0 THEN 'nondeterministic' WHEN p_size % 2 = 0 THEN 'deterministic_supported' ELSE 'best_effort' END AS category FROM part""")
@@ -506,7 +512,7 @@ def overall_metrics(spark, d):
     return evaluate.overall(records(spark, d)).select("predictor", "right", "overall_accuracy")
 
 
-_COMMAND = "CASE WHEN doc_id % 2 = 0 THEN 'show ' ELSE '' END || left(text, 80) || CASE WHEN doc_id % 6 = 0 THEN ' no' WHEN doc_id % 10 = 0 THEN '; x' ELSE '' END"
+_COMMAND = "CASE WHEN doc_id % 2 = 0 THEN 'show ' ELSE '' END || text || CASE WHEN doc_id % 6 = 0 THEN ' no' WHEN doc_id % 10 = 0 THEN '; x' ELSE '' END"
 
 
 @query(f"""WITH c AS (SELECT doc_id, {_COMMAND} AS cmd FROM documents), w AS (SELECT *, list_filter(regexp_split_to_array(lower(cmd), '[^a-z0-9_]+'), lambda x: x <> '') AS words FROM c)

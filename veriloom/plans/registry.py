@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, responses
@@ -365,10 +365,16 @@ def experiment_outcome(spark, d):
     return compare.experiment_outcome(metrics, F.lit(True), 1, 0).select("test_evaluated", "base_correct", "trained_correct", "wins", "losses", "verdict")
 
 
-@query("SELECT * FROM (VALUES ('epochs', '2', '2', true), ('learning_rate', '0.0002', '0.0001', false), ('seed', '7', '7', true)) v(field, base, trained, equal)")
+_CONFIG = "SELECT count(DISTINCT o_orderpriority)::VARCHAR AS priorities, count(*)::VARCHAR AS orders, max(o_orderstatus) AS status FROM orders"
+
+
+@query(f"""WITH b AS ({_CONFIG} WHERE o_orderkey % 2 = 0), t AS ({_CONFIG} WHERE o_orderkey % 2 = 1 AND o_orderstatus <> 'P'), l AS (UNPIVOT b ON priorities, orders, status INTO NAME field VALUE base), r AS (UNPIVOT t ON priorities, orders, status INTO NAME field VALUE trained)
+  SELECT field, base, trained, base IS NOT DISTINCT FROM trained AS equal FROM l JOIN r USING (field)""")
 def fairness_fields(spark, d):
-    a = spark.range(1).select(F.lit(2).alias("epochs"), F.lit("0.0002").alias("learning_rate"), F.lit(7).alias("seed"))
-    return compare.fairness(a, a.withColumn("learning_rate", F.lit("0.0001")), ["epochs", "learning_rate", "seed"])
+    """Two halves of the orders as configurations that ought to agree, field by field."""
+    one = lambda rows: rows.agg(F.countDistinct("o_orderpriority").alias("priorities"), F.count(F.lit(1)).alias("orders"), F.max("o_orderstatus").alias("status"))
+    rows = table(spark, d, "orders")
+    return compare.fairness(one(rows.filter("o_orderkey % 2 = 0")), one(rows.filter("o_orderkey % 2 = 1 and o_orderstatus <> 'P'")), ["priorities", "orders", "status"])
 
 
 @query(f"""WITH {EX} SELECT {count("doc_id % 10 <> 0 AND doc_id % 97 <> 0")} AS unchanged, {count("doc_id % 10 <> 0 AND doc_id % 97 = 0")} AS modified, 0::BIGINT AS removed, {count("doc_id % 10 = 0")} AS added, 0::BIGINT AS repartitioned,
@@ -646,31 +652,39 @@ def chain_verify(spark, d):
     return eventlog.broken_links(chain.withColumn("payload", F.when(changed, "forged").otherwise(F.col("payload"))), "conv_id")
 
 
-_PLANS = [("p1", 2, 5, 2), ("p2", 1, 1, 4), ("p3", 3, 4, 4)]
-_FRAMES = f"""pl AS (SELECT * FROM (VALUES {", ".join(map(str, _PLANS))}) v(plan_id, epochs, batches, accumulation)), b AS (SELECT plan_id, e AS epoch, x AS batch, accumulation, batches FROM pl, range(1, 4) r(e), range(1, 6) s(x) WHERE e <= epochs AND x <= batches),
+_FRAMES = """pl AS (SELECT conv_id AS plan_id, 1 + conv_id % 3 AS epochs, count(*) AS batches, 2 AS accumulation FROM conversations GROUP BY 1, 2), e AS (SELECT *, unnest(range(1, epochs + 1)) AS epoch FROM pl), b AS (SELECT *, unnest(range(1, batches + 1)) AS batch FROM e),
 f AS (SELECT plan_id, epoch, batch, 'batch' AS event, 0 AS o FROM b UNION ALL SELECT plan_id, epoch, batch, 'step', 1 FROM b WHERE batch % accumulation = 0 OR batch = batches UNION ALL SELECT plan_id, epoch, batch, 'epoch_end', 2 FROM b WHERE batch = batches
   UNION ALL SELECT plan_id, 0, 0, 'started', 0 FROM pl UNION ALL SELECT plan_id, epochs, batches, 'finished', 3 FROM pl),
 fr AS (SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY epoch, batch, o) - 1 AS seq, epoch, batch, event FROM f)"""
 
 
-def _frames(spark):
-    return eventlog.expected_frames(spark.createDataFrame(_PLANS, "plan_id string, epochs int, batches int, accumulation int"))
-
-
 @query(f"WITH {_FRAMES} SELECT * FROM fr")
 def replay_skeleton(spark, d):
-    return _frames(spark)
+    """What a log must have for a plan of as many batches as a conversation has turns."""
+    plans = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("plan_id")).agg(F.count(F.lit(1)).cast("int").alias("batches"))
+    return eventlog.expected_frames(plans.select("plan_id", (1 + F.col("plan_id") % 3).cast("int").alias("epochs"), "batches", F.lit(2).alias("accumulation")))
 
 
-@query(f"WITH {_FRAMES} SELECT plan_id, seq, event AS expected, CASE WHEN seq = 3 THEN 'forged' END AS recorded FROM fr WHERE seq = 3 OR seq = 5")
+@query("""WITH n AS (SELECT conv_id, unnest(range(0, max(turn) + 1)) AS turn FROM conversations GROUP BY 1), x AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS expected FROM n)
+  SELECT coalesce(x.conv_id, c.conv_id) AS plan_id, coalesce(x.turn, c.turn) AS seq, expected, role AS recorded FROM x FULL JOIN conversations c ON x.conv_id = c.conv_id AND x.turn = c.turn WHERE expected IS DISTINCT FROM role""")
 def replay_differences(spark, d):
-    rows = _frames(spark)
-    return eventlog.replay_differences(rows, rows.filter("seq <> 5").withColumn("event", F.when(F.col("seq") == 3, "forged").otherwise(F.col("event"))))
+    """Recorded turns against the protocol that user and assistant take turns."""
+    log = table(spark, d, "conversations")
+    turns = log.groupBy("conv_id").agg(F.max("turn").alias("last")).select(F.col("conv_id").alias("plan_id"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("seq"))
+    expected = turns.withColumn("event", F.when(F.col("seq") % 2 == 0, "user").otherwise("assistant"))
+    return eventlog.replay_differences(expected, log.select(F.col("conv_id").alias("plan_id"), F.col("turn").alias("seq"), F.col("role").alias("event")))
+
+
+_KIND = "CASE event_type WHEN 'purchase' THEN 'epoch_end' WHEN 'click' THEN 'step' ELSE 'batch' END"
 
 
-@query(f"WITH {_FRAMES} SELECT plan_id, seq, epoch, sum(CASE WHEN event = 'epoch_end' THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id ORDER BY seq)::BIGINT AS completed FROM fr QUALIFY event = 'step'")
+@query(f"""WITH f AS (SELECT user_id AS plan_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id AS epoch, {_KIND} AS event FROM events)
+  SELECT plan_id, seq, epoch, sum(CASE WHEN event = 'epoch_end' THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id ORDER BY seq)::BIGINT AS completed FROM f QUALIFY event = 'step'""")
 def epochs_completed(spark, d):
-    return eventlog.epochs_completed(_frames(spark))
+    """Purchases that came before each click of a user."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("plan_id"), F.row_number().over(order).alias("seq"), F.col("event_id").alias("epoch"), F.expr(_KIND).alias("event"))
+    return eventlog.epochs_completed(rows)
 
 
 @query("SELECT o_custkey, count(*) AS attempts, count(*) - 1 AS retries FROM orders GROUP BY 1")
