@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import collectors
 from ..functions.canonical import ratio
 from ..operators import dataset, order
+from ..sources import folders
 from ..sources.shared import fresh_folder
 from ..sources.shelf import SOURCES, SOURCES_SCHEMA, Kind, Shelf, differing
 from .domain import EX, POLICY, REC, examples, records, table
@@ -121,3 +123,44 @@ def order_audit(spark, d):
     misplaced_ = order.order_faults(blocks).filter("fault = 'out_of_place'").agg(F.count(F.lit(1)).alias("misplaced"))
     sums = blocks.agg(F.sum("rows").alias("rows"), F.max("last").alias("high"), F.sum("descents").alias("descents"))
     return sums.crossJoin(misplaced_)
+
+
+def _run_folders(spark, d) -> str:
+    """A folder for each source and language with its documents' lengths in JSON lines."""
+    path = fresh_folder(spark, "runs")
+    rows = table(spark, d, "documents").select(F.concat_ws("-", "source", F.coalesce("lang", F.lit("und"))).alias("run"), "doc_id", "n_chars")
+    rows.repartition(4, "run").write.partitionBy("run").json(path)
+    return path
+
+
+@query("SELECT 'run=' || source || '-' || coalesce(lang, 'und') AS run_id, count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(n_chars)::BIGINT AS chars, 0::BIGINT AS errors FROM documents GROUP BY 1")
+def run_records(spark, d):
+    """Run folders read record by record through the data source."""
+    folders.register(spark)
+    rows = spark.read.format("run_folders").load(_run_folders(spark, d)).filter("kind = 'text' or kind = 'json_lines' or kind = 'json'")
+    value = F.from_json(F.coalesce("record", "text"), "doc_id bigint, n_chars bigint")
+    rows = rows.filter("path not like '%.crc'").select("run_id", value.alias("v"), "error")
+    return rows.groupBy("run_id").agg(F.count("v.doc_id").alias("n"), F.sum("v.doc_id").alias("ids"), F.sum("v.n_chars").alias("chars"), F.count("error").alias("errors"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE source = 'src3' AND lang = 'en'")
+def run_records_of_one(spark, d):
+    """One run: the filter goes down to the source, which opens that folder only."""
+    folders.register(spark)
+    rows = spark.read.format("run_folders").load(_run_folders(spark, d)).filter("run_id = 'run=src3-en'").filter("path not like '%.crc'")
+    return rows.select(F.from_json("record", "doc_id bigint, n_chars bigint").alias("v")).select("v.*")
+
+
+_OUTPUT = """CASE WHEN user_id % 11 = 5 THEN '[' WHEN user_id % 5 = 0 THEN '{}' ELSE '{"ipv4Unicast":{"peers":{"10.0.0.' || user_id || '":{' || CASE WHEN user_id % 2 = 0 THEN '"state":"Established"' ELSE '"peerState":"IDLE"' END || ',"remoteAs":' || (65000 + n) || '}}}}' END"""
+
+
+@query(f"""WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), k AS (SELECT *, CASE WHEN user_id % 7 = 3 THEN 'status timeout' WHEN user_id % 11 = 5 THEN 'not JSON' END AS error FROM u)
+  SELECT user_id, NULL AS metric, NULL AS value, error FROM k WHERE error IS NOT NULL UNION ALL
+  SELECT user_id, 'bgp.peer.10.0.0.' || user_id || '.' || m, CASE m WHEN 'present' THEN 'true' WHEN 'remote_as' THEN (65000 + n)::VARCHAR ELSE CASE WHEN user_id % 2 = 0 THEN 'established' ELSE 'idle' END END, NULL
+  FROM k, (VALUES ('present'), ('remote_as'), ('state')) t(m) WHERE error IS NULL AND user_id % 5 <> 0""")
+def collected_metrics(spark, d):
+    """Device output of every user, joined laterally to a collector; bad outputs are rows with an error."""
+    collectors.register(spark)
+    users = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    users = users.select("user_id", F.when(F.col("user_id") % 7 == 3, "timeout").otherwise("ok").alias("status"), F.expr(_OUTPUT).alias("stdout"))
+    return spark.sql("SELECT o.user_id, m.metric, m.value, m.error FROM {outputs} o, LATERAL collect_bgp(o.status, o.stdout) m", outputs=users)
