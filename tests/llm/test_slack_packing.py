@@ -23,7 +23,12 @@ def library():
 
 def test_encoder_equals_the_library(library):
     assert isinstance(encoder(word_tokenizer()), WordEncoder)
-    encode = WordEncoder(word_tokenizer()).encode
+    encoder_ = WordEncoder(word_tokenizer())
+    assert encoder_.direct
+    encode = encoder_.encode
+    for c in map(chr, (*range(0x400), *range(0x1E00, 0x2100), *range(0xA640, 0xA660))):
+        for text in (c, f"a{c}b", f"É{c}", f"{c}{c}1", f"'{c}s"):
+            assert np.frombuffer(encode(text), "<u4").tolist() == library(text), repr(text)
     marks = [" ", "\n", "\t", "\r", "\x0b", "\x85", " ", "́", "\x1c", "Ab", "É", "'", "S", "1", "²", "Σ", "İ", "日", "_", "<|endoftext|>"]
     for n in (1, 2, 3):
         for parts in itertools.product(marks, repeat=n):
@@ -35,8 +40,9 @@ def test_encoder_forgets_without_changing_ids(library, monkeypatch):
     from veriloom.llm import tokens
 
     monkeypatch.setattr(tokens, "CACHE_PIECES", 6)
+    monkeypatch.setattr(tokens, "SLICE", 20)
     encode = WordEncoder(word_tokenizer()).encode
-    for text in ["a b c d e f g h i j", "a z a b y", "j i h " * 30]:
+    for text in ["a b c d e f g h i j", "a z a b y", "j i h " * 30, "日本 a b Σ c\nd " * 9, "no-space" * 20]:
         assert np.frombuffer(encode(text), "<u4").tolist() == library(text)
 
 

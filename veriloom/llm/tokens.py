@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 
 #: Pieces that a Python worker keeps of late, and as many of earlier use (some 200 bytes each); ids don't depend on it.
 CACHE_PIECES = 500_000
+#: Characters of a text that are encoded at once.
+SLICE = 1_000_000
 #: Id that ends each document.
 END_ID = 0
 _INNER_SPACE = re.compile(r"\s \s")
@@ -108,9 +112,54 @@ class TextEncoder:
         return self._piece(head) + b"".join([known(w) or learn(w) for w in rest])
 
 
+def _of_kind(kind: str) -> str:
+    """Characters below U+0300 of a Unicode category, for a set of a pattern.  Such characters never compose with each other."""
+    return "".join(re.escape(c) for c in map(chr, range(0x300)) if unicodedata.category(c)[0] == kind)
+
+
+_SPACES = "\t-\r \x85\xa0"
+#: The units that a word-level pre-tokenizer finds in lower case.
+_WORD_UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('L')}]+|[{_of_kind('N')}]|[^{_SPACES}{_of_kind('L')}{_of_kind('N')}]+")
+#: Characters below U+0300 with a lower case below it.
+_SIMPLE = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x300)) if max(c.lower()) < "\u0300") + "]*")
+
+
+def byte_symbols() -> list[str]:
+    """The symbol that a byte-level pre-tokenizer shows for each byte: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return [shown[b] for b in range(256)]
+
+
+class Units(dict):
+    """Ids of units of a word-level pre-tokenizer; ``tokenize`` gives those of a unit that isn't known.  ``forget`` bounds it."""
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self.tokenize, self.aged, self.shown = tokenize, {}, byte_symbols()
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.aged.get(unit)
+        if ids is None:
+            symbols = unit if unit.isascii() and unit.isprintable() else "".join([self.shown[b] for b in unit.encode()])
+            ids = array("I", [t.id for t in self.tokenize(symbols)]).tobytes()
+        self[unit] = ids
+        return ids
+
+    def forget(self) -> None:
+        if len(self) >= CACHE_PIECES:
+            self.aged = dict(self)
+            self.clear()
+
+
 class WordEncoder:
-    """Texts to ids, as ``TextEncoder``, for a tokenizer that drops white space: what stands between white space is encoded by
-    itself, so words met before are looked up and the others of a text go to the library in one call."""
+    """Texts to ids, as ``TextEncoder``, for a tokenizer that drops white space.
+
+    Simple characters are cut into the pre-tokenizer's units here, units met before are looked up, and the library's merges are asked
+    for the others.  What stands between white space and has another character goes to the library as it is.  The short way is only
+    taken if it gives the library's ids for a set of probes.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -118,32 +167,37 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.fresh: dict[str, bytes] = {}
-        self.aged: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for low in range(0, len(words), 10_000):
-            some = words[low : low + 10_000]
-            for word, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.fresh[word] = np.array(found.ids, dtype="<u4").tobytes()
+        self.units = Units(self.library.model.tokenize)
+        probes = [a + b + c for a in ("", "Ab", "don") for b in (*map(chr, range(0x300)), "'LL", "'t", "''re") for c in ("", "x1")]
+        probes = [x for x in probes if _SIMPLE.fullmatch(x)]
+        try:
+            self.direct = [self._simple(x) for x in probes] == self._whole(probes)
+        except Exception:  # the model has no such unit
+            self.direct = False
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _simple(self, text: str) -> bytes:
+        return b"".join(map(self.units.__getitem__, _WORD_UNITS.findall(text.lower())))
+
+    def _some(self, text: str) -> bytes:
+        if not self.direct:
+            return self._whole([text])[0]
+        self.units.forget()
+        if text.isascii() or _SIMPLE.fullmatch(text):
+            return self._simple(text)
+        out = []
+        for simple, pieces in groupby(text.replace("\n", " ").replace("\t", " ").split(" "), lambda x: _SIMPLE.fullmatch(x) is not None):
+            out += [self._simple(" ".join(pieces))] if simple else self._whole(list(pieces))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        return b"".join([self._some(words[low : low + CACHE_PIECES // 2]) for low in range(0, len(words), CACHE_PIECES // 2)])
-
-    def _some(self, words: list[str]) -> bytes:
-        """Ids of fewer words than the encoder keeps."""
-        if len(self.fresh) >= CACHE_PIECES // 2:
-            self.fresh, self.aged = {}, self.fresh
-        fresh, aged, new = self.fresh, self.aged, []
-        for word in set(words).difference(fresh):
-            if word in aged:
-                fresh[word] = aged[word]
-            else:
-                new.append(word)
-        if new:
-            self._learn(new)
-        return b"".join([fresh[word] for word in words])
+        text, out, at = text or "", [], 0
+        while (cut := text.find(" ", at + SLICE)) >= 0:  # memory doesn't follow the longest text
+            out.append(self._some(text[at:cut]))
+            at = cut
+        return b"".join([*out, self._some(text[at:])])
 
 
 _ENCODERS: dict[str, TextEncoder | WordEncoder] = {}
