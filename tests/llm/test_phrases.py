@@ -113,3 +113,9 @@ def test_products_beyond_64_bits(spark, monkeypatch):
     monkeypatch.setattr(phrases, "phrase_counts", lambda *a: counts)
     row = phrases.collocations(counts).first()
     assert row["score"] == 1000 * (n - 3) * n // ((n - 1) * (n - 2))
+
+
+def test_giant_words(spark):
+    rows = [("x" * 300_000 + " y " + "x" * 300_000 + " y", "en")] * 3
+    got = made(spark, rows, least=3)
+    assert got == brute_force(rows, least=3)

@@ -26,6 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,12 +56,16 @@ def restored(raw: bytes) -> bytes:
     return raw.replace(b"\1\1", b"\0").replace(b"\1\2", b"\1") if b"\1" in raw else raw
 
 
-def suffixes(text: bytes, most: int) -> Iterator[list[bytes]]:
-    """The suffixes of all pieces of a text, each of ``most`` words at most, joined by byte 0."""
+def suffixes(text: bytes, most: int) -> Iterator[tuple[list[bytes], int]]:
+    """The suffixes of all pieces of a text, each of ``most`` words at most, joined by byte 0: some at once, and their words' bytes."""
     for piece in escaped(text.translate(_PLAIN)).split(b"\n"):
         words = piece.split()
-        for low in range(0, len(words), 4096):
-            yield [b"\0".join(words[i : i + most]) for i in range(low, min(low + 4096, len(words)))]
+        if not words:
+            continue
+        mean = len(piece) // len(words) + 1
+        step = max(1, 65_536 // mean)
+        for low in range(0, len(words), step):
+            yield [b"\0".join(words[i : i + most]) for i in range(low, min(low + step, len(words)))], step * mean
 
 
 def suffix_counts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[bytes, Counter]]:
@@ -69,18 +74,13 @@ def suffix_counts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict
     read = 0
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            own = counts.setdefault(escaped(lang.as_py()), Counter())
-            raw = text.as_py() or b""
-            for some in suffixes(raw, most):
-                own.update(some)
-                if sum(map(len, counts.values())) >= HELD_SUFFIXES:
+            key = escaped(lang.as_py())
+            for some, size in suffixes(text.as_py() or b"", most):
+                counts.setdefault(key, Counter()).update(some)
+                read += min(size, sum(map(len, some)))
+                if read >= HELD_BYTES or sum(map(len, counts.values())) >= HELD_SUFFIXES:
                     yield counts
-                    counts.clear()
-                    own, read = counts.setdefault(escaped(lang.as_py()), Counter()), 0
-            read += len(raw)
-            if read >= HELD_BYTES:
-                yield counts
-                counts, read = {}, 0
+                    counts, read = {}, 0
     yield counts
 
 
@@ -123,41 +123,6 @@ def crowded_prefixes(docs: DataFrame, most: int, partitions: int) -> set[bytes]:
     return {bytes(row["prefix"]) for row in rows} - {b""}
 
 
-def dealt_suffixes(docs: DataFrame, most: int, partitions: int) -> DataFrame:
-    """``suffix, n, whole, deal``: counted suffixes after their language; ``deal`` is of the first ``whole`` words (with the
-    language), the fewest that are not crowded."""
-    crowded = docs.sparkSession.sparkContext.broadcast(crowded_prefixes(docs, most, partitions))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = crowded.value
-
-        def rows() -> Iterator[tuple[bytes, int, int, int]]:
-            for counts in suffix_counts(batches, most):
-                for lang, own in counts.items():
-                    head, low, deal, whole = None, len(lang) + 1, 0, 0
-                    for suffix in sorted(own, reverse=True):  # neighbours compress well and often go the same way
-                        key = lang + b"\0" + suffix
-                        at = key.find(b"\0", low)
-                        first = key if at < 0 else key[:at]
-                        if first != head:
-                            head, deal, whole = first, crc32(first), 2
-                        if first not in full:
-                            yield key, own[suffix], whole, deal
-                            continue
-                        words = 3
-                        while at >= 0:  # a crowded prefix goes on; one that ends here is counted elsewhere too
-                            at = key.find(b"\0", at + 1)
-                            first = key if at < 0 else key[:at]
-                            if first not in full:
-                                break
-                            words += 1
-                        yield key, own[suffix], words, crc32(first)
-
-        yield from _batches([("suffix", pa.binary()), ("n", pa.int64()), ("whole", pa.int32()), ("deal", pa.int64())], rows(), lambda row: len(row[0]))
-
-    return docs.mapInArrow(count, "suffix binary, n bigint, whole int, deal bigint")
-
-
 def _same(x: bytes, y: bytes, low: int) -> int:
     """Bytes that two long suffixes share, ``low`` at least."""
     high = min(len(x), len(y))
@@ -185,6 +150,65 @@ def shared_bytes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.
     return np.minimum(same, most)
 
 
+#: The low bits of ``deal`` hold the number of words that it is of.
+WORDS = 64
+
+
+def _deal(first: bytes, words: int) -> int:
+    return crc32(first) * WORDS + words
+
+
+def deals(lang: bytes, own: Counter, full: set[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The suffixes of a language after it, in descending order (neighbours compress well), with their counts and where they go:
+    by the fewest first words that are not crowded."""
+    suffix = pa.array(list(own), pa.binary())
+    order = pc.array_sort_indices(suffix, order="descending")
+    suffix = suffix.take(order)
+    n = np.fromiter(own.values(), np.int64, len(own))[order.to_numpy()]
+    ends = np.frombuffer(suffix.buffers()[1], np.int32).astype(np.int64)[: len(suffix) + 1]
+    data = np.frombuffer(suffix.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    gaps = np.append(np.flatnonzero(data == 0), len(data))
+    size = np.minimum(gaps[np.searchsorted(gaps, ends[:-1])], ends[1:]) - ends[:-1]  # of first words
+    new = np.flatnonzero(np.append(True, (size[1:] != size[:-1]) | (shared_bytes(data, ends[:-1], size) != size[1:])))
+    firsts = [lang + b"\0" + data[a : a + m].tobytes() for a, m in zip(ends[new].tolist(), size[new].tolist(), strict=True)]
+    deal = np.repeat(np.array([_deal(first, 2) for first in firsts], np.int64), np.diff(np.append(new, len(suffix))))
+    suffix = pc.binary_join_element_wise(pa.scalar(lang), suffix, pa.scalar(b"\0"))
+    for first, low, high in zip(firsts, new.tolist(), [*new[1:].tolist(), len(suffix)], strict=True):
+        if first in full:
+            deal[low:high] = [_further(key, len(first), full) for key in suffix[low:high].to_pylist()]
+    return suffix, n, deal
+
+
+def _further(key: bytes, at: int, full: set[bytes]) -> int:
+    """Where a suffix goes whose first word, up to ``at``, is crowded.  A crowded prefix goes on; one that ends with the suffix is
+    counted elsewhere too."""
+    at, words, first = at if at < len(key) else -1, 3, key
+    while at >= 0:
+        at = key.find(b"\0", at + 1)
+        first = key if at < 0 else key[:at]
+        if first not in full:
+            break
+        words += 1
+    return _deal(first, words)
+
+
+def dealt_suffixes(docs: DataFrame, most: int, partitions: int) -> DataFrame:
+    """``suffix, n, deal``: counted suffixes after their language."""
+    crowded = docs.sparkSession.sparkContext.broadcast(crowded_prefixes(docs, most, partitions))
+    names = ["suffix", "n", "deal"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for counts in suffix_counts(batches, most):
+            for lang, own in counts.items():
+                suffix, n, deal = deals(lang, own, crowded.value)
+                step = max(1, min(16_384, (4 << 20) * len(suffix) // max(1, suffix.nbytes)))
+                for low in range(0, len(suffix), step):
+                    some = slice(low, low + step)
+                    yield pa.RecordBatch.from_arrays([suffix[some], pa.array(n[some]), pa.array(deal[some])], names=names)
+
+    return docs.mapInArrow(count, "suffix binary, n bigint, deal bigint")
+
+
 class PrefixStack:
     """Counts of all prefixes of suffixes that come in reverse lexicographic order.
 
@@ -258,7 +282,7 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
     bound_batches(spark)
     partitions = shuffle_partitions(spark)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).cast("binary").alias("lang"), F.col("text").cast("binary").alias("text"))
-    sorted_ = dealt_suffixes(texts, max_words, partitions).repartition(partitions, "deal").sortWithinPartitions(F.desc("suffix")).select("suffix", "n", "whole")
+    sorted_ = dealt_suffixes(texts, max_words, partitions).repartition(partitions, "deal").sortWithinPartitions(F.desc("suffix")).select("suffix", "n", F.pmod("deal", F.lit(WORDS)).cast("int").alias("whole"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = PrefixStack(max_words + 1, least)
