@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dataset import ABSTENTION, ACCEPTED, example_id, group_id
@@ -223,10 +223,19 @@ def firewall(payloads: DataFrame, id_: str, text: str, held_out: DataFrame, toke
     return tokens_inside(payloads, id_, text, held_out, token)
 
 
-def _check_row(rule: str, offenders: DataFrame, id_: str | Column) -> DataFrame:
-    """``rule, passed, detail``: the first five offenders, without gathering the rest."""
-    first = offenders.select((F.col(id_) if isinstance(id_, str) else id_).cast("string").alias("id")).distinct().orderBy("id").limit(5)
-    return first.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("detail")).select(F.lit(rule).alias("rule"), (F.col("n") == 0).alias("passed"), "detail")
+def _checks(rows: DataFrame, rules: dict[str, tuple[Column, str]]) -> DataFrame:
+    """``rule, passed, detail`` of several rules in one scan of the rows: each names the condition that breaks it, and the id to report."""
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(rule).alias("rule"), F.col(id_).cast("string").alias("id"))) for rule, (bad, id_) in rules.items())))
+    found = rows.select(F.explode(broken).alias("b")).select("b.rule", "b.id").distinct()
+    first = found.withColumn("nth", F.row_number().over(Window.partitionBy("rule").orderBy("id"))).filter("nth <= 5")
+    listed = first.groupBy("rule").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("detail"))
+    names = rows.sparkSession.createDataFrame([(rule,) for rule in rules], "rule string")
+    return names.join(listed, "rule", "left").select("rule", F.col("detail").isNull().alias("passed"), F.coalesce("detail", F.lit("")).alias("detail"))
+
+
+def _marked(rows: DataFrame, known: DataFrame, key: str, mark: str) -> DataFrame:
+    """The rows with ``mark`` true where ``known`` has their key, else null."""
+    return rows.join(known.select(key).distinct().withColumn(mark, F.lit(True)), key, "left")
 
 
 def held_out_firewall(examples: DataFrame, corpus: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -242,12 +251,12 @@ def held_out_firewall(examples: DataFrame, corpus: DataFrame, payloads: DataFram
     found = firewall(payloads, "name", "text", held, "token")
     leaks = payloads.select("name").distinct().join(found.groupBy("name").agg(F.array_join(F.slice(F.array_sort(F.collect_set("token")), 1, 5), ",").alias("detail")), "name", "left")
     by_name = leaks.select(F.concat(F.lit("no_held_out_identifier_in_"), "name").alias("rule"), F.col("detail").isNull().alias("passed"), F.coalesce("detail", F.lit("")).alias("detail"))
-    parts = [
-        _check_row("corpus_binds_this_prepared_corpus", corpus.join(digests, "prepared_digest", "left_anti"), "prepared_digest"),
-        _check_row("training_sources_are_train_accepted_only", corpus.join(examples.filter(train).select(F.col("example_id").alias("source_example_id")), "source_example_id", "left_anti"), "source_example_id"),
-        _check_row("training_traces_literal_train", corpus.filter(~F.coalesce(train, F.lit(False))), "source_example_id"),
-    ]
-    return reduce(DataFrame.unionByName, parts).unionByName(by_name)
+    bound = _marked(_marked(corpus, digests, "prepared_digest", "__bound"), examples.filter(train).select(F.col("example_id").alias("source_example_id")), "source_example_id", "__train")
+    checks = _checks(bound, {
+        "corpus_binds_this_prepared_corpus": (F.col("__bound").isNull(), "prepared_digest"), "training_sources_are_train_accepted_only": (F.col("__train").isNull(), "source_example_id"),
+        "training_traces_literal_train": (~F.coalesce(train, F.lit(False)), "source_example_id"),
+    })
+    return checks.unionByName(by_name)
 
 
 def expansion_firewall(planned: DataFrame, frozen: DataFrame, cases: DataFrame, topologies: DataFrame, groups: int, examples: int, least_groups: int, least_examples: int, spec_id: str) -> DataFrame:
@@ -260,17 +269,19 @@ def expansion_firewall(planned: DataFrame, frozen: DataFrame, cases: DataFrame,
     repeated = planned.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     sums = planned.agg(F.countDistinct("group_id").alias("distinct"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("planned_examples"), F.lit(0)).alias("examples"))
     check = lambda rule, test, detail: sums.select(F.lit(rule).alias("rule"), test.alias("passed"), detail.cast("string").alias("detail"))
+    marked = again
+    for known, key, mark in ((repeated, "group_id", "__repeated"), (frozen, "group_id", "__frozen"), (cases, "case_id", "__case"), (topologies, "topology_id", "__topology")):
+        marked = _marked(marked, known, key, mark)
+    rows = _checks(marked, {
+        "planned_groups_unique": (F.col("__repeated").isNotNull(), "group_id"), "planned_disjoint_from_frozen": (F.col("__frozen").isNotNull(), "group_id"),
+        "planned_identities_canonical": (~F.col("group_id").eqNullSafe(F.col("__group")), "group_id"), "all_assigned_train": (~F.col("assigned_partition").eqNullSafe(F.lit("train")), "group_id"),
+        "cases_in_approved_set": (F.col("__case").isNull(), "group_id"), "topologies_in_approved_set": (F.col("__topology").isNull(), "group_id"), "spec_binding": (~F.col("spec_id").eqNullSafe(F.lit(spec_id)), "group_id"),
+    })
     parts = [
-        _check_row("planned_groups_unique", repeated, "group_id"), _check_row("planned_disjoint_from_frozen", planned.join(frozen.select("group_id").distinct(), "group_id", "left_semi"), "group_id"),
-        _check_row("planned_identities_canonical", again.filter(~F.col("group_id").eqNullSafe(F.col("__group"))), "group_id"),
-        _check_row("all_assigned_train", planned.filter(~F.col("assigned_partition").eqNullSafe(F.lit("train"))), "group_id"),
-        _check_row("no_heldout_reassigned", frozen.filter(~F.coalesce(F.col("partition").isin("train", "validation", "test", "abstention"), F.lit(False))), "group_id"),
-        _check_row("cases_in_approved_set", planned.join(cases.select("case_id").distinct(), "case_id", "left_anti"), "group_id"),
-        _check_row("topologies_in_approved_set", planned.join(topologies.select("topology_id").distinct(), "topology_id", "left_anti"), "group_id"),
+        rows, _checks(frozen, {"no_heldout_reassigned": (~F.coalesce(F.col("partition").isin("train", "validation", "test", "abstention"), F.lit(False)), "group_id")}),
         check("meets_group_target", (F.col("rows") >= groups) & F.lit(groups >= least_groups), F.col("rows")),
         check("meets_example_target", (F.col("examples") >= examples) & F.lit(examples >= least_examples), F.col("examples")),
         check("coverage_by_independent_groups", F.col("distinct") == F.col("rows"), F.col("distinct")),
-        _check_row("spec_binding", planned.filter(~F.col("spec_id").eqNullSafe(F.lit(spec_id))), "group_id"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import collectors
 from ..functions.canonical import ratio
-from ..operators import dataset, order
-from ..sources import folders
+from ..functions.responses import parse_response
+from ..operators import dataset, evaluate, order
+from ..sources import folders, jsonl, store
 from ..sources.shared import fresh_folder
 from ..sources.shelf import SOURCES, SOURCES_SCHEMA, Kind, Shelf, differing
-from .domain import EX, POLICY, REC, examples, records, table
+from .domain import EX, FAMILIES, POLICY, examples, records, table
 from .registry import query
 
 
@@ -164,3 +167,121 @@ def collected_metrics(spark, d):
     users = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     users = users.select("user_id", F.when(F.col("user_id") % 7 == 3, "timeout").otherwise("ok").alias("status"), F.expr(_OUTPUT).alias("stdout"))
     return spark.sql("SELECT o.user_id, m.metric, m.value, m.error FROM {outputs} o, LATERAL collect_bgp(o.status, o.stdout) m", outputs=users)
+
+
+@query("SELECT 'f' || doc_id AS path, t AS tensor, 'F32' AS dtype, [doc_id % 5 + 1, n_chars]::BIGINT[] AS shape, ((doc_id % 5 + 1) * n_chars)::BIGINT AS parameters FROM documents, (VALUES ('bias'), ('weight')) v(t)")
+def tensor_parameters(spark, d):
+    """A file for each document whose header names two tensors; parameters are counted from headers alone."""
+    shape = F.concat(F.lit('{"dtype":"F32","data_offsets":[0,8],"shape":['), F.col("doc_id") % 5 + 1, F.lit(","), F.col("n_chars"), F.lit("]}"))
+    header = F.concat(F.lit('{"__metadata__":{"format":"x"},"weight":'), shape, F.lit(',"bias":'), shape, F.lit("}"))
+    size = F.reverse(F.regexp_extract_all(F.lpad(F.hex(F.octet_length(header)), 16, "0"), F.lit("(..)")))
+    content = F.concat(F.unhex(F.array_join(size, "")), header.cast("binary"), F.unhex(F.lit("00" * 8)))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("f"), "doc_id").alias("path"), content.alias("content"))
+    return jsonl.tensor_headers(rows)
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer)")
+def exactly_one_customer(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), "c_custkey", "c_name", "c_mktsegment")
+    last = rows.agg(F.max("c_custkey").cast("string").alias("key")).first()["key"]
+    return store.exactly_one(rows, "key", last).drop("key")
+
+
+@query("SELECT 'customer' AS part, c_custkey AS key, c_mktsegment AS value FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
+def artifact_read(spark, d):
+    """Tables of an artifact, written, verified and read back."""
+    home = store.ArtifactStore(spark, fresh_folder(spark, "artifacts"))
+    home.write("trade", {"customer": table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")), "supplier": table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("value"))})
+    return reduce(DataFrame.unionByName, (rows.select(F.lit(name).alias("part"), "key", "value") for name, rows in sorted(home.read("trade").items())))
+
+
+@query("SELECT 'src' AS log, rule, count(*) AS files FROM (SELECT source, CASE WHEN source IN ('src1', 'src2') THEN ['no_final_line_feed'] WHEN source = 'src3' THEN ['blank_line'] ELSE [] END AS rules FROM (SELECT DISTINCT source FROM documents)), unnest(rules) AS u(rule) GROUP BY ALL")
+def framing_of_exports(spark, d):
+    """One export of JSON lines for each source; two lack their last line feed and one has a blank line."""
+    line = F.concat(F.lit('{"doc_id":'), "doc_id", F.lit("}"))
+    rows = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # a small export is one file
+    body = F.when(F.col("source") == "src3", F.array_join("lines", "\n\n")).otherwise(F.array_join("lines", "\n"))
+    path, cut = fresh_folder(spark, "exports"), F.col("source").isin("src1", "src2")
+    for end, some in (("\r", rows.filter(cut)), ("\n", rows.filter(~cut))):
+        some.select("source", body.alias("value")).repartition(4, "source").write.mode("append").option("lineSep", end).partitionBy("source").text(path)
+    found = jsonl.framing_findings(spark, f"{path}/*/*.txt")
+    return found.groupBy(F.lit("src").alias("log"), "rule").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _by_length():
+    """A user's backend: it answers from the columns that it may see, and fails on one of them."""
+
+    def answer(rows):
+        if "label" in rows.columns:
+            raise ValueError("the answer is in the prompt")
+        return ['{"prediction_type":"diagnosis","fault_family":"q1t0"}' if n >= 500 else '{"prediction_type":"abstention"}' for n in rows["n_chars"]]
+
+    return answer
+
+
+@query(f"""WITH {EX} SELECT example_id, CASE WHEN n_chars >= 500 THEN 'diagnosis' ELSE 'abstention' END AS outcome, CASE WHEN n_chars >= 500 THEN 'q1t0' END AS fault_family, NULL AS failure FROM ex
+  UNION ALL SELECT example_id, 'invalid', NULL, 'backend_ValueError' FROM ex""")
+def backend_predictions(spark, d):
+    """Responses of a backend over all examples, parsed; and the same where it fails, which is a row for each example."""
+    rows = examples(spark, d).select("example_id", "n_chars", F.col("fault_family").alias("label"))
+    out = None
+    for allowed in (("n_chars",), ("n_chars", "label")):
+        said = evaluate.predict_with(rows, _by_length, allowed).withColumn("p", parse_response(F.col("response"), FAMILIES))
+        some = said.select("example_id", F.when(F.col("failure").isNull(), F.col("p.outcome")).otherwise("invalid").alias("outcome"), F.when(F.col("failure").isNull(), F.col("p.fault_family")).alias("fault_family"), "failure")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+_LOG = "SELECT conv_id::VARCHAR AS stream, turn AS seq, role AS phase FROM conversations"
+
+
+def _ended(spark, rows: DataFrame, name: str) -> DataFrame:
+    """Run a stream to the end of what is there, into the shared folder, and read what it gave."""
+    path = fresh_folder(spark, name)
+    rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+def _streamed(spark, d, name: str) -> DataFrame:
+    """A table as a stream, whether it is a folder or one file among others."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    source = spark.readStream.schema(table(spark, d, name).schema)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return source.parquet(f"{d}/{name}.parquet")
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _turns(spark, d) -> DataFrame:
+    rows = _streamed(spark, d, "conversations")
+    return rows.select(F.col("conv_id").cast("string").alias("stream"), F.col("turn").alias("seq"), F.col("role").alias("phase"), F.timestamp_seconds(F.col("turn") + 1_700_000_000).alias("ts"), F.length("text").alias("size"))
+
+
+@query(f"""WITH l AS ({_LOG}), b AS (SELECT *, coalesce(lag(phase) OVER (PARTITION BY stream ORDER BY seq), 'start') AS before FROM l)
+  SELECT stream, seq, before, phase, 'illegal' AS fault FROM b WHERE before || '>' || phase NOT IN ('start>user', 'user>assistant', 'assistant>user')""")
+def streamed_legality(spark, d):
+    from ..streaming import state
+
+    legal = {"start": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    return _ended(spark, state.illegal_transitions(_turns(spark, d).drop("size"), legal), "legality")
+
+
+@query("""WITH l AS (SELECT conv_id, turn, length(text) > 300 AS ok FROM conversations), s AS (SELECT *, ok AND coalesce(lag(ok) OVER w, false) AS two FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id::VARCHAR AS stream, min(turn) AS seq FROM s WHERE two GROUP BY 1""")
+def streamed_confirmations(spark, d):
+    from ..streaming import state
+
+    rows = _turns(spark, d).select("stream", "seq", (F.col("size") > 300).alias("ok"), "ts")
+    return _ended(spark, state.confirmations(rows, 2), "confirmations")
+
+
+@query("SELECT user_id, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def published_events(spark, d):
+    """Events published by a stream, replayed once, and read back: nothing is there twice."""
+    from ..streaming.publish import PublishedTable
+
+    root = fresh_folder(spark, "published")
+    schema = table(spark, d, "events").schema
+    published = PublishedTable(spark, f"{root}/table", schema)
+    for run in ("first", "again"):
+        published.writer(_streamed(spark, d, "events"), f"{root}/{run}").trigger(availableNow=True).start().awaitTermination()
+    return published.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
