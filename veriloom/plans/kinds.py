@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import collectors
+from ..functions import collectors, versions
 from ..functions.canonical import ratio
 from ..functions.responses import parse_response
 from ..operators import dataset, evaluate, order
@@ -285,3 +285,13 @@ def published_events(spark, d):
     for run in ("first", "again"):
         published.writer(_streamed(spark, d, "events"), f"{root}/{run}").trigger(availableNow=True).start().awaitTermination()
     return published.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""SELECT o_orderkey, o_custkey % 3 || '.' || o_orderkey % 7 || CASE WHEN o_orderkey % 5 = 0 THEN 'rc1' WHEN o_orderkey % 5 = 1 THEN '.post2' ELSE '' END AS version,
+  (o_custkey % 3 = 1 AND o_orderkey % 7 >= 2 OR o_custkey % 3 = 1 AND o_orderkey % 7 = 2) AND NOT (o_orderkey % 7 = 4) AND o_orderkey % 5 <> 0 AS fits FROM orders""")
+def version_fits(spark, d):
+    """Versions of all orders against one specifier set."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    version = F.concat((c % 3).cast("string"), F.lit("."), (k % 7).cast("string"), F.when(k % 5 == 0, "rc1").when(k % 5 == 1, ".post2").otherwise(""))
+    rows = table(spark, d, "orders").select("o_orderkey", version.alias("version"))
+    return rows.withColumn("fits", versions.satisfies(F.col("version"), F.lit(">=1.2,<2,!=1.4.*")))
