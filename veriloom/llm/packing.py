@@ -19,8 +19,9 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +36,8 @@ from .tokens import END_ID, default_tokenizer, encoder
 CAPACITY = 2048
 #: Fillings that the search may look at before it settles for its incumbent.
 NODES = 50_000
+#: Sums of more sizes are made anew when the search comes back to them.
+KEPT_MASKS = 64
 
 
 @dataclass
@@ -110,7 +113,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return max(best, int(over[capacity // 2 + 1]))
 
 
-def reachable(room: int, sizes: list[int], left: np.ndarray) -> list[int]:
+def reachable(room: int, sizes: Sequence[int], left: np.ndarray) -> list[int]:
     """For each k the sums up to ``room`` that the ``k`` smallest sizes can make, as bits."""
     every, masks = (1 << room + 1) - 1, [1]
     for s in sizes:
@@ -126,8 +129,13 @@ def reachable(room: int, sizes: list[int], left: np.ndarray) -> list[int]:
 
 def fillings(room: int, left: np.ndarray, most: int) -> Iterator[tuple[tuple[tuple[int, int], ...], int]]:
     """All ways to fill ``room`` that waste at most ``most``, fullest first, as (size, times) from large to small, and their waste."""
-    sizes = np.flatnonzero(left[: room + 1]).tolist()
-    masks = reachable(room, sizes, left)
+    sizes = array("i", np.flatnonzero(left[: room + 1]).astype(np.int32).tobytes())
+    held: list[list[int]] = []
+
+    def masks() -> list[int]:
+        if not held:
+            held.append(reachable(room, sizes, left))
+        return held[0]
 
     def exactly(target: int, k: int) -> Iterator[tuple[tuple[int, int], ...]]:
         if not target:
@@ -136,13 +144,15 @@ def fillings(room: int, left: np.ndarray, most: int) -> Iterator[tuple[tuple[tup
         for j in range(bisect_right(sizes, target, 0, k) - 1, -1, -1):
             s = sizes[j]
             for n in range(min(int(left[s]), target // s), 0, -1):
-                if masks[j] >> target - n * s & 1:
+                if masks()[j] >> target - n * s & 1:
                     for rest in exactly(target - n * s, j):
                         yield (s, n), *rest
 
     for waste in range(min(most, room) + 1):
-        if masks[-1] >> room - waste & 1:
+        if masks()[-1] >> room - waste & 1:
             for filling in exactly(room - waste, len(sizes)):
+                if len(sizes) > KEPT_MASKS:
+                    held.clear()  # a deep search has many of these open, and few go on
                 yield filling, waste
 
 
@@ -168,6 +178,8 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NOD
     best = best_fit(counts, capacity)
     fewest, bound = best.sequences, lower_bound(counts, capacity)
     total = int((counts * np.arange(len(counts))).sum())
+    if counts.max(initial=0) < 1 << 30:
+        counts = counts.astype(np.int32)  # a deep search has many of them
     seen: dict[tuple, int] = {}
     visited = 0
 
