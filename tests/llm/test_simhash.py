@@ -247,6 +247,7 @@ def test_a_cluster_costs_its_size(spark):
     common, hot, salts = simhash.common_shingles(docs)
     assert len(hot) > 100 and salts == 16
     marks = simhash.written(simhash.prefixes(docs, common), "marks")
+    shared = simhash.shared_shingles(marks, hot, salts)
     sizes = []
     original = simhash.confirmed
 
@@ -256,13 +257,33 @@ def test_a_cluster_costs_its_size(spark):
 
     simhash.confirmed = counting
     try:
-        found = {x["node"]: x["class"] for x in simhash.near_classes(docs, marks, hot, salts).collect()}
+        found = {x["node"]: x["class"] for x in simhash.near_classes(docs, marks, shared, salts).collect()}
     finally:
         simhash.confirmed = original
     assert len(set(found.values())) == 1 and len(found) >= 399
     assert sum(sizes) < 20 * 400
 
 
+def test_unlike_texts_that_share_a_passage_do_not_meet(spark, monkeypatch):
+    """A passage that the sample doesn't know stands in many prefixes; it is put last, and no texts are compared for it."""
+    r = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [" ".join([*(f"w{i}x{k}" for k in range(60)), passage, *(f"v{i}x{k}" for k in range(r.randrange(20)))]) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)  # some one document or none is sampled
+    monkeypatch.setattr(simhash, "CROWD", 50)
+    common, hot, _ = simhash.common_shingles(docs)
+    before = simhash.shared_shingles(simhash.written(simhash.prefixes(docs, common), "marks"), hot, 16)
+    marks, shared, salts = simhash.marked_prefixes(docs)
+    assert before.count() > 3000 and shared.count() * 8 < before.count()
+    assert (shared.groupBy("h").count().agg({"count": "max"}).first()[0] or 0) <= 50
+    pairs = []
+    original = simhash.confirmed
+    monkeypatch.setattr(simhash, "confirmed", lambda p, nodes, docs: (pairs.append(p.count()), original(p, nodes, docs))[1])
+    assert simhash.near_classes(docs, marks, shared, salts).count() == 0 and sum(pairs) < 3000
+    assert simhash.keep_one_of_each(docs).count() == 600
+
+
 def test_stage_keeps_texts_without_id(spark):
     long = " ".join(f"w{i}" for i in range(400))
     rows = [(None, "a b c d e f"), (None, "q w e r t y"), (None, long), (7, long + " more"), (5, "A one"), (5, "C one"), (3, "c ONE")]

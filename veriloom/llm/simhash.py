@@ -48,6 +48,8 @@ STAGE_SHINGLE = 5
 SAMPLE, OFTEN, COMMON = 20_000, 2, 200_000
 #: A shingle that one in so many sampled documents has is dealt over tasks of about so many of all documents each.
 HOT_SHARE, HOT_ROWS = 100, 500_000
+#: A shingle that more prefixes have is put last in the order of shingles, in so many rounds at most.
+CROWD, CROWD_ROUNDS = 10_000, 3
 #: Least bits of a set's sketch; it has as many as the set has shingles, rounded up to a power of two.
 SKETCH = 512
 #: Stands for a null doc_id.
@@ -260,33 +262,31 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles of several texts of a sample, at most ``COMMON``; those of them that are hot; and among how many tasks to deal these.
+    """Shingles of several texts of a sample, at most ``COMMON``, rare ones first; those of them that are hot; and among how many tasks
+    to deal these.
 
     Common ones only order the prefixes, and hot ones are only dealt otherwise: any choice gives the same pairs.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["h"])
-
     total = docs.count()
     parts = max(1, total // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text").mapInArrow(run, "h bigint")
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text").mapInArrow(all_shingles, "h bigint")
     often = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     known, count = (often.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
-    return np.sort(known.view(np.uint64)), known[count * parts * HOT_SHARE > total], max(16, total // HOT_ROWS)
+    return known[::-1].view(np.uint64), known[count * parts * HOT_SHARE > total], max(16, total // HOT_ROWS)
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """``doc_id, body, node, fp, n, prefix, sketch, brief``: the shingle set's digest and size, the SimHash of the shingles, the prefix.
 
-    In one order of all shingles, common ones last, two sets of which at least four fifths are shared have a shingle in common
+    In one order of all shingles, ``common`` ones last as they are listed, two sets of which at least four fifths are shared have a shingle in common
     among the first ``n - ceil(4 n / 5) + 1`` of each.  The sketch has the parity of the shingles that fall on each bit: two sketches
     of one length differ in no more bits than the sets differ in shingles, and a longer one folds to a shorter one; ``brief`` is the
     one of ``SKETCH`` bits.
     """
     bound_batches(docs.sparkSession)
+    rank = np.argsort(common)
+    listed = common[rank]
 
     def mark(text: str | None) -> tuple[int, int, int, np.ndarray, bytes, bytes]:
         found = shingles(text, STAGE_SHINGLE)
@@ -294,10 +294,11 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
         size = max(SKETCH, 1 << (len(some) - 1).bit_length())
         bits = np.bincount((some >> np.uint64(32)).astype(np.int64) & (size - 1), minlength=size) & 1
         node, n = xxhash.xxh64_intdigest(some.tobytes(), SEED), len(some)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, some), len(common) - 1)
-            last = common[at] == some
-            some = np.concatenate([some[~last], some[last]])
+        if len(listed):
+            at = np.minimum(np.searchsorted(listed, some), len(listed) - 1)
+            last = listed[at] == some
+            late = some[last]
+            some = np.concatenate([some[~last], late[np.argsort(rank[at[last]])]])
         sketch = np.packbits(bits.astype(np.uint8))
         brief = np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH // 8), axis=0)
         return node, majority(found), n, some[: n - (4 * n + 4) // 5 + 1].view(np.int64), sketch.tobytes(), brief.tobytes()
@@ -461,7 +462,54 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.filter(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
 
 
-def near_classes(docs: DataFrame, marks: DataFrame, hot: np.ndarray, salts: int) -> DataFrame:
+def shared_shingles(marks: DataFrame, hot: np.ndarray, salts: int) -> DataFrame:
+    """The rows of ``shared_rows`` of all prefixes."""
+    spark = marks.sparkSession
+    rows = marks.select("node", "n", F.posexplode("prefix").alias("place", "h")).select("h", "n", "place", "node")
+    # at most COMMON shingles of a sample
+    known = F.broadcast(spark.createDataFrame([(int(h), 1) for h in hot], "h bigint, hot int"))
+    rows = rows.join(known, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    rows = rows.withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("node"), F.lit(salts))).otherwise(0))
+    rows = rows.repartition(shuffle_partitions(spark), "h", "salt").sortWithinPartitions("h", "salt", "n", "node").select("h", "n", "place", "node", "hot")
+    return written(rows.mapInArrow(shared_rows, "h bigint, n bigint, place bigint, node bigint, hot bigint, prev bigint, rep bigint"), "shared-shingles")
+
+
+def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(t.as_py()) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], names=["h"])
+
+
+def _unknown(counts: DataFrame, common: np.ndarray) -> np.ndarray:
+    """Shingles of ``counts(h, n)`` above ``CROWD`` that aren't in ``common``, rare ones first, at most ``COMMON``."""
+    found = counts.filter(F.col("n") > CROWD).orderBy(F.desc("n"), "h").limit(COMMON).toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64)[::-1]
+    return found[~np.isin(found, common)]
+
+
+def marked_prefixes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The marks of all documents, the rows of their shared shingles, and among how many tasks hot ones are dealt.
+
+    A sample misses shingles that only some in a million documents have, which are many documents in a large corpus.  Prefixes tell them
+    all: where more than ``CROWD`` of them have one that wasn't known for common, all shingles of these documents are counted, those of
+    more than ``CROWD`` documents are put last in the order, and the prefixes are made anew.
+    """
+    spark = docs.sparkSession
+    common, hot, salts = common_shingles(docs)
+    for _ in range(CROWD_ROUNDS):
+        marks = written(prefixes(docs, common), "shingle-marks")
+        shared = shared_shingles(marks, hot, salts)
+        crowd = _unknown(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")), common)
+        if not len(crowd):
+            break
+        few = F.broadcast(spark.createDataFrame([(int(h),) for h in crowd.view(np.int64)], "h bigint"))  # at most COMMON
+        bodies = shared.join(few, "h", "left_semi").select("node").distinct().join(marks.select("node", "body"), "node").select("body").distinct()
+        texts = docs.select("text", F.xxhash64("text").alias("body")).join(bodies, "body", "left_semi").dropDuplicates(["body"])
+        counted = texts.select("text").mapInArrow(all_shingles, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        common = np.concatenate([common, _unknown(counted, common)])  # more frequent than what the sample knew by chance
+    return marks, shared, salts
+
+
+def near_classes(docs: DataFrame, marks: DataFrame, shared: DataFrame, salts: int) -> DataFrame:
     """``node, class`` of the shingle sets that pairs with a Jaccard similarity of at least 0.8 connect to others.
 
     Candidates are the pairs that share a shingle of their prefixes, which misses none, and the links of the SimHash bands.  Rows of
@@ -470,14 +518,7 @@ def near_classes(docs: DataFrame, marks: DataFrame, hot: np.ndarray, salts: int)
     """
     spark = docs.sparkSession
     nodes = written(marks.groupBy("node").agg(F.min("body").alias("body"), F.max("n").cast("int").alias("n"), F.max("sketch").alias("sketch"), F.max("brief").alias("brief")), "shingle-nodes")
-    rows = marks.select("node", "n", F.posexplode("prefix").alias("place", "h")).select("h", "n", "place", "node")
-    # at most COMMON shingles of a sample
-    known = F.broadcast(spark.createDataFrame([(int(h), 1) for h in hot], "h bigint, hot int"))
-    rows = rows.join(known, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
     unit = F.pmod(F.xxhash64("node"), F.lit(salts))
-    rows = rows.withColumn("salt", F.when(F.col("hot") == 1, unit).otherwise(0))
-    rows = rows.repartition(shuffle_partitions(spark), "h", "salt").sortWithinPartitions("h", "salt", "n", "node").select("h", "n", "place", "node", "hot")
-    shared = written(rows.mapInArrow(shared_rows, "h bigint, n bigint, place bigint, node bigint, hot bigint, prev bigint, rep bigint"), "shared-shingles")
     before = F.lag("rep").over(Window.partitionBy("h").orderBy("rep"))
     across = shared.filter("hot = 1").select("h", "rep").distinct().select("rep", before.alias("other")).filter("other is not null")  # a few for each unit
     prints = marks.groupBy("fp").agg(F.min("node").alias("least"))
@@ -524,9 +565,8 @@ def extended(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Of documents that pairs of four fifths connect the smallest doc_id, with all columns; its rows stay as often as they come."""
-    common, hot, salts = common_shingles(docs)
-    marks = written(prefixes(docs, common), "shingle-marks")
-    found = near_classes(docs, marks, hot, salts)
+    marks, shared, salts = marked_prefixes(docs)
+    found = near_classes(docs, marks, shared, salts)
     key = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("body").alias("body"))
     kept = marks.select("node", key.alias("key")).join(found, "node", "left").groupBy(F.coalesce("class", "node").alias("class")).agg(F.min("key").alias("key"))
     id_, body = spare_names(docs, "id", "body")
