@@ -100,17 +100,26 @@ def broken_links(chain: DataFrame, stream: str) -> DataFrame:
 
 
 def expected_frames(plans: DataFrame) -> DataFrame:
-    """The event skeleton of ``plans(plan_id, epochs, batches, accumulation)``: started, per epoch its batches and steps, finished."""
-    rows = plans.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs"))))
-    rows = rows.withColumn("batch", F.explode(F.sequence(F.lit(1), F.col("batches"))))
-    step = (F.col("batch") % F.col("accumulation") == 0) | (F.col("batch") == F.col("batches"))
-    rows = rows.withColumn("event", F.explode(F.array_compact(F.array(F.lit("batch"), F.when(step, F.lit("step")), F.when(F.col("batch") == F.col("batches"), F.lit("epoch_end"))))))
-    order = F.struct("epoch", "batch", F.when(F.col("event") == "batch", 0).when(F.col("event") == "step", 1).otherwise(2))
-    rows = rows.select("plan_id", "epoch", "batch", "event", order.alias("o"))
-    edges = plans.select("plan_id", F.lit(0).alias("epoch"), F.lit(0).alias("batch"), F.lit("started").alias("event"), F.struct(F.lit(0).alias("epoch"), F.lit(0).alias("batch"), F.lit(0)).alias("o"))
-    ends = plans.select("plan_id", F.col("epochs").alias("epoch"), F.col("batches").alias("batch"), F.lit("finished").alias("event"), F.struct((F.col("epochs") + 1).alias("epoch"), F.lit(0).alias("batch"), F.lit(0)).alias("o"))
-    every = edges.union(rows).union(ends)
-    return every.select("plan_id", (F.row_number().over(Window.partitionBy("plan_id").orderBy("o")) - 1).alias("seq"), "epoch", "batch", "event")
+    """The event skeleton of ``plans(plan_id, epochs, batches, accumulation)``: started, per epoch its batches and steps, finished.
+
+    Places are computed, not counted, so nothing is sorted.  Epochs are dealt over tasks before they are expanded: what follows is
+    shuffled by the size of the frames, not by that of the plans.  A plan without epochs or batches only starts and finishes.
+    """
+    n, epochs, last = F.col("__batches"), F.col("__epochs"), F.col("__epochs") + 1
+    steps_before = lambda batch: F.coalesce(F.floor((batch - 1) / F.abs("accumulation")), F.lit(0))  # noqa: E731 - every epoch ends in a step
+    rows = plans.select("plan_id", "epochs", "batches", "accumulation", *(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).alias(f"__{c}") for c in ("epochs", "batches")))
+    rows = rows.withColumn("__length", F.when(n > 0, n + steps_before(n) + 2).otherwise(0))  # rows of an epoch
+    rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0), last))).repartition("plan_id", "__epoch")
+    epoch, batch = F.col("__epoch"), F.col("__batch")
+    edge = (epoch == 0) | (epoch == last)
+    rows = rows.withColumn("__batch", F.explode(F.when(edge, F.sequence(F.lit(1), F.lit(1))).when(n > 0, F.sequence(F.lit(1), n))))
+    step = (batch % F.col("accumulation") == 0) | (batch == n)
+    inner = F.array_compact(F.array(F.lit("batch"), F.when(step, F.lit("step")), F.when(batch == n, F.lit("epoch_end"))))
+    events = F.when(epoch == 0, F.array(F.lit("started"))).when(epoch == last, F.array(F.lit("finished"))).otherwise(inner)
+    rows = rows.select("*", F.posexplode(events).alias("__place", "event"))
+    seq = F.when(epoch == 0, 0).when(epoch == last, 1 + epochs * F.col("__length")).otherwise((epoch - 1) * F.col("__length") + batch + steps_before(batch) + F.col("__place"))
+    of = lambda value, end: F.when(epoch == 0, 0).when(epoch == last, end).otherwise(value)
+    return rows.select("plan_id", seq.cast("int").alias("seq"), of(epoch, F.col("epochs")).alias("epoch"), of(batch, F.col("batches")).alias("batch"), "event")
 
 
 def replay_differences(expected: DataFrame, recorded: DataFrame) -> DataFrame:
