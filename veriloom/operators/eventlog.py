@@ -128,9 +128,10 @@ def replay_differences(expected: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def epochs_completed(frames: DataFrame) -> DataFrame:
-    """Epochs that are complete at each optimizer step."""
+    """Epochs that are complete at each optimizer step; rows that are neither a step nor an epoch's end are left out before they are sorted."""
     done = F.sum(F.when(F.col("event") == "epoch_end", 1).otherwise(0)).over(Window.partitionBy("plan_id").orderBy("seq"))
-    return frames.withColumn("completed", done).filter("event = 'step'").select("plan_id", "seq", "epoch", "completed")
+    some = frames.filter(F.col("event").isin("step", "epoch_end"))
+    return some.withColumn("completed", done).filter("event = 'step'").select("plan_id", "seq", "epoch", "completed")
 
 
 def first_confirmation(log: DataFrame, stream: str, order: list[str], ok: Column, times: int) -> DataFrame:
