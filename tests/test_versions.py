@@ -51,3 +51,13 @@ def test_prereleases_are_in_sets_that_name_one(spark, version, spec, held):
 @pytest.mark.parametrize("spec", ["1.0", "=>1", "~=1", ">=1.*", ">=x"])
 def test_unreadable_sets_are_null(spark, spec):
     assert spark.range(1).select(versions.satisfies(F.lit("1.0"), F.lit(spec))).first()[0] is None
+
+
+def test_each_distinct_pair_is_judged_once(spark):
+    rows = [(k, v, s) for k, (v, s) in enumerate([("1.0", ">=1"), ("1.0", ">=1"), ("1.0", "<1"), (None, ">=1"), ("1.0", None), ("x", ">=1"), ("1.0\x01", ""), ("\x01" * 10, "")])]
+    df = spark.createDataFrame(rows, "k int, v string, s string").repartition(3)
+    out = versions.fitted(df, "v", "s", "x")
+    assert out.columns == ["k", "v", "s", "x"]
+    assert [r["x"] for r in out.orderBy("k").collect()] == [True, True, False, None, None, None, None, None]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("regexp_replace") :]  # judged above the distinct pairs

@@ -294,4 +294,4 @@ def version_fits(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     version = F.concat((c % 3).cast("string"), F.lit("."), (k % 7).cast("string"), F.when(k % 5 == 0, "rc1").when(k % 5 == 1, ".post2").otherwise(""))
     rows = table(spark, d, "orders").select("o_orderkey", version.alias("version"))
-    return rows.withColumn("fits", versions.satisfies(F.col("version"), F.lit(">=1.2,<2,!=1.4.*")))
+    return versions.fitted(rows.withColumn("specifiers", F.lit(">=1.2,<2,!=1.4.*")), "version", "specifiers", "fits").drop("specifiers")
