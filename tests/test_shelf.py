@@ -57,6 +57,56 @@ def test_jobs_do_not_follow_the_artifacts(spark, tmp_path):
     assert jobs[1] <= jobs[0] + 2  # but for listing many folders
 
 
+@pytest.fixture(params=["-1", "10m"])
+def unmerged(spark, request):
+    """Small partitions stay apart; small sides are broadcast or not."""
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": request.param}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def most_read(spark, group):
+    """The most rows that a task of a job group got through shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker, most = context._jsc.sc().statusStore(), context.statusTracker(), 0
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 1000) if tracker.getStageInfo(stage) else None
+        for k in range(tasks.size() if tasks else 0):
+            metrics = tasks.apply(k).taskMetrics()
+            most = max(most, metrics.get().shuffleReadMetrics().recordsRead() if metrics.isDefined() else 0)
+    return most
+
+
+def test_no_task_of_a_write_or_listing_gets_most_rows(spark, tmp_path, unmerged):
+    shelf = Shelf(spark, str(tmp_path / "shelf"), PLAIN)
+    tables = made(spark, 1, 6000)
+    tables["rows"].repartition(6).write.parquet(f"{tmp_path}/given")
+    tables["rows"] = spark.read.parquet(f"{tmp_path}/given")
+    read = {}
+    for what, job in (("write", lambda: shelf.write("plain", tables)), ("list", lambda: shelf.listing("plain").collect())):
+        spark.sparkContext.setJobGroup(f"{what}{unmerged}", what)
+        job()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        read[what] = most_read(spark, f"{what}{unmerged}")
+    assert all(100 < n < 3000 for n in read.values()), read
+
+
+def test_a_write_digests_its_own_artifacts_only(spark, tmp_path):
+    shelf = Shelf(spark, str(tmp_path), PLAIN)
+    shelf.write("plain", made(spark, 2))
+    first = {tuple(r) for r in shelf.manifest("plain").collect()}
+    later = made(spark, 3, 700)
+    shelf.write("plain", {name: rows.withColumn("artifact", F.concat(F.lit("b"), "artifact")) for name, rows in later.items()})
+    stated = [tuple(r) for r in shelf.manifest("plain").collect()]
+    assert first < set(stated) and len(stated) == len(set(stated)) == 10
+    assert sorted(r["artifact"] for r in shelf.listing("plain").collect()) == ["a0", "a1", "ba0", "ba1", "ba2"]
+
+
 def test_rules_of_an_evaluation(spark, tmp_path):
     shelf = Shelf(spark, str(tmp_path), KINDS)
     records = spark.createDataFrame([("a", "e1", "p", True), ("a", "e2", "p", False), ("b", "e1", "p", True), ("c", "e1", "p", True)], "artifact string, example_id string, predictor string, correct boolean")

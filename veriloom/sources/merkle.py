@@ -21,6 +21,8 @@ from ..functions.canonical import canonical_json, record, sha256_text
 NODE_ROWS = 512
 #: Levels that a tree may have: 16 ** 12 nodes.
 MOST_LEVELS = 12
+#: Tasks over which the rows of one value are dealt where they meet its depth.
+PARTS = 16
 #: Hex digits of a place that name a range of a stored version.
 RANGE_DIGITS = 2
 
@@ -51,17 +53,21 @@ def parents(nodes: DataFrame, keys: list[str], level: int) -> DataFrame:
     return nodes.groupBy(*keys, F.substr("prefix", F.lit(1), F.lit(level)).alias("prefix")).agg(F.sum("n").alias("n"), digest.alias("digest"))
 
 
-def table_digest(rows: DataFrame, by: str | None = None) -> DataFrame:
-    """One row ``rows, digest``, the root of the rows' tree (for each value of ``by``, of its own rows)."""
+def table_digest(rows: DataFrame, by: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    """One row ``rows, digest``, the root of the rows' tree (for each value of ``by``, of its own rows; ``only`` holds the values that are wanted)."""
     keys = [by] if by else []
-    leaves = rows.select(*keys, leaf(rows.drop(*keys)).alias("leaf")).groupBy(*keys, "leaf").agg(F.count(F.lit(1)).alias("n"))
+    own = [c for c in rows.columns if c not in keys]
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).withColumn("depth", depth_of(F.col("size")))
+    if only is not None:
+        sizes = sizes.join(only, by, "left_semi")
     deepest = sizes.agg(F.max("depth").alias("depth")).first()["depth"] or 0
-    if by:
-        sizes = sizes.select(F.col(by).alias("__by"), "depth")
-        leaves = leaves.join(sizes, leaves[by].eqNullSafe(sizes["__by"])).drop("__by")
-    else:
-        leaves = leaves.withColumn("depth", F.lit(deepest))
+    if by:  # one value may have most rows
+        parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))).alias("__part")
+        sizes = sizes.select(F.col(by).alias("__by"), F.col("depth").alias("__depth"), parts)
+        dealt = rows.withColumn("__dealt", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+        rows = dealt.join(sizes, dealt[by].eqNullSafe(sizes["__by"]) & (dealt["__dealt"] == sizes["__part"]))
+    leaves = rows.select(*keys, F.col("__depth").alias("depth") if by else F.lit(deepest).alias("depth"), leaf(rows.select(*own)).alias("leaf"))
+    leaves = leaves.groupBy(*keys, "depth", "leaf").agg(F.count(F.lit(1)).alias("n"))
     nodes = lowest_nodes(leaves.withColumn("place", F.col("leaf")), keys)
     for level in range(deepest - 1, 0, -1):
         nodes = parents(nodes, keys, level)

@@ -56,10 +56,7 @@ class Shelf:
     def _digests(self, kind: str, artifacts: DataFrame | None = None) -> DataFrame:
         parts = []
         for name in sorted(self.kinds[kind].tables):
-            rows = self.table(kind, name)
-            if artifacts is not None:
-                rows = rows.join(artifacts, "artifact", "left_semi")
-            parts.append(table_digest(rows, "artifact").select("artifact", F.lit(name).alias("table"), "rows", "digest"))
+            parts.append(table_digest(self.table(kind, name), "artifact", artifacts).select("artifact", F.lit(name).alias("table"), "rows", "digest"))
         return reduce(DataFrame.unionByName, parts)
 
     def write(self, kind: str, tables: dict[str, DataFrame]) -> None:
@@ -77,7 +74,7 @@ class Shelf:
         every = names.select("artifact", F.explode(F.array(*map(F.lit, sorted(tables)))).alias("table"))
         empty = table_digest(self.spark.createDataFrame([], "a int")).first()["digest"]
         found = every.join(self._digests(kind, names), ["artifact", "table"], "left").select("artifact", "table", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("digest", F.lit(empty)).alias("digest"))
-        found.coalesce(1).write.mode("append").parquet(f"{self.root}/{kind}/manifest")
+        found.repartition("artifact").write.mode("append").parquet(f"{self.root}/{kind}/manifest")
 
     def verify(self, kind: str) -> DataFrame:
         """``artifact, rule, passed, detail`` of every artifact of a kind: a row for each table and each rule."""
